@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, url_filter
+from . import chat_format, decontaminate, exact_dedup, piece_codec, token_counts, url_filter
 from .shared import table
 
 #: The rules of op1: host, path, verdict.
@@ -86,5 +86,34 @@ chats AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM chats
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op3_exact_dedup": op3_exact_dedup, "op5_chat_format": op5_chat_format}
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048, spaces="dropped")
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_decode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", output=("ids_sha256", "decoded_sha256"))
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_chat_format": op5_chat_format,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_token_counts": op8_token_counts,
+    "op9_piece_codec": op9_piece_codec,
+}
 ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
