@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, piece_codec, token_counts, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, piece_codec, token_counts, url_filter
 from .shared import table
 
 #: The rules of op1: host, path, verdict.
@@ -108,6 +108,10 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", output=("ids_sha256", "decoded_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
@@ -115,5 +119,6 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_piece_codec": op9_piece_codec,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
