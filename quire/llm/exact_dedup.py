@@ -82,6 +82,6 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with docs' columns. Ids are taken to be unique, but for null ids, which all stay."""
-    kept = exact_dedup(docs, id_col, text_col, **how).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs that exact_dedup keeps, with docs' columns. Ids are taken to be unique."""
+    gone = exact_dedup(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("_gone_id"))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
