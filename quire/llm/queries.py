@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, piece_codec, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, piece_codec, token_counts, toxicity, url_filter, warc
 from .shared import table
 
 #: The rules of op1: host, path, verdict.
@@ -42,6 +42,11 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: The conversation that op5 adds: conv_id, turn, role, text.
 EXTRA_TURNS = ((-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"))
 _EXTRA = "SELECT * FROM (VALUES " + ", ".join(map(str, EXTRA_TURNS)) + ") AS t(conv_id, turn, role, text)"
@@ -107,6 +112,32 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, with what the audit says of a second copy.
+
+    The tables hold no replica, so the copy is derived from the same pages with planted damage: where the digest of the page's id
+    begins with 00 the record is lost, where it begins with 01 a byte of the record is turned over, offsets as in the intact copy.
+    """
+    records = warc.warc_records(table(spark, sf_dir, "pages"))
+    luck = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2)
+    broken = F.when(luck == "01", F.overlay("record", F.lit(b"#"), F.lit(3), F.lit(1))).otherwise(F.col("record"))
+    copy = records.where(luck != "00").withColumn("sha256", F.sha2(broken, 256))
+    found = warc.audit(records, copy)
+    rows = records.select("page_id", "archive", "offset", "length")
+    return rows.join(found, ["archive", "offset"], "left").select("page_id", "archive", "offset", "length", F.coalesce("status", F.lit("intact")).alias("status"))
+
+
+OP7_SQL = r"""
+WITH r AS (
+  SELECT page_id, CAST(floor(page_id / 1024.0) AS BIGINT) AS archive,
+    CAST(strlen('WARC/1.0' || '..WARC-Type: response' || '..WARC-Target-URI: ' || coalesce(url, '') || '..Content-Length: ' || strlen(coalesce(html, '')) || '....' || coalesce(html, '') || '....') AS BIGINT) AS length
+  FROM pages)
+SELECT page_id, archive, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length,
+  CASE substr(sha256(CAST(page_id AS VARCHAR)), 1, 2) WHEN '00' THEN 'missing' WHEN '01' THEN 'changed' ELSE 'intact' END AS status
+FROM r
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048, spaces="dropped")
 
@@ -123,10 +154,12 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_chat_format": op5_chat_format,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc_audit": op7_warc_audit,
     "op8_token_counts": op8_token_counts,
     "op9_piece_codec": op9_piece_codec,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op7_warc_audit": OP7_SQL}
