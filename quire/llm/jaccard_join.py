@@ -147,12 +147,13 @@ def _survey(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, words: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, doc, n, pos): of each set the n - ceil(n * percent / 100) + 1 tokens that come first, rare ones before frequent ones.
+    """(token, doc, size): of each set the n - ceil(n * percent / 100) + 1 tokens that come first, rare ones before frequent ones.
 
-    Two sets that link share one of these. A task leaves out sets that it has had before: their documents are copies.
+    Two sets that link share one of these. size is n * 2^31 + the place in the token order, in 31 bits, of the last of them.
+    A task leaves out sets that it has had before: their documents are copies.
     """
     shared = rows.sparkSession.sparkContext.broadcast(order)
-    names = ["token", "doc", "n", "pos"]
+    names = ["token", "doc", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
@@ -166,19 +167,21 @@ def _prefixes(rows: DataFrame, words: int, percent: int, order: tuple[np.ndarray
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(d)
+                    p = len(s) - _ceil(len(s), percent, 100) + 1
+                    last = 0
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         level = np.where(frequent[at] == s, rank[at], 0)
                         if level.any():
-                            s = s[np.argsort(level, kind="stable")]
-                    p = len(s) - _ceil(len(s), percent, 100) + 1
-                    parts.append((s[:p], doc, len(s)))
+                            by = np.argsort(level, kind="stable")
+                            s, last = s[by], int(level[by[p - 1]])
+                    parts.append((s[:p], doc, len(s) << 31 | last << 25 | int(s[p - 1]) >> 39))
                 if parts:
                     sizes = [len(p[0]) for p in parts]
-                    cols = [np.concatenate([p[0] for p in parts]).view(np.int64), np.repeat([p[1] for p in parts], sizes), np.repeat([p[2] for p in parts], sizes), np.concatenate([np.arange(k) for k in sizes])]
+                    cols = [np.concatenate([p[0] for p in parts]).view(np.int64), np.repeat([p[1] for p in parts], sizes), np.repeat([p[2] for p in parts], sizes)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-    return rows.mapInArrow(run, "token bigint, doc bigint, n bigint, pos bigint")
+    return rows.mapInArrow(run, "token bigint, doc bigint, size bigint")
 
 
 def _token_lists(rows: DataFrame, words: int) -> DataFrame:
@@ -254,7 +257,7 @@ def jaccard_components(
        tokens with a star are compared with it, and those that link are one group. That costs a comparison or two a document,
        not all pairs of a large family; within a group nothing needs comparing any more.
     4. The token-group matrix holds the union of each group's tokens. A query document's overlap with a group is bounded by the
-       tokens they share and what lies behind the last of them; only groups that can hold a link are opened. The pairs in
+       tokens they share and what lies behind the prefix that ends first; only groups that can hold a link are opened. The pairs in
        them are bounded in the same way, and compared in full if they pass.
 
     Full token lists are made only for documents of pairs that reach a comparison. Their ids are broadcast up to broadcast_most of
@@ -279,13 +282,28 @@ def jaccard_components(
 
     everywhere = Window.partitionBy("token")
     found = _prefixes(rows, words, percent, order).withColumn("lo", F.min("doc").over(everywhere)).withColumn("hi", F.max("doc").over(everywhere))
-    found = staged(found.where("lo < hi").drop("lo", "hi"), "prefixes")
+    found = found.where("lo < hi").select("token", "doc", F.shiftright("size", 31).alias("n"), F.col("size").bitwiseAND((1 << 31) - 1).alias("end"))
+    found = staged(found, "prefixes")
     found = found.join(copies, "doc", "left").withColumn("doc", F.coalesce("first", "doc")).drop("first")
-    postings = staged(_several(found.groupBy("token", "doc").agg(F.max("n").alias("n"), F.max("pos").alias("pos")).withColumn("g", F.col("doc"))).drop("g"), "postings")
+    postings = staged(_several(found.groupBy("token", "doc").agg(F.max("n").alias("n"), F.max("end").alias("end")).withColumn("g", F.col("doc"))).drop("g"), "postings")
 
     def fit(a: Column, b: Column) -> Column:
         return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
+    def rest(n: Column) -> Column:
+        """Tokens behind a set's prefix."""
+        return _ceil(n, percent, 100) - 1
+
+    def least_shared(a: Column, b: Column) -> Column:
+        """What sets of these sizes share at least if they link."""
+        return _ceil(a + b, percent, 100 + percent)
+
+    def may_link(a: str, b: str) -> Column:
+        """From c, the tokens that both prefixes hold: beyond the prefix that ends first, only that set's rest can be shared."""
+        na, nb, ea, eb = F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"e{a}"), F.col(f"e{b}")
+        more = F.when(ea < eb, rest(na)).when(eb < ea, rest(nb)).otherwise(F.greatest(rest(na), rest(nb)))
+        return F.col("c") + more >= least_shared(na, nb)
+
     def compared(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
         pairs = staged(pairs, "pairs")
@@ -310,14 +328,15 @@ def jaccard_components(
             left = per.agg(F.sum(F.col("all") * F.col("all") - F.col("own")), F.sum("all")).first()
             if not left[0] or left[0] <= 20 * left[1]:
                 break
-        prefix = F.col("n") - _ceil(F.col("n"), percent, 100) + 1
+        prefix = F.col("n") - rest(F.col("n"))
         widths = current.groupBy("token").agg(F.count(F.lit(1)).alias("width"))
         central = current.join(widths, "token").groupBy("doc").agg((F.sum(F.sqrt("width")) / F.max(prefix)).alias("central"))
         score = F.col("central") if not turn else F.xxhash64("doc", F.lit(turn)).cast("double")
-        stars = current.join(central, "doc").groupBy("token").agg(F.max(F.struct(score.alias("score"), F.col("doc"), F.col("n"), F.col("g"))).alias("star"))
-        near = current.join(stars, "token").where((F.col("g") != F.col("star.g")) & fit(F.col("n"), F.col("star.n")))
-        near = near.groupBy(F.col("doc").alias("a"), F.col("star.doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(prefix).alias("p"))
-        new = compared(near.where("c * 4 >= p").select("a", "b"))
+        stars = current.join(central, "doc").groupBy("token").agg(F.max(F.struct(score.alias("score"), "doc", "n", "end", "g")).alias("s"))
+        near = current.join(stars, "token").where((F.col("g") != F.col("s.g")) & fit(F.col("n"), F.col("s.n")))
+        near = near.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("end").alias("ea"), F.col("s.doc").alias("b"), F.col("s.n").alias("nb"), F.col("s.end").alias("eb"))
+        near = near.groupBy(*near.columns).agg(F.count(F.lit(1)).alias("c"))
+        new = compared(near.where(may_link("a", "b")).select("a", "b"))
         star_links = new if star_links is None else star_links.unionByName(new)
         if new.isEmpty():
             break
@@ -326,18 +345,17 @@ def jaccard_components(
         links = links.unionByName(star_links)
 
     current = staged(_several(_with_groups(postings, groups)), "open-postings")
-    matrix = current.groupBy("token", F.col("g").alias("group")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = current.groupBy("token", F.col("g").alias("group")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("end").alias("first"), F.max("end").alias("last"))
     asked = current.join(matrix, "token").where((F.col("g") > F.col("group")) & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent))
-    opened = asked.groupBy("doc", "n", "group").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("last"), F.min("lo").alias("lo"))
-    least = F.greatest(F.col("lo"), _ceil(F.col("n"), percent, 100))
-    opened = opened.where(F.col("c") + F.col("n") - 1 - F.col("last") >= _ceil(F.col("n") + least, percent, 100 + percent)).select("doc", "group")
+    opened = asked.groupBy("doc", "n", "end", "group").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"))
+    more = F.when(F.col("end") < F.col("first"), rest(F.col("n"))).when(F.col("end") > F.col("last"), rest(F.col("hi"))).otherwise(F.greatest(rest(F.col("n")), rest(F.col("hi"))))
+    opened = opened.where(F.col("c") + more >= least_shared(F.col("n"), F.greatest(F.col("lo"), _ceil(F.col("n"), percent, 100)))).select("doc", "group")
     opened = staged(opened, "opened")
-    query = current.join(opened, "doc").select("token", "group", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    member = current.select("token", F.col("g").alias("group"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    query = current.join(opened, "doc").select("token", "group", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("end").alias("ea"))
+    member = current.select("token", F.col("g").alias("group"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("end").alias("eb"))
     pairs = query.join(member, ["token", "group"]).where(fit(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    pairs = pairs.where(F.col("c") + rest >= _ceil(F.col("na") + F.col("nb"), percent, 100 + percent)).select("a", "b")
+    pairs = pairs.groupBy("a", "na", "ea", "b", "nb", "eb").agg(F.count(F.lit(1)).alias("c"))
+    pairs = pairs.where(may_link("a", "b")).select("a", "b")
     links = links.unionByName(compared(pairs))
 
     reached = staged(components(links), "components")
