@@ -58,7 +58,6 @@ def expand_with(files: DataFrame, fn: Callable[[str, bytes], Iterator[dict]], sc
                     rows = [{"path": path, "page_index": i, "reject_reason": None, **r} for i, r in enumerate(fn(path, content))]
                 except Exception as e:  # noqa: BLE001  whatever a caller's library raises becomes a reject
                     rows = [{"path": path, "page_index": None, "reject_reason": f"{type(e).__name__}: {e}"[:500]}]
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"page_index": "Int32"})
+                yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(expand, f"path string, page_index int, reject_reason string, {schema}")
