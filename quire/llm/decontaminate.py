@@ -210,17 +210,24 @@ def find_contamination(
     The automaton goes to every task. Items beyond about block_words words are taken in blocks, one pass over docs each, so what is
     sent stays bounded; between passes docs is written to the shared folder. There is no shuffle in any pass.
     """
+    found = _find(docs, (id_col, *keep), text_col, items, item_id_col, item_text_col, window, block_words)
+    return found.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate((id_col, *keep))], "n_words", "spans", "items")
+
+
+def _find(docs: DataFrame, keep: tuple[str, ...], text_col: str, items: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 200_000, cut_from: int = 0) -> DataFrame:
+    """_keep_0, _keep_1, ... (the columns keep), n_words, spans, items; with cut_from, the text among keep without spans of so many words."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")
-    kept = [F.col(id_col).alias("_id"), text, *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]]
-    out = docs.select(*kept, F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    kept = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
+    out = docs.select(*kept, text, F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     blocks = _blocks(items, item_id_col, item_text_col, block_words)
     for i, block in enumerate(blocks):
         out = staged(out, "decontaminate") if i else out
-        out = _pass(out, Matcher(block, window), bool(i), i + 1 == len(blocks))
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_words", "spans", "items")
+        last = i + 1 == len(blocks)
+        out = _pass(out, Matcher(block, window), bool(i), last, f"_keep_{keep.index(text_col)}" if cut_from and last else None, cut_from)
+    return out
 
 
-def _pass(rows: DataFrame, matcher: Matcher, again: bool, last: bool) -> DataFrame:
+def _pass(rows: DataFrame, matcher: Matcher, again: bool, last: bool, cut_column: str | None = None, cut_from: int = 0) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(matcher)
     names = [c for c in rows.columns if c != "_text" or not last]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
@@ -247,6 +254,11 @@ def _pass(rows: DataFrame, matcher: Matcher, again: bool, last: bool) -> DataFra
                 "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], spans_type),
                 "items": pa.array([sorted(i) for i in items], pa.list_(pa.string())),
             }
+            if cut_column:
+                long = [[(a, b) for a, b in s if b - a >= cut_from] for s in spans]
+                if any(long):
+                    old = batch.column(cut_column).to_pylist()
+                    new[cut_column] = pa.array([cut(t.encode(), s).decode() if s else t for t, s in zip(old, long, strict=True)], batch.column(cut_column).type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
 
     return rows.mapInArrow(find, schema)
@@ -259,15 +271,8 @@ def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "tex
     coverage_limit lies in spans goes as a whole: what is left of it is the frame of a test item. Other rows stay as they are,
     those of null or empty texts too.
     """
-    rest = tuple(docs.columns)
-    found = find_contamination(docs.withColumn("_row", F.lit(None).cast("int")), items, "_row", text_col, keep=rest, **how).drop("_row")
+    keep = tuple(docs.columns)
+    found = _find(docs, keep, text_col, items, cut_from=span_limit, **how)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    found = found.where(~(hit > coverage_limit * F.col("n_words")) | (F.col("n_words") == 0))
-
-    @F.pandas_udf("string")
-    def cut_spans(text, spans):  # noqa: ANN001, ANN202
-        return text.combine(spans, lambda t, s: cut(t.encode(), [(x["start"], x["end"]) for x in s]).decode())
-
-    long = F.filter("spans", lambda s: s["end"] - s["start"] >= span_limit)
-    touched = found.where(F.size(long) > 0).withColumn(text_col, cut_spans(F.col(text_col), long))
-    return found.where(F.size(long) == 0).select(*rest).unionByName(touched.select(*rest))
+    found = found.where((hit <= coverage_limit * F.col("n_words")) | (F.col("n_words") == 0))
+    return found.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])
