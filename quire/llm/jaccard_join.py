@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 _CHUNK = 1 << 20  # bytes of text that are hashed at once
+_STRETCH = 3_000_000  # tokens among which a task counts
+_FEW = 200_000  # rows of a table of links up to which one task takes them all
 _U = np.uint64
 
 
@@ -110,7 +112,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _survey(rows: DataFrame, words: int) -> DataFrame:
-    """(doc, n, digest) for each document, and (token, count) for tokens of three different sets or more among a stretch of a task's."""
+    """(doc, n, digest) for each document, and (token, count) for tokens that several sets among a stretch of a task's hold."""
     names = ["doc", "n", "digest", "token", "count"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
@@ -120,7 +122,7 @@ def _survey(rows: DataFrame, words: int) -> DataFrame:
 
     def frequent(kept: list[np.ndarray]) -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(kept), return_counts=True)
-        often = counts >= 3
+        often = counts >= 2
         return made({"token": tokens[often].view(np.int64), "count": counts[often]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,7 @@ def _survey(rows: DataFrame, words: int) -> DataFrame:
                         seen.add(d)
                         kept.append(s)
                         size += len(s)
-                if size > 4_000_000:
+                if size > _STRETCH:
                     yield frequent(kept)
                     kept, size = [], 0
                     seen.clear()
@@ -147,13 +149,13 @@ def _survey(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, words: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, doc, size): of each set the n - ceil(n * percent / 100) + 1 tokens that come first, rare ones before frequent ones.
+    """(token, doc, pos, size): of each set the n - ceil(n * percent / 100) + 1 tokens that come first, rare ones before frequent ones.
 
     Two sets that link share one of these. size is n * 2^31 + the place in the token order, in 31 bits, of the last of them.
     A task leaves out sets that it has had before: their documents are copies.
     """
     shared = rows.sparkSession.sparkContext.broadcast(order)
-    names = ["token", "doc", "size"]
+    names = ["token", "doc", "pos", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
@@ -178,10 +180,12 @@ def _prefixes(rows: DataFrame, words: int, percent: int, order: tuple[np.ndarray
                     parts.append((s[:p], doc, len(s) << 31 | last << 25 | int(s[p - 1]) >> 39))
                 if parts:
                     sizes = [len(p[0]) for p in parts]
-                    cols = [np.concatenate([p[0] for p in parts]).view(np.int64), np.repeat([p[1] for p in parts], sizes), np.repeat([p[2] for p in parts], sizes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+                    docs, packed = (np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in (1, 2))
+                    tokens = np.concatenate([p[0] for p in parts]).view(np.int64)
+                    pos = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tokens, docs, pos, packed)], names)
 
-    return rows.mapInArrow(run, "token bigint, doc bigint, size bigint")
+    return rows.mapInArrow(run, "token bigint, doc bigint, pos int, size bigint")
 
 
 def _token_lists(rows: DataFrame, words: int) -> DataFrame:
@@ -198,18 +202,22 @@ def _token_lists(rows: DataFrame, words: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach, for each id that a link names. Nothing is collected.
 
-    Large-star and small-star steps in turn, which take about log(n) rounds; each round is written to the shared folder.
+    Large-star and small-star steps in turn, which take about log(n) rounds; each round is written to the shared folder. Up to _FEW
+    links go through one task, which spares the rounds their shuffles; neither step makes more links than there were.
     """
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     was = mark(e)
+    few = was[0] <= _FEW
     while True:
+        e = e.coalesce(1) if few else e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "large-star")
+        large = large.coalesce(1) if few else large
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
@@ -226,6 +234,18 @@ def _with_groups(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
     return postings.join(groups.select(F.col("id").alias("doc"), F.col("component").alias("_g")), "doc", "left").withColumn("g", F.coalesce("_g", "doc")).drop("_g")
 
 
+def _under_stars(links: DataFrame) -> DataFrame:
+    """(id, component): each document of links (a, b) under a star b that it links with, or under that one's own star, two steps on.
+
+    Stars are more central than what is under them, so there is no circle.
+    """
+    up = staged(links.groupBy("a").agg(F.min("b").alias("b")), "stars")
+    for _ in range(2):
+        above = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        up = up.join(above, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+    return up.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
 def _several(postings: DataFrame) -> DataFrame:
     """Postings of tokens that more than one group has."""
     cross = postings.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
@@ -238,7 +258,7 @@ def jaccard_components(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    frequent_most: int = 1 << 20,
+    frequent_most: int = 1 << 21,
     broadcast_most: int = 1 << 20,
     star_rounds: int = 3,
 ) -> DataFrame:
@@ -251,7 +271,7 @@ def jaccard_components(
     integers. Other columns are ignored; no rows give no rows. percent is from 1 to 100.
 
     1. Equal sets are found by digest and go on as one. Token frequencies are counted by the map tasks over all documents; at
-       most frequent_most tokens that stand out get a late place in the token order, which alone depends on them.
+       most frequent_most tokens, the most frequent ones, get a late place in the token order, which alone depends on them.
     2. The prefix tokens of each set under that order are its postings; those that no other set has are dropped: one shuffle.
     3. Similar documents are partitioned into groups: each token's most central document is its star, documents that share enough
        tokens with a star are compared with it, and those that link are one group. That costs a comparison or two a document,
@@ -268,11 +288,14 @@ def jaccard_components(
     survey = staged(_survey(rows, words), "survey")
     sets = survey.where("digest is not null").select("doc", "n", "digest")
 
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    counted = survey.where("token is not null").groupBy("token").agg(F.sum("count").alias("count"))
-    # counts sum up to total at most, so there are no more than frequent_most of these
-    often = counted.where(F.col("count") >= max(8, -(-total // frequent_most))).toArrow()
-    tokens, level = often["token"].to_numpy().view(_U), np.log2(np.maximum(often["count"].to_numpy(), 1)).astype(np.int8)
+    counted = survey.where("token is not null").groupBy("token").agg(F.floor(F.log2(F.sum("count"))).cast("int").alias("level"))
+    counted = staged(counted, "frequent")
+    sizes, level, room = {r.level: r.n for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}, 63, frequent_most
+    while level >= 1 and sizes.get(level, 0) <= room:
+        room -= sizes.get(level, 0)
+        level -= 1
+    often = counted.where(F.col("level") > level).toArrow()  # no more than frequent_most rows
+    tokens, level = often["token"].to_numpy().view(_U), often["level"].to_numpy().astype(np.int8)
     by_token = np.argsort(tokens)
     order = (tokens[by_token], level[by_token])
 
@@ -282,10 +305,10 @@ def jaccard_components(
 
     everywhere = Window.partitionBy("token")
     found = _prefixes(rows, words, percent, order).withColumn("lo", F.min("doc").over(everywhere)).withColumn("hi", F.max("doc").over(everywhere))
-    found = found.where("lo < hi").select("token", "doc", F.shiftright("size", 31).alias("n"), F.col("size").bitwiseAND((1 << 31) - 1).alias("end"))
+    found = found.where("lo < hi").select("token", "doc", "pos", F.shiftright("size", 31).alias("n"), F.col("size").bitwiseAND((1 << 31) - 1).alias("end"))
     found = staged(found, "prefixes")
     found = found.join(copies, "doc", "left").withColumn("doc", F.coalesce("first", "doc")).drop("first")
-    postings = staged(_several(found.groupBy("token", "doc").agg(F.max("n").alias("n"), F.max("end").alias("end")).withColumn("g", F.col("doc"))).drop("g"), "postings")
+    postings = staged(_several(found.groupBy("token", "doc").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.min("pos").alias("pos")).withColumn("g", F.col("doc"))).drop("g"), "postings")
 
     def fit(a: Column, b: Column) -> Column:
         return (a * 100 >= b * percent) & (b * 100 >= a * percent)
@@ -320,13 +343,15 @@ def jaccard_components(
     links = copies.select(F.col("doc").alias("a"), F.col("first").alias("b"))
     star_links: DataFrame | None = None
     groups: DataFrame | None = None
+    linked = 0
     for turn in range(star_rounds):
         current = staged(_several(_with_groups(postings, groups)), "open-postings")
         if turn:
-            # pairs of documents of different groups, at most, that share a token: few enough, and the exact part takes them
+            # pairs of documents of different groups that share a token, at most: where they are few, or stars no longer help, the
+            # exact part takes them
             per = current.groupBy("token", "g").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"))
             left = per.agg(F.sum(F.col("all") * F.col("all") - F.col("own")), F.sum("all")).first()
-            if not left[0] or left[0] <= 20 * left[1]:
+            if not left[0] or left[0] <= 20 * left[1] or linked * 200 < left[1]:
                 break
         prefix = F.col("n") - rest(F.col("n"))
         widths = current.groupBy("token").agg(F.count(F.lit(1)).alias("width"))
@@ -338,19 +363,26 @@ def jaccard_components(
         near = near.groupBy(*near.columns).agg(F.count(F.lit(1)).alias("c"))
         new = compared(near.where(may_link("a", "b")).select("a", "b"))
         star_links = new if star_links is None else star_links.unionByName(new)
-        if new.isEmpty():
+        linked = new.count()
+        if not linked:
             break
-        groups = staged(components(star_links), "groups")
+        groups = staged(components(star_links) if turn else _under_stars(new), "groups")
     if star_links is not None:
         links = links.unionByName(star_links)
 
     current = staged(_several(_with_groups(postings, groups)), "open-postings")
-    matrix = current.groupBy("token", F.col("g").alias("group")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("end").alias("first"), F.max("end").alias("last"))
-    asked = current.join(matrix, "token").where((F.col("g") > F.col("group")) & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent))
+    matrix = current.groupBy("token", F.col("g").alias("group")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("early"), F.min("end").alias("first"), F.max("end").alias("last"))
+    # The first token that two linked sets share comes early in both: what is before it can't be shared.
+    n, smallest = F.col("n"), F.greatest(F.col("lo"), _ceil(F.col("n"), percent, 100))
+    largest = F.least(F.col("hi"), F.floor(n * 100 / F.lit(percent)))
+    early = (F.col("pos") <= n - least_shared(n, smallest)) & (F.col("early") <= largest - least_shared(n, largest))
+    asked = current.join(matrix, "token").where((F.col("g") > F.col("group")) & (smallest <= largest) & early)
+    reached = staged(asked.select("doc", "group").distinct(), "reached")
+    asked = current.join(reached, "doc").join(matrix, ["token", "group"])
+    asked = asked.where(smallest <= largest)
     opened = asked.groupBy("doc", "n", "end", "group").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"))
-    more = F.when(F.col("end") < F.col("first"), rest(F.col("n"))).when(F.col("end") > F.col("last"), rest(F.col("hi"))).otherwise(F.greatest(rest(F.col("n")), rest(F.col("hi"))))
-    opened = opened.where(F.col("c") + more >= least_shared(F.col("n"), F.greatest(F.col("lo"), _ceil(F.col("n"), percent, 100)))).select("doc", "group")
-    opened = staged(opened, "opened")
+    more = F.when(F.col("end") < F.col("first"), rest(n)).when(F.col("end") > F.col("last"), rest(F.col("hi"))).otherwise(F.greatest(rest(n), rest(F.col("hi"))))
+    opened = staged(opened.where(F.col("c") + more >= least_shared(n, smallest)).select("doc", "group"), "opened")
     query = current.join(opened, "doc").select("token", "group", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("end").alias("ea"))
     member = current.select("token", F.col("g").alias("group"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("end").alias("eb"))
     pairs = query.join(member, ["token", "group"]).where(fit(F.col("na"), F.col("nb")))
