@@ -21,7 +21,8 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur tu te toi ton
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 PREFIXES = (4, 5, 6, 7)
 NEAR = 6  # words between a lexicon word and a pronoun of address that counts as close
-_MEMO = 200_000
+_MEMO = 300_000
+_EDGES = ".,;:!?\"'()[]{}%&$*#-"
 FEATURES = (
     "log_words", "hit_density", "log_hits", "hit_weight", "most_weight", "stem_density", "log_stems", "stem_weight", "most_stem",
     "close_hits", "close_density", "address_density", "capitals", "shouted", "punctuation", "exclaimed", "symbols", "obfuscated", "uncovered",
@@ -55,19 +56,22 @@ class Features:
         self.rows = np.zeros((1024, 14), np.float32)
 
     def _look(self, token: str) -> list[float]:
-        lexicon, letters = self.lexicon, [c for c in token if c.isalpha()]
-        low = token.lower()
-        parts = "".join(c if c.isalpha() else " " for c in low).split()
+        lexicon, core = self.lexicon, token.strip(_EDGES)
+        plain = core.isalpha()  # most tokens: letters, with punctuation around them at most
+        low = core.lower() if plain else token.lower()
+        parts = [low] if plain else "".join(c if c.isalpha() else " " for c in low).split()
         word = max((lexicon.get(p, 0.0) for p in parts), default=0.0)
         stem = max((lexicon.get("^" + p[:n], 0.0) for p in parts for n in PREFIXES if len(p) > n), default=0.0)
-        body = low.strip(".,;:!?\"'()[]{}%&$*#-")
-        obscure = bool(letters) and any(not c.isalpha() and c not in "'’-" for c in body)
-        joined = "".join(c for c in body.translate(LOOKALIKE) if c.isalpha()) if obscure else ""
+        letters = len(core) if plain else sum(c.isalpha() for c in token)
+        upper = 0 if core.islower() and plain else sum(c.isupper() for c in token if c.isalpha())
+        obscure = not plain and letters > 0 and any(not c.isalpha() and c not in "'’-" for c in core)
+        joined = "".join(c for c in core.lower().translate(LOOKALIKE) if c.isalpha()) if obscure else ""
         uncovered = lexicon.get(joined, 0.0) if obscure and not word else 0.0
-        upper = sum(c.isupper() for c in letters)
+        edges = len(token) - len(core)
+        marks = edges if plain else sum(not c.isalnum() for c in token)
         return [
-            word, stem, any(p in SECOND_PERSON for p in parts), len(letters), upper, len(letters) > 2 and upper == len(letters),
-            sum(not c.isalnum() for c in token), token.count("!"), sum(c in "%&$*#@|~^" for c in token), obscure, uncovered, word > 0, stem > 0, len(token),
+            word, stem, any(p in SECOND_PERSON for p in parts), letters, upper, letters > 2 and upper == letters,
+            marks, token.count("!") if marks else 0, sum(map(token.count, "%&$*#@|~^")) if marks else 0, obscure, uncovered, word > 0, stem > 0, len(token),
         ]
 
     def _numbers(self, tokens: list[str]) -> np.ndarray:
