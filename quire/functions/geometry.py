@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Scales of exported pages, of thumbnails and of the viewer, the preset ladder and the limits of a fitted scale.
 EXPORT_SCALE, THUMBNAIL_SCALE, VIEW_SCALE = 2.0, 0.3, 1.5
-SCALE_PRESETS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0)
+SCALE_PRESETS = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0)
 LEAST_SCALE, MOST_SCALE = 0.25, 5.0
 VIEWPORT_PADDING, VIEWPORT_HEIGHT = 32.0, 500.0
 

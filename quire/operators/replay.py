@@ -107,7 +107,7 @@ def replay_set_edits(edits: DataFrame, initial: DataFrame | None = None) -> Data
     """
     logs = edits
     if initial is None:
-        logs = _since_reset(edits.withColumn("op", F.col("op")), "set_id")
+        logs = _since_reset(edits, "set_id")
     entry = F.struct("ts", "seq", "op", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("seq").cast("bigint").alias("doc"))
     folded = logs.groupBy("set_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
     if initial is None:

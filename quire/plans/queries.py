@@ -17,7 +17,7 @@ from ..operators import geometry as plans
 from ..sources import files as sources
 from ..streaming import progress as stream_progress_ops
 from ..streaming import replay as stream_replay_ops
-from .views import PAGE_CHARS, frame, oracle
+from .views import PAGE_CHARS, VIEWS, frame, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,7 +383,7 @@ def fit_scale(spark, d):
 
 
 @query("""SELECT doc_id, page_index + 1 AS page_number, scale, concat(CAST(floor(scale * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT), '%') AS label, width_pt * scale AS width_px, height_pt * scale AS height_px
-FROM (SELECT *, unnest(CAST([0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0] AS DOUBLE[])) AS scale FROM {fx_lines})""")
+FROM (SELECT *, unnest(CAST([0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0] AS DOUBLE[])) AS scale FROM {fx_lines})""")
 def scale_ladder(spark, d):
     return plans.scale_ladder(frame(spark, d, "fx_lines"))
 
@@ -443,7 +443,7 @@ def progress_of_pages(spark, d):
 QUERIES["progress"], ORACLES["progress"] = QUERIES.pop("progress_of_pages"), ORACLES.pop("progress_of_pages")
 
 
-def _latest(spark: SparkSession, stream: DataFrame, key: str, per_batch: bool = True) -> DataFrame:
+def _latest(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame:
     """Runs a stream in update mode over all that is there, and gives the last row of each key."""
     path = scratch(spark)
 
@@ -466,8 +466,6 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query(_REPLAY + _FINAL_PAGES)
 def stream_replay(spark, d):
-    from .views import VIEWS
-
     with_rocksdb = "spark.sql.streaming.stateStore.providerClass"
     was = spark.conf.get(with_rocksdb)
     spark.conf.set(with_rocksdb, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
