@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed marks of the template. <|turn|>role, a newline, the content, <|end|>, a newline.
@@ -76,12 +76,10 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     One shuffle, by conversation: the offsets (window) and the joining (aggregation) need the same partitioning.
     """
-    from pyspark.sql import Window
-
     parts = F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>"))
     n_att = F.size(F.filter(parts, lambda p: p.isNotNull() & (F.coalesce(p["kind"], F.lit("text")) != "text")))
     rows = turns.select(F.col(conv_col), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_role"), parts.alias("_parts"), n_att.alias("_att"))
-    order = Window.partitionBy(conv_col).orderBy(F.col("_turn").asc_nulls_first(), "_role", F.to_json("_parts"))
+    order = Window.partitionBy(conv_col).orderBy(F.col("_turn").asc_nulls_first(), "_role", "_parts")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_first", F.coalesce(F.sum("_att").over(before), F.lit(0)))
     content, attached = visit(F.col("_parts"), F.col("_first"))
