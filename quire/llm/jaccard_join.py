@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 _CHUNK = 1 << 20  # bytes of text that are hashed at once
-_STRETCH = 3_000_000  # tokens among which a task counts
+_STRETCH = 1_500_000  # tokens among which a task counts
 _FEW = 200_000  # rows of a table of links up to which one task takes them all
 _U = np.uint64
 
@@ -383,11 +383,12 @@ def jaccard_components(
     opened = asked.groupBy("doc", "n", "end", "group").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"))
     more = F.when(F.col("end") < F.col("first"), rest(n)).when(F.col("end") > F.col("last"), rest(F.col("hi"))).otherwise(F.greatest(rest(n), rest(F.col("hi"))))
     opened = staged(opened.where(F.col("c") + more >= least_shared(n, smallest)).select("doc", "group"), "opened")
-    query = current.join(opened, "doc").select("token", "group", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("end").alias("ea"))
-    member = current.select("token", F.col("g").alias("group"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("end").alias("eb"))
-    pairs = query.join(member, ["token", "group"]).where(fit(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy("a", "na", "ea", "b", "nb", "eb").agg(F.count(F.lit(1)).alias("c"))
-    pairs = pairs.where(may_link("a", "b")).select("a", "b")
+    # one row for each document and member of a group that it opens, whatever they share
+    held = current.groupBy("doc", "n", "end", "g").agg(F.collect_list("token").alias("tokens"))
+    query = held.join(opened, "doc").select("group", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("end").alias("ea"), F.col("tokens").alias("ta"))
+    member = held.select(F.col("g").alias("group"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("end").alias("eb"), F.col("tokens").alias("tb"))
+    pairs = query.join(member, "group").where(fit(F.col("na"), F.col("nb"))).withColumn("c", F.size(F.array_intersect("ta", "tb")))
+    pairs = pairs.where((F.col("c") > 0) & may_link("a", "b")).select("a", "b")
     links = links.unionByName(compared(pairs))
 
     reached = staged(components(links), "components")
