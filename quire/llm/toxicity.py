@@ -21,7 +21,7 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur tu te toi ton
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 PREFIXES = (4, 5, 6, 7)
 NEAR = 6  # words between a lexicon word and a pronoun of address that counts as close
-_MEMO = 300_000
+_MEMO = 150_000
 _EDGES = ".,;:!?\"'()[]{}%&$*#-"
 FEATURES = (
     "log_words", "hit_density", "log_hits", "hit_weight", "most_weight", "stem_density", "log_stems", "stem_weight", "most_stem",
