@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 _CHUNK = 1 << 20  # bytes of text that are hashed at once
-_STRETCH = 1_500_000  # tokens among which a task counts
+_STRETCH = 1_000_000  # tokens among which a task counts
 _FEW = 200_000  # rows of a table of links up to which one task takes them all
 _U = np.uint64
 
