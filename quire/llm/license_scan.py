@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,7 @@ TEMPLATES = (
 )
 #: What a block has to hold to be a candidate, any case.
 CUES = ("licen[sc]e", "copyright", "permission is hereby", "redistribution and use", "spdx", "creative commons", "\\bcc by")
+_CUE = re.compile("|".join(CUES), re.IGNORECASE | re.ASCII)
 _PUNCTUATION = " \t\r\n.,;:!?\"'()[]{}<>*#/|-"
 
 
@@ -58,13 +61,15 @@ class Verdict:
 
 
 class Scanner:
-    """Ranks templates for a block by how much they save as a raw dictionary, then compares the wording with the best ones."""
+    """Compares the wording of templates with stretches around cues, those first that save most as a raw dictionary."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], level: int = 3) -> None:
+    def __init__(self, templates: tuple[tuple[str, str], ...], level: int = 3, tolerance: float = 0.1) -> None:
         import zstandard
 
         self.names = [name for name, _ in templates]
         self.wordings = [wording(text) for _, text in templates]
+        self.tolerance = tolerance
+        self.reach = max((len(w) + int(tolerance * len(w)) for w in self.wordings), default=0)  # words that a notice can have
         raw = [zstandard.ZstdCompressionDict((" " + text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, text in templates]
         small = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(level=level, **small)
@@ -77,9 +82,29 @@ class Scanner:
         saved = [(whole - len(c.compress(data)), i) for i, c in enumerate(self.primed)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
+    def stretches(self, block: str) -> Iterator[str]:
+        """Overlapping stretches that hold all the cues, with as many words to both sides as a notice can have; at most 3 times that."""
+        at = [m.span() for m in re.finditer(r"\S+", block)]
+        starts = [a for a, _ in at]
+        cues = [bisect_right(starts, m.start()) - 1 for m in _CUE.finditer(block)]
+        while cues:
+            end = bisect_right(cues, cues[0] + self.reach)
+            yield block[at[max(0, cues[0] - self.reach)][0] : at[min(len(at) - 1, cues[end - 1] + self.reach)][1]]
+            cues = cues[end:]
+
+    def compare(self, stretch: str, best: int) -> tuple[float, int, int] | None:
+        """(share of differing words, -bytes saved, template), the least; None if no template saves bytes and none is confirmed."""
+        said, ranked = wording(stretch), self.rank(stretch)
+        found: list[tuple[float, int, int]] = []
+        for n, (saved, i) in enumerate(ranked):
+            if n >= best and any(not share for share, _, _ in found):
+                break  # the others save less
+            found.append((differences(self.wordings[i], said) / max(1, len(self.wordings[i])), -saved, i))
+        least = min(found, default=None)
+        return least if least and (ranked[0][0] > 0 or least[0] <= self.tolerance) else None
+
     def judge(self, block: str, best: int) -> Verdict:
-        said = wording(block)
-        found = [(differences(self.wordings[i], said) / max(1, len(self.wordings[i])), -saved, i) for saved, i in self.rank(block)[:best] if saved > 0]
+        found = [f for s in self.stretches(block) if (f := self.compare(s, best))]
         if not found:
             return Verdict(None, -1, 0, 0, 0)
         share, saved, i = min(found)
@@ -96,11 +121,12 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per candidate block: id_col, block_no (line from 0), license, template, saved_bytes, n_diffs, exact, confirmed.
 
-    Blocks are lines; candidates are those with a cue word. Each template, as a raw dictionary, saves some bytes of the compressed
-    block; the `best` templates that save most are compared word by word with the block, and the one with the smallest share of
-    differing words wins (then more bytes saved, then the earlier template). n_diffs are the words to add, drop or replace to find the
-    template's wording inside the block; exact means none, confirmed at most tolerance of the template's words. A block that no
-    template helps has a null license and isn't confirmed. Null and empty texts have no blocks. Blocks are taken whole.
+    Blocks are lines; candidates are those with a cue word. A block is looked at in stretches around its cues, longer than the longest
+    template. Each template, as a raw dictionary, saves some bytes of a compressed stretch. All templates are compared word by word with
+    it, those that save most first (after `best` of them an exact one ends the search, as none can do better), and the one with the
+    smallest share of differing words wins (then more bytes saved, then the earlier template). n_diffs are the words to add, drop or
+    replace to find the template's wording inside the stretch; exact means none, confirmed at most tolerance of the template's words. A
+    block that no template helps and none is confirmed in has a null license. Null and empty texts have no blocks. Blocks are taken whole.
 
     The cue filter runs in Spark before any line leaves the JVM; there is no shuffle.
     """
@@ -108,7 +134,7 @@ def scan_licenses(
     lines = lines.where(F.col("_block").rlike("(?i)" + "|".join(CUES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
+        scanner = Scanner(templates, tolerance=tolerance)
         for batch in batches:
             v = [scanner.judge(b.as_py(), best) for b in batch.column("_block")]
             known = [x.license is not None for x in v]

@@ -148,6 +148,15 @@ def test_license_of_every_template():
         assert (v.license, v.diffs) == (name, 0), i
 
 
+@pytest.mark.parametrize("size", [1_000, 12_000, 100_000])
+def test_license_in_a_long_line(spark, size):
+    rng = random.Random(size)
+    noise = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(size // 13))
+    texts = [f"{noise()} {text} {noise()}" for _, text in license_scan.TEMPLATES]
+    got = {r.doc_id: (r.license, r.n_diffs, r.confirmed) for r in license_scan.scan_licenses(docs_of(spark, texts)).collect()}
+    assert got == {i: (name, 0, True) for i, (name, _) in enumerate(license_scan.TEMPLATES)}
+
+
 def test_differences():
     def plain(t, b):
         row = [0] * (len(b) + 1)
