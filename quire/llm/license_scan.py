@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,11 @@ TEMPLATES = (
 )
 #: What a block has to hold to be a candidate, any case.
 CUES = ("licen[sc]e", "copyright", "permission is hereby", "redistribution and use", "spdx", "creative commons", "\\bcc by")
-_CUE = re.compile("|".join(CUES), re.IGNORECASE | re.ASCII)
 _PUNCTUATION = " \t\r\n.,;:!?\"'()[]{}<>*#/|-"
+_SPACE = "\\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_GAP = f"[{re.escape(_PUNCTUATION)}]*[{_SPACE}][{re.escape(_PUNCTUATION)}{_SPACE}]*"  # between words of a cue: line ends and comment marks too
+_CUE = re.compile("|".join(c.replace(" ", _GAP) for c in CUES), re.IGNORECASE | re.ASCII)
+_MAYBE = "(?i)" + "|".join(c.replace(" ", "[^0-9A-Za-z]+").replace("\\b", "") for c in CUES)  # finds all that _CUE finds
 
 
 def wording(text: str) -> list[str]:
@@ -37,18 +41,23 @@ def wording(text: str) -> list[str]:
     return [w for w in (x.strip(_PUNCTUATION) for x in text.lower().split()) if w]
 
 
+def alignments(template: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end (excluded) in the block: the least number of words to add, drop or replace that turns the template into a stretch
+    that ends there, and the start of the shortest such stretch."""
+    one = 1 << 32
+    row = one - 1 - np.arange(len(block) + 1)  # cost * one + (one - 1 - start); a stretch may begin anywhere
+    step = np.arange(len(block) + 1) * one
+    for w in template:
+        cost = np.concatenate(([row[0] + one], np.minimum(row[1:] + one, row[:-1] + one * (block != w))))
+        row = np.minimum.accumulate(cost - step) + step  # words of the block that the template lacks
+    return row // one, one - 1 - row % one
+
+
 def differences(template: list[str], block: list[str]) -> int:
     """The least number of words to add, drop or replace that turns the template into some stretch of the block."""
-    if not template:
-        return 0
     codes: dict[str, int] = {}
-    b = np.array([codes.setdefault(w, len(codes)) for w in block], np.int64)
-    row = np.zeros(len(b) + 1, np.int64)  # a stretch may begin anywhere
-    step = np.arange(len(b) + 1)
-    for w in template:
-        cost = np.concatenate(([row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + (b != codes.get(w, -1)))))
-        row = np.minimum.accumulate(cost - step) + step  # words of the block that the template lacks
-    return int(row.min())
+    t, b = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (template, block))
+    return int(alignments(t, b)[0].min())
 
 
 @dataclass(frozen=True)
@@ -60,14 +69,24 @@ class Verdict:
     words: int
 
 
+@dataclass(frozen=True)
+class Notice:
+    start: int
+    end: int
+    line: int
+    verdict: Verdict
+
+
 class Scanner:
-    """Compares the wording of templates with stretches around cues, those first that save most as a raw dictionary."""
+    """Finds notices around the cues of a text, in the wording of templates; those that save most as a raw dictionary go first."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], level: int = 3, tolerance: float = 0.1) -> None:
         import zstandard
 
         self.names = [name for name, _ in templates]
         self.wordings = [wording(text) for _, text in templates]
+        self.codes: dict[str, int] = {}
+        self.coded = [np.array([self.codes.setdefault(w, len(self.codes)) for w in words], np.int64) for words in self.wordings]
         self.tolerance = tolerance
         self.reach = max((len(w) + int(tolerance * len(w)) for w in self.wordings), default=0)  # words that a notice can have
         raw = [zstandard.ZstdCompressionDict((" " + text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _, text in templates]
@@ -82,16 +101,6 @@ class Scanner:
         saved = [(whole - len(c.compress(data)), i) for i, c in enumerate(self.primed)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def stretches(self, block: str) -> Iterator[str]:
-        """Overlapping stretches that hold all the cues, with as many words to both sides as a notice can have; at most 3 times that."""
-        at = [m.span() for m in re.finditer(r"\S+", block)]
-        starts = [a for a, _ in at]
-        cues = [bisect_right(starts, m.start()) - 1 for m in _CUE.finditer(block)]
-        while cues:
-            end = bisect_right(cues, cues[0] + self.reach)
-            yield block[at[max(0, cues[0] - self.reach)][0] : at[min(len(at) - 1, cues[end - 1] + self.reach)][1]]
-            cues = cues[end:]
-
     def compare(self, stretch: str, best: int) -> tuple[float, int, int] | None:
         """(share of differing words, -bytes saved, template), the least; None if no template saves bytes and none is confirmed."""
         said, ranked = wording(stretch), self.rank(stretch)
@@ -103,13 +112,81 @@ class Scanner:
         least = min(found, default=None)
         return least if least and (ranked[0][0] > 0 or least[0] <= self.tolerance) else None
 
-    def judge(self, block: str, best: int) -> Verdict:
-        found = [f for s in self.stretches(block) if (f := self.compare(s, best))]
-        if not found:
-            return Verdict(None, -1, 0, 0, 0)
-        share, saved, i = min(found)
+    def judge(self, stretch: str, best: int) -> Verdict:
+        found = self.compare(stretch, best)
+        return self.verdict(*found) if found else Verdict(None, -1, 0, 0, 0)
+
+    def verdict(self, share: float, saved: int, i: int) -> Verdict:
         return Verdict(self.names[i], i, -saved, round(share * len(self.wordings[i])), len(self.wordings[i]))
 
+    def _occurrences(self, i: int, block: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(differences, start, end) of template i in the block, within tolerance, the best of those that overlap."""
+        template = self.coded[i]
+        most = self.tolerance * len(template)
+        if len(template) - np.isin(template, block).sum() > most:
+            return
+        costs, starts = alignments(template, block)
+        taken: list[tuple[int, int]] = []
+        for end in sorted(np.flatnonzero(costs <= most).tolist(), key=lambda e: (costs[e], e)):
+            start = int(starts[end])
+            if start < end and all(end <= a or b <= start for a, b in taken):
+                taken.append((start, end))
+                yield int(costs[end]), start, end
+
+    def notices(self, text: str, best: int) -> list[Notice]:
+        """The notices of a text in their order, then what is left of the cues, one for those near each other."""
+        said, starts, ends = array("q"), array("q"), array("q")
+        was = ""
+        for m in re.finditer(r"\S+", text):
+            if w := m.group().lower().strip(_PUNCTUATION):
+                if ends and text[ends[-1] - 1] == "-" and (whole := f"{was}-{w}") in self.codes and "\n" in text[ends[-1] : m.start()]:
+                    said[-1], ends[-1], was = self.codes[whole], m.end(), whole  # wrapped at its hyphen
+                    continue
+                was = w
+                said.append(self.codes.get(w, -1))
+                starts.append(m.start())
+                ends.append(m.end())
+        words = np.frombuffer(said, np.int64) if said else np.zeros(0, np.int64)
+        cues = sorted({bisect_right(starts, m.start()) - 1 for m in _CUE.finditer(text)})
+        found: set[tuple[int, int, int, int]] = set()
+        at = 0
+        while at < len(cues):  # overlapping stretches that hold every notice with a cue; at most 3 times the longest notice
+            to = bisect_right(cues, cues[at] + self.reach)
+            low = max(0, cues[at] - self.reach)
+            block = words[low : cues[to - 1] + self.reach + 1]
+            found |= {(i, cost, low + a, low + b) for i in range(len(self.coded)) for cost, a, b in self._occurrences(i, block)}
+            at = to
+        ranked = []
+        for i, cost, a, b in found:
+            data = text[starts[a] : ends[b - 1]].encode()
+            ranked.append((cost / len(self.coded[i]), len(self.primed[i].compress(data)) - len(self.plain.compress(data)), i, a, b))
+        held = bytearray(len(words))
+        taken: list[tuple[int, int]] = []
+        out: list[tuple[int, int, Verdict]] = []
+        for share, saved, i, a, b in sorted(ranked):
+            held[a:b] = b"\1" * (b - a)
+            near = taken[bisect_left(taken, (a - self.reach, 0)) : bisect_left(taken, (b, 0))]
+            if all(2 * (min(b, d) - max(a, c)) <= min(b - a, d - c) for c, d in near):
+                insort(taken, (a, b))
+                out.append((a, b, self.verdict(share, saved, i)))
+        cues = [c for c in cues if not held[c]]
+        while cues:
+            to = 1
+            while to < len(cues) and cues[to] <= cues[0] + self.reach and held.find(1, cues[to - 1], cues[to]) < 0:
+                to += 1
+            first, last = cues[0], cues[to - 1]
+            low, high = max(0, first - self.reach), min(len(words), last + self.reach + 1)
+            low = max(low, held.rfind(1, low, first) + 1)
+            high = after if (after := held.find(1, last, high)) >= 0 else high
+            out.append((first, last + 1, self.judge(text[starts[low] : ends[high - 1]], best)))
+            cues = cues[to:]
+        made, line, seen = [], 0, 0
+        for a, b, v in sorted(out, key=lambda x: x[:2]):
+            line += text.count("\n", seen, starts[a])
+            seen = starts[a]
+            made.append(Notice(starts[a], ends[b - 1], line, v))
+        return made
+
 
 def scan_licenses(
     docs: DataFrame,
@@ -119,39 +196,46 @@ def scan_licenses(
     best: int = 3,
     tolerance: float = 0.1,
 ) -> DataFrame:
-    """One row per candidate block: id_col, block_no (line from 0), license, template, saved_bytes, n_diffs, exact, confirmed.
+    """One row per notice: id_col, block_no (its first line, from 0), license, template, saved_bytes, n_diffs, exact, confirmed, start, end.
+
+    Texts are looked at as words, so a notice may be wrapped over lines (at hyphens too) and carry comment marks. Candidates are stretches of the whole
+    text, to both sides of each cue as long as the longest notice. All templates are compared with them word by word: n_diffs are the
+    words to add, drop or replace to find the template's wording, exact means none, and what has at most tolerance of the template's
+    words is a confirmed notice. Of notices that share more than half of the shorter one, the one with the smallest share of differing
+    words counts (then more bytes that the template as a raw dictionary saves of it, then the earlier template); all others have a row
+    each. start and end (excluded) are its place in the text, in characters from 0.
 
-    Blocks are lines; candidates are those with a cue word. A block is looked at in stretches around its cues, longer than the longest
-    template. Each template, as a raw dictionary, saves some bytes of a compressed stretch. All templates are compared word by word with
-    it, those that save most first (after `best` of them an exact one ends the search, as none can do better), and the one with the
-    smallest share of differing words wins (then more bytes saved, then the earlier template). n_diffs are the words to add, drop or
-    replace to find the template's wording inside the stretch; exact means none, confirmed at most tolerance of the template's words. A
-    block that no template helps and none is confirmed in has a null license. Null and empty texts have no blocks. Blocks are taken whole.
+    Cues outside any confirmed notice give a row that isn't confirmed, one for those within the longest notice of each other with no
+    notice between, with the place of the cues and the template that is nearest by words (then by bytes saved) in the stretch around
+    them. Its license is null if no template saves bytes of that stretch. `best` decides costs only: after so many templates, in the
+    order of bytes saved, an exact one ends the comparing of such a stretch. Null and empty texts have no rows. Texts are taken whole.
 
-    The cue filter runs in Spark before any line leaves the JVM; there is no shuffle.
+    The cue filter runs in Spark before any text leaves the JVM; there is no shuffle.
     """
-    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block_no", "_block"))
-    lines = lines.where(F.col("_block").rlike("(?i)" + "|".join(CUES)))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(_MAYBE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, tolerance=tolerance)
         for batch in batches:
-            v = [scanner.judge(b.as_py(), best) for b in batch.column("_block")]
+            rows = [(k, n) for k, text in enumerate(batch.column("_text")) for n in scanner.notices(text.as_py(), best)]
+            v = [n.verdict for _, n in rows]
             known = [x.license is not None for x in v]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_id"),
-                    batch.column("block_no"),
+                    batch.column("_id").take(pa.array([k for k, _ in rows], pa.int64())),
+                    pa.array([n.line for _, n in rows], pa.int32()),
                     pa.array([x.license for x in v], pa.string()),
                     pa.array([x.template if x.license else None for x in v], pa.int32()),
                     pa.array([x.saved for x in v], pa.int64()),
                     pa.array([x.diffs for x in v], pa.int64()),
                     pa.array([k and not x.diffs for k, x in zip(known, v, strict=True)], pa.bool_()),
                     pa.array([k and x.diffs <= tolerance * x.words for k, x in zip(known, v, strict=True)], pa.bool_()),
+                    pa.array([n.start for _, n in rows], pa.int64()),
+                    pa.array([n.end for _, n in rows], pa.int64()),
                 ],
-                ["_id", "block_no", "license", "template", "saved_bytes", "n_diffs", "exact", "confirmed"],
+                ["_id", "block_no", "license", "template", "saved_bytes", "n_diffs", "exact", "confirmed", "start", "end"],
             )
 
-    id_type = lines.schema["_id"].dataType.simpleString()
-    out = lines.mapInArrow(run, f"_id {id_type}, block_no int, license string, template int, saved_bytes bigint, n_diffs bigint, exact boolean, confirmed boolean")
+    id_type = texts.schema["_id"].dataType.simpleString()
+    out = texts.mapInArrow(run, f"_id {id_type}, block_no int, license string, template int, saved_bytes bigint, n_diffs bigint, exact boolean, confirmed boolean, start bigint, end bigint")
     return out.withColumnRenamed("_id", id_col)

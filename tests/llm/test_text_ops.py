@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +158,23 @@ def test_license_in_a_long_line(spark, size):
     assert got == {i: (name, 0, True) for i, (name, _) in enumerate(license_scan.TEMPLATES)}
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_licenses(spark, mark):
+    texts = ["\n".join(["import os", *[mark + x for x in textwrap.wrap(text, width, break_long_words=False)], "x = 1"]) for width in (20, 76) for _, text in license_scan.TEMPLATES]
+    got = sorted((r.doc_id, r.block_no, r.license, r.n_diffs, r.confirmed) for r in license_scan.scan_licenses(docs_of(spark, texts)).collect())
+    assert got == [(i, 1, license_scan.TEMPLATES[i % len(license_scan.TEMPLATES)][0], 0, True) for i in range(len(texts))]
+
+
+def test_several_licenses_in_a_line(spark):
+    filler = "lorem ipsum dolor " * 40
+    for between in (" ", f" {filler} ", "\n"):
+        text = "é " + between.join(t for _, t in license_scan.TEMPLATES)
+        got = license_scan.scan_licenses(docs_of(spark, [text])).orderBy("start").collect()
+        assert [(r.license, r.n_diffs, r.confirmed, text[r.start : r.end]) for r in got] == [(name, 0, True, t) for name, t in license_scan.TEMPLATES]
+    twice = license_scan.scan_licenses(docs_of(spark, ["Released under the MIT License. " * 2 + f"{filler} Copyright nobody"])).orderBy("start").collect()
+    assert [(r.confirmed, r.start) for r in twice] == [(True, 0), (True, 32), (False, 64 + len(filler) + 1)]
+
+
 def test_differences():
     def plain(t, b):
         row = [0] * (len(b) + 1)
