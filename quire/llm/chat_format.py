@@ -45,14 +45,23 @@ def text_part(text: Column) -> Column:
 def visit(parts: Column, first: Column) -> tuple[Column, Column]:
     """What a turn's parts come to: the content string, and the attachments as an array of (ordinal, kind, uri, tokens).
 
-    Text is escaped. Each other part becomes the placeholder <|kind:ordinal|>; ordinals count the conversation's attachments from
+    Text is escaped, neighbouring text parts as one, so that no control string arises where they meet. Each other part becomes the placeholder <|kind:ordinal|>; ordinals count the conversation's attachments from
     `first`. A null part is skipped, a null kind counts as text.
     """
     parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     is_text = lambda p: F.coalesce(p["kind"], F.lit("text")) == "text"
     before = lambda i: first + F.size(F.filter(F.slice(parts, 1, i), lambda q: ~is_text(q)))
     mark = lambda p, i: F.concat(F.lit("<|"), escape(p["kind"]), F.lit(":"), before(i).cast("string"), F.lit("|>"))
-    content = F.array_join(F.transform(parts, lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(mark(p, i))), "")
+    said = F.transform(parts, lambda p, i: F.struct(is_text(p).alias("text"), F.when(is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(mark(p, i)).alias("said")))
+    content = F.aggregate(
+        said,
+        F.struct(F.lit("").alias("done"), F.lit("").alias("run")),
+        lambda a, x: F.struct(
+            F.when(x["text"], a["done"]).otherwise(F.concat(a["done"], escape(a["run"]), x["said"])).alias("done"),
+            F.when(x["text"], F.concat(a["run"], x["said"])).otherwise("").alias("run"),
+        ),
+        lambda a: F.concat(a["done"], escape(a["run"])),
+    )
     per = F.create_map(*[x for k, v in UNIT_TOKENS.items() for x in (F.lit(k), F.lit(v))])
     made = F.transform(
         parts,
