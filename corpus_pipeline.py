@@ -29,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items go from the texts, and documents that are mostly such passages; n_chars follows the text."""
-    out = decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+    """Passages of benchmark items, and short items as a whole, go from the texts, and documents that are mostly such passages; n_chars follows the text."""
+    out = decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"), short_items=True)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

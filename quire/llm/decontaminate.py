@@ -264,15 +264,19 @@ def _pass(rows: DataFrame, matcher: Matcher, again: bool, last: bool, cut_column
     return rows.mapInArrow(find, schema)
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", span_limit: int = 10, coverage_limit: float = 0.5, **how) -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", span_limit: int = 10, coverage_limit: float = 0.5, short_items: bool = False, **how) -> DataFrame:
     """docs without what it shares with the items; docs' columns.
 
-    Spans of at least span_limit words go from the text, with the white space behind each. A document of which more than
+    Spans of at least span_limit words go from the text, with the white space behind each; with short_items also the shorter ones that
+    are the whole of an item, for which windows mustn't be shorter than span_limit. A document of which more than
     coverage_limit lies in spans goes as a whole: what is left of it is the frame of a test item. Other rows stay as they are,
     those of null or empty texts too.
     """
+    if short_items and how.get("window", 10) < span_limit:
+        raise ValueError("with short_items a window needs at least span_limit words")
     keep = tuple(docs.columns)
-    found = _find(docs, keep, text_col, items, cut_from=span_limit, **how)
+    # a span below span_limit, thus below the window, is made of whole items
+    found = _find(docs, keep, text_col, items, cut_from=1 if short_items else span_limit, **how)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     found = found.where((hit <= coverage_limit * F.col("n_words")) | (F.col("n_words") == 0))
     return found.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)])

@@ -60,6 +60,26 @@ def test_remove_contamination(spark):
     assert decontaminate.remove_contamination(docs_of(spark, []), items).columns == ["doc_id", "text", "n_tokens", "spans"]
 
 
+@pytest.mark.parametrize("block_words", [200_000, 1])
+def test_remove_short_items(spark, block_words):
+    items = spark.createDataFrame([(1, "Who wrote it?"), (2, "a b c d e f g h i"), (3, " ".join(f"w{i}" for i in range(12))), (4, "it then why")], "item_id bigint, text string")
+    around = " ".join(f"v{i}" for i in range(30))
+    texts = [f"{around} who WROTE it? {around}", f"{around} a b c d e f g h i {around}", f"{around} who wrote {around}", "who wrote it", f"{around} w0 w1 w2 {around}", f"{around} who wrote it then why {around}", None]
+    out = {r.doc_id: r.text for r in decontaminate.remove_contamination(docs_of(spark, texts), items, short_items=True, block_words=block_words).collect()}
+    assert out == {0: f"{around} ? {around}", 1: f"{around} {around}", 2: texts[2], 4: texts[4], 5: f"{around} {around}", 6: None}
+    with pytest.raises(ValueError, match="window"):
+        decontaminate.remove_contamination(docs_of(spark, texts), items, short_items=True, window=5)
+
+
+def test_pipeline_cuts_short_items(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "who wrote it")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    around = " ".join(f"v{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"{around} who wrote it {around}", 0)], "doc_id bigint, text string, n_chars bigint")
+    assert corpus_pipeline.cut_benchmark(spark, docs, str(tmp_path)).first().text == f"{around} {around}"
+
+
 # --- tokens
 
 ODD = ["", None, "a", "  two  spaces ", "<|endoftext|> x<|startoftext|>y", "</s><s><0x41>", "▁▁x ▁", "e\u0301 İΣς", "\u2028\x85\x1c a\tb\r\n", "日本語テキスト🙂👩‍👩‍👧", "'s they'll don't", "1234567 3.14", "x" * 30_000, "word " * 30_000, "\x00", "    " * 50 + "end   "]
