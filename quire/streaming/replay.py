@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "ord array<int>, sel array<int>, dirty boolean, ts timestamp, seq bigint"
+STATE = "ts array<bigint>, seq array<bigint>, op array<string>, a array<int>, b array<int>"
 OUTPUT = "doc_id bigint, ord array<int>, sel array<int>, dirty boolean, n_late bigint"
 
 
@@ -36,21 +36,21 @@ class _Replay(StatefulProcessor):
         self.state = handle.getValueState("document", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        edits = sorted((e for batch in rows for e in batch[["ts", "seq", "op", "a", "b", "n"]].itertuples(index=False, name=None)), key=lambda e: e[:2])
-        n = int(edits[0][5])
-        order, selected, dirty, last = list(range(n)), [], False, None
+        number = lambda x: None if pd.isna(x) else int(x)
+        new = [e for batch in rows for e in batch[["ts", "seq", "op", "a", "b", "n"]].itertuples(index=False, name=None)]
+        n = int(min(new, key=lambda e: e[:2])[5])
+        log = []  # from the last reset on, in order
         if self.state.exists():
-            was = self.state.get()
-            order, selected, dirty, last = [int(x) for x in was[0]], [int(x) for x in was[1]], bool(was[2]), (pd.Timestamp(was[3]), int(was[4]))
-        late = 0
-        for ts, seq, op, a, b, _ in edits:
-            at = (pd.Timestamp(ts), int(seq))
-            if last is not None and at <= last:
-                late += 1
-                continue
-            last = at
-            order, selected, dirty = step(order, selected, dirty, n, op, *(None if pd.isna(x) else int(x) for x in (a, b)))
-        self.state.update((order, selected, dirty, last[0].to_pydatetime(), last[1]))
+            log = [(int(ts), int(seq), op, number(a), number(b)) for ts, seq, op, a, b in zip(*self.state.get(), strict=True)]
+        last = log[-1][:2] if log else None
+        new = [(pd.Timestamp(ts).value // 1000, int(seq), op, number(a), number(b)) for ts, seq, op, a, b, _ in new]
+        late = sum(last is not None and e[:2] <= last for e in new)
+        log = sorted([*log, *new], key=lambda e: e[:2])
+        log = log[max((i for i, e in enumerate(log) if e[2] == "reset"), default=0) :]
+        order, selected, dirty = list(range(n)), [], False
+        for _, _, op, a, b in log:
+            order, selected, dirty = step(order, selected, dirty, n, op, a, b)
+        self.state.update(tuple(list(x) for x in zip(*log, strict=True)))
         yield pd.DataFrame({"doc_id": [key[0]], "ord": [order], "sel": [selected], "dirty": [dirty], "n_late": [late]})
 
     def close(self) -> None:
@@ -60,8 +60,8 @@ class _Replay(StatefulProcessor):
 def stream_replay(edits: DataFrame) -> DataFrame:
     """The state of each document after each batch of edits (a stream of doc_id, n, ts, seq, op, a, b), in update mode.
 
-    doc_id, ord, sel, dirty, n_late. Edits of a batch are applied by (ts, seq); those that aren't behind the last one applied in an
-    earlier batch are counted as late and left out. n is the number of pages. State is one row a document, in RocksDB, which the
-    session must name as its state store (spark.sql.streaming.stateStore.providerClass).
+    doc_id, ord, sel, dirty, n_late. Edits are applied by (ts, seq), whatever batch they come in: a document's log from its last
+    reset on is kept and replayed. n_late are the edits of the batch that aren't behind the last one of earlier batches. n is the number
+    of pages. State is one row a document, with a log that has to fit it, in RocksDB, which the session must name as its state store (spark.sql.streaming.stateStore.providerClass).
     """
     return edits.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=_Replay(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")

@@ -52,6 +52,25 @@ def test_expand_with(spark, sf):
     assert got.where("reject_reason is not null").count() == 0
 
 
+def test_stream_replay_over_batches(spark, tmp_path):
+    from quire.streaming.replay import stream_replay
+
+    batches = [[(1, 4, 10, 1, "move", 0, 3)], [(1, 4, 20, 2, "toggle", 0, None), (1, 4, 30, 3, "delete", None, None)], [(1, 4, 5, 4, "move", 0, 1)], [(1, 4, 15, 5, "reset", None, None)], [(1, 4, 12, 6, "move", 2, 0)]]
+    schema = "doc_id bigint, n int, at bigint, seq bigint, op string, a int, b int"
+    store = "spark.sql.streaming.stateStore.providerClass"
+    was, got = spark.conf.get(store), []
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            edits = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).selectExpr("doc_id", "n", "timestamp_seconds(at) AS ts", "seq", "op", "a", "b")
+            keep = lambda rows, _: got.extend((list(r.ord), r.n_late) for r in rows.collect())
+            stream_replay(edits).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "log")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, was)
+    assert got == [([1, 2, 3, 0], 0), ([2, 3, 0], 0), ([2, 3, 1], 1), ([1, 2, 3], 1), ([1, 2, 3], 1)]
+
+
 def test_entry(spark):
     import __spark_entry__
 
