@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import staged, unused
 
-_CHUNK = 1 << 20  # bytes of text that are hashed at once
+_CHUNK = 1 << 20  # bytes of text that are hashed or compared at once
 _STRETCH = 1_000_000  # tokens among which a task counts
 _FEW = 200_000  # rows of a table of links up to which one task takes them all
+_SHARE = 2048  # pairs of one star that are compared in one place
+_MEMO = 300_000  # words whose hashes a task remembers
 _U = np.uint64
+#: A-Z lower-cased. bytes.split() then cuts at the white space of ASCII.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -25,31 +32,17 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 3
-_SPACES = np.zeros(256, bool)
-_SPACES[[9, 10, 11, 12, 13, 32]] = True
-_BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
-_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+class _Hashes(dict):
+    """The hash of each word, a cryptographic one, so that no text can be made whose words collide."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = h
+        return h
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.cumprod(out, dtype=_U)
 
-
-_POWER, _INVERSE = _powers(_CHUNK + 1, _BASE), _powers(_CHUNK + 1, pow(_BASE, -1, 1 << 64))
-
-
-def _word_hashes(flat: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of a text, A-Z lower-cased, and where it starts. Words lie between white space of ASCII."""
-    b = np.frombuffer(flat, np.uint8)
-    space = np.concatenate(([True], _SPACES[b], [True]))
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    power, inverse = (_POWER, _INVERSE) if len(b) <= _CHUNK else (_powers(len(b) + 1, _BASE), _powers(len(b) + 1, pow(_BASE, -1, 1 << 64)))
-    run = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTES[b] * power[: len(b)], dtype=_U)))
-    return _mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(_U)), starts
+_HASHES = _Hashes()
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -63,56 +56,90 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """For each text its distinct shingles of `words` words as sorted 64-bit hashes; of fewer words, the whole sequence as one."""
-    out: list[np.ndarray] = []
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    for piece in _pieces(text) if len(text) > _CHUNK else (text,):
+        yield piece.translate(_LOWER).split()
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, bytes]:
+    """The hashes of a text's words, and a digest of the sequence of words."""
+    parts, whole = [], hashlib.blake2b(digest_size=16)
+    for words in _words(text):
+        if words:
+            whole.update(b" ".join(words) + b" ")
+            parts.append(np.fromiter(map(_HASHES.__getitem__, words), _U, len(words)))
+    if len(_HASHES) > _MEMO:
+        _HASHES.clear()
+    return (parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, _U), *parts])), whole.digest()
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[tuple[np.ndarray, bytes]]:
+    """For each text its distinct shingles of `words` words as sorted 64-bit hashes; of fewer words, the whole sequence as one. With a
+    digest of the sequence of words."""
+    out: list[tuple[np.ndarray, bytes]] = []
     at = 0
     while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < _CHUNK - 1):
-            size += len(texts[end]) + 1
+        end, size, group = at, 0, []
+        while end < len(texts) and (end == at or size + len(texts[end]) < _CHUNK):
+            size += len(texts[end])
+            group.append(_hashed(texts[end]))
             end += 1
-        group = texts[at:end]
-        if size > _CHUNK:
-            hashes = np.concatenate([_word_hashes(p)[0] for p in _pieces(group[0])])
-            bounds = np.array([0, len(hashes)])
-        else:
-            hashes, starts = _word_hashes(b"\n".join(group))
-            bounds = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in group]]))
+        hashes = group[0][0] if len(group) == 1 else np.concatenate([h for h, _ in group])
         n = max(0, len(hashes) - words + 1)
-        h = np.zeros(n, _U)
+        shingles = np.zeros(n, _U)
         for i in range(words):
-            h = _mix(h * _U(0x2545F4914F6CDD1D) + hashes[i : i + n])
-        for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-            if b - a >= words:
-                out.append(np.unique(h[a : b - words + 1]))
+            shingles = _mix(shingles * _U(0x2545F4914F6CDD1D) + hashes[i : i + n])
+        a = 0
+        for own, digest in group:
+            b = a + len(own)
+            if len(own) >= words:
+                out.append((np.unique(shingles[a : b - words + 1]), digest))
             else:
-                short = np.zeros(min(1, b - a), _U)
-                for w in hashes[a:b]:
+                short = np.zeros(min(1, len(own)), _U)
+                for w in own:
                     short = _mix(short * _U(0x2545F4914F6CDD1D) + w)
-                out.append(short)
+                out.append((short, digest))
+            a = b
         at = end
     return out
 
 
+def exact_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """For each text its distinct shingles as numbers, equal among these texts if and only if their words are: no hash decides."""
+    number: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
+    ids = [np.concatenate([np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in _words(t)]) for t in texts]
+    for i, x in enumerate(ids):
+        if 0 < len(x) < words:
+            ids[i] = np.concatenate((x, np.zeros(words - len(x), np.int64)))  # 0 is no word
+    base, bound = len(number) + 1, 1
+    windows = [max(0, len(x) - words + 1) for x in ids]
+    code = np.zeros(sum(windows), np.int64)
+    for k in range(words):
+        if bound * base >= 1 << 63:
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            bound = int(code.max(initial=0)) + 1
+        code = code * base + np.concatenate([x[k : k + n] for x, n in zip(ids, windows, strict=True)])
+        bound *= base
+    return [np.unique(x) for x in np.split(code, np.cumsum(windows)[:-1])]
+
+
 def _ceil(n: Column | int, by: int, over: int):  # noqa: ANN202
     """ceil(n * by / over) in whole numbers."""
     return F.floor((n * by + (over - 1)) / F.lit(over)).cast("bigint") if isinstance(n, Column) else -(-n * by // over)
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """The ids and shingle sets of a batch, some texts at a time."""
+def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[list, list[tuple[np.ndarray, bytes]]]]:
+    """The ids, and the shingle sets and digests, of a batch, some texts at a time."""
     ids, texts = batch.column(0), batch.column(1)
     for at in range(0, len(ids), 256):
         yield ids.slice(at, 256).to_pylist(), shingle_sets(texts.slice(at, 256).to_pylist(), words)
 
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-
-
 def _survey(rows: DataFrame, words: int) -> DataFrame:
-    """(doc, n, digest) for each document, and (token, count) for tokens that several sets among a stretch of a task's hold."""
+    """(doc, n, digest) for each document, and (token, count) for tokens that several texts among a stretch of a task's hold.
+
+    digest is of the sequence of words.
+    """
     names = ["doc", "n", "digest", "token", "count"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
@@ -131,9 +158,8 @@ def _survey(rows: DataFrame, words: int) -> DataFrame:
         size = 0
         for batch in batches:
             for ids, sets in _sets(batch, words):
-                digests = [_digest(s) for s in sets]
-                yield made({"doc": ids, "n": [len(s) for s in sets], "digest": digests})
-                for d, s in zip(digests, sets, strict=True):
+                yield made({"doc": ids, "n": [len(s) for s, _ in sets], "digest": [d for _, d in sets]})
+                for s, d in sets:
                     if d not in seen and len(s):
                         seen.add(d)
                         kept.append(s)
@@ -149,13 +175,14 @@ def _survey(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, words: int, percent: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, doc, pos, size): of each set the n - ceil(n * percent / 100) + 1 tokens that come first, rare ones before frequent ones.
+    """(token, doc, pos, size, frequent): of each set the n - ceil(n * percent / 100) + 1 tokens that come first, rare ones before frequent ones.
 
     Two sets that link share one of these. size is n * 2^31 + the place in the token order, in 31 bits, of the last of them.
-    A task leaves out sets that it has had before: their documents are copies.
+    frequent is the document for a token that is known to be frequent, and null for one that may be this set's alone. A task leaves out
+    sequences of words that it has had before: their documents are copies.
     """
     shared = rows.sparkSession.sparkContext.broadcast(order)
-    names = ["token", "doc", "pos", "size"]
+    names = ["token", "doc", "pos", "size", "frequent"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = shared.value
@@ -163,40 +190,54 @@ def _prefixes(rows: DataFrame, words: int, percent: int, order: tuple[np.ndarray
         for batch in batches:
             for ids, sets in _sets(batch, words):
                 parts: list[tuple[np.ndarray, int, int]] = []
-                for doc, s in zip(ids, sets, strict=True):
-                    if not len(s) or doc is None or (d := _digest(s)) in seen:
+                for doc, (s, d) in zip(ids, sets, strict=True):
+                    if not len(s) or doc is None or d in seen:
                         continue
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(d)
                     p = len(s) - _ceil(len(s), percent, 100) + 1
-                    last = 0
+                    last, level = 0, np.zeros(p, np.int8)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         level = np.where(frequent[at] == s, rank[at], 0)
                         if level.any():
                             by = np.argsort(level, kind="stable")
-                            s, last = s[by], int(level[by[p - 1]])
-                    parts.append((s[:p], doc, len(s) << 31 | last << 25 | int(s[p - 1]) >> 39))
+                            s, level = s[by], level[by]
+                            last = int(level[p - 1])
+                    parts.append((s[:p], level[:p] > 0, doc, len(s) << 31 | last << 25 | int(s[p - 1]) >> 39))
                 if parts:
                     sizes = [len(p[0]) for p in parts]
-                    docs, packed = (np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in (1, 2))
+                    docs, packed = (np.repeat(np.array([p[i] for p in parts], np.int64), sizes) for i in (2, 3))
                     tokens = np.concatenate([p[0] for p in parts]).view(np.int64)
                     pos = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (tokens, docs, pos, packed)], names)
+                    often = pa.array(docs, mask=~np.concatenate([p[1] for p in parts]))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in (tokens, docs, pos, packed)], often], names)
+
+    return rows.mapInArrow(run, "token bigint, doc bigint, pos int, size bigint, frequent bigint")
 
-    return rows.mapInArrow(run, "token bigint, doc bigint, pos int, size bigint")
 
+def _linked(pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, of pairs (a, b, ta, tb) with their texts. Rows of the same b that follow each other are taken together."""
 
-def _token_lists(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets in _sets(batch, words):
-                flat = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for s in sets]]), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["doc", "tokens"])
-
-    return rows.mapInArrow(run, "doc bigint, tokens array<bigint>")
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            keep, at = np.zeros(len(a), bool), 0
+            while at < len(a):
+                end, size = at + 1, int(sizes[at])
+                while end < len(a) and b[end] == b[at] and size + sizes[end] <= _CHUNK:
+                    size += int(sizes[end])
+                    end += 1
+                own, *others = exact_sets([batch.column(3)[at].as_py(), *batch.column(2).slice(at, end - at).to_pylist()], words)
+                for i, x in enumerate(others, at):
+                    shared = len(np.intersect1d(own, x, assume_unique=True))
+                    keep[i] = shared > 0 and shared * (100 + percent) >= (len(own) + len(x)) * percent
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -270,9 +311,12 @@ def jaccard_components(
     shingles and link with nothing. A null id has a null component. Rows that share an id are one node of the links; ids are
     integers. Other columns are ignored; no rows give no rows. percent is from 1 to 100.
 
-    1. Equal sets are found by digest and go on as one. Token frequencies are counted by the map tasks over all documents; at
-       most frequent_most tokens, the most frequent ones, get a late place in the token order, which alone depends on them.
-    2. The prefix tokens of each set under that order are its postings; those that no other set has are dropped: one shuffle.
+    1. Equal sequences of words are found by a cryptographic digest and go on as one. Token frequencies are counted by the map tasks
+       over all documents; at most frequent_most tokens, the most frequent ones, get a late place in the token order, which alone
+       depends on them.
+    2. The prefix tokens of each set under that order are its postings; those that no other set has are dropped: one shuffle, in
+       which a frequent token is known to be shared and is dealt by document. Other tokens have few rows each: at most one for each
+       stretch of a task, or frequent_most tokens would have more.
     3. Similar documents are partitioned into groups: each token's most central document is its star, documents that share enough
        tokens with a star are compared with it, and those that link are one group. That costs a comparison or two a document,
        not all pairs of a large family; within a group nothing needs comparing any more.
@@ -280,8 +324,9 @@ def jaccard_components(
        tokens they share and what lies behind the prefix that ends first; only groups that can hold a link are opened. The pairs in
        them are bounded in the same way, and compared in full if they pass.
 
-    Full token lists are made only for documents of pairs that reach a comparison. Their ids are broadcast up to broadcast_most of
-    them, counted first; more are joined by a shuffle.
+    Tokens are hashes of shingles and only choose what is compared; pairs are compared, and links decided, by the words of both texts.
+    Texts move only for documents of pairs that reach a comparison. Their ids are broadcast up to broadcast_most of them, counted
+    first; more are joined by a shuffle. The pairs of a star with many are dealt in shares.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -299,13 +344,13 @@ def jaccard_components(
     by_token = np.argsort(tokens)
     order = (tokens[by_token], level[by_token])
 
-    same = sets.where("n > 0 and doc is not null").groupBy("digest", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    same = sets.where("n > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     same = staged(same.where("first < last").select("digest", "first"), "copies")
     copies = sets.where("doc is not null").join(same, "digest").where("doc <> first").select("doc", "first").distinct()
 
-    everywhere = Window.partitionBy("token")
+    everywhere = Window.partitionBy("token", "frequent")
     found = _prefixes(rows, words, percent, order).withColumn("lo", F.min("doc").over(everywhere)).withColumn("hi", F.max("doc").over(everywhere))
-    found = found.where("lo < hi").select("token", "doc", "pos", F.shiftright("size", 31).alias("n"), F.col("size").bitwiseAND((1 << 31) - 1).alias("end"))
+    found = found.where("lo < hi or frequent is not null").select("token", "doc", "pos", F.shiftright("size", 31).alias("n"), F.col("size").bitwiseAND((1 << 31) - 1).alias("end"))
     found = staged(found, "prefixes")
     found = found.join(copies, "doc", "left").withColumn("doc", F.coalesce("first", "doc")).drop("first")
     postings = staged(_several(found.groupBy("token", "doc").agg(F.max("n").alias("n"), F.max("end").alias("end"), F.min("pos").alias("pos")).withColumn("g", F.col("doc"))).drop("g"), "postings")
@@ -332,13 +377,16 @@ def jaccard_components(
         pairs = staged(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
         few = pairs.count() * 2 <= broadcast_most or ids.count() <= broadcast_most
-        wanted = rows.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-        lists = staged(_token_lists(wanted, words), "token-lists")
-        left, right = (lists.select(F.col("doc").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-        both = pairs.join(left, "a").join(right, "b")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        links = both.where(shared * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent)
-        return staged(links.select("a", "b"), "links")
+        texts = staged(rows.join(F.broadcast(ids) if few else ids, "doc", "left_semi"), "texts")
+        left, right = (texts.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        many = staged(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / _SHARE).alias("shares")).where("shares > 1"), "shares")
+        on = ["b"]
+        if not many.isEmpty():
+            on = ["b", "share"]
+            pairs = pairs.join(many, "b", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("a"), "shares"), F.lit(0))).drop("shares")
+            right = right.join(many, "b", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("shares") - 1, F.lit(0))))).drop("shares")
+        both = pairs.join(left, "a").join(right, on).select("a", "b", "ta", "tb")
+        return staged(_linked(both, words, percent), "links")
 
     links = copies.select(F.col("doc").alias("a"), F.col("first").alias("b"))
     star_links: DataFrame | None = None
@@ -397,6 +445,10 @@ def jaccard_components(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows with a null id stay."""
-    gone = jaccard_components(docs, id_col, text_col, **how).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """docs with one document of each component, the one with the smallest id; docs' columns, whatever their names.
+
+    Rows with a null id stay, and of rows that share the smallest id all do. Null, empty and very long texts are as in jaccard_components.
+    """
+    gone = jaccard_components(docs, id_col, text_col, **how).where(F.col(id_col) != F.col("component_id"))
+    key = unused("_gone", docs)
+    return docs.join(gone.select(F.col(id_col).alias(key)).distinct(), docs[id_col] == F.col(key), "left_anti")

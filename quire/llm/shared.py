@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new folder where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a new folder in local mode, in
+    which driver and executors are one process; on a cluster it has to be set."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -38,3 +41,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only, as the contracts ask, whatever the locale."""
     return F.translate(c, UPPER, LOWER)
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """name, with underscores in front until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -263,6 +263,54 @@ def test_jaccard_long_texts_and_no_rows(spark):
     assert jaccard_join.jaccard_components(docs_of(spark, [])).count() == 0
 
 
+def thue_morse(a, b, rounds):
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_jaccard_of_words_that_polynomial_hashes_confuse(spark, rows):
+    data = list(enumerate([*thue_morse("a", "b", 10), *(" ".join(thue_morse("c", "d", 10)[k] for k in (0, 1, i % 2, i % 3 % 2)) for i in range(6))]))
+    docs = docs_of(spark, [t for _, t in data])
+    assert rows(jaccard_join.jaccard_components(docs, words=4, percent=85), "doc_id", "n_shingles", "component_id") == classes(data, 4, 85)
+
+
+@pytest.mark.parametrize("words", [1, 4, 5, 9])
+def test_exact_sets(words):
+    rng = random.Random(words)
+    texts = [" ".join(rng.choice("abcdE") for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    texts += [" ".join(str(rng.randrange(10**6)) for _ in range(20_000)), texts[3] + " x", "a\x0bB\u00a0c"]  # many words: their numbers don't fit one 64-bit number
+    plain = []
+    for t in texts:
+        w = t.encode().lower().split()
+        plain.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    got = [set(x.tolist()) for x in jaccard_join.exact_sets([t.encode() for t in texts], words)]
+    assert [len(x) for x in got] == [len(x) for x in plain]
+    assert all(len(x & y) == len(p & q) for x, p in zip(got, plain, strict=True) for y, q in zip(got, plain, strict=True))
+
+
+def test_jaccard_deals_stars_in_shares(spark, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_SHARE", 5)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    data = []
+    for i in range(90):
+        text = list(base) if i % 3 else [f"v{rng.randrange(40)}" for _ in range(60)]
+        text[rng.randrange(60)] = f"n{i}"
+        data.append((i, " ".join(text)))
+    out = jaccard_join.jaccard_components(docs_of(spark, [t for _, t in data]), words=2, percent=80)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == classes(data, 2, 80)
+
+
+@pytest.mark.parametrize("name", ["_gone", "a.b"])
+def test_drop_near_copies_with_clashing_columns(spark, name):
+    text = " ".join(f"t{i}" for i in range(60))
+    docs = spark.createDataFrame([(0, text, 1), (1, text + " more", 2), (None, text, 3)], f"doc_id bigint, text string, `{name}` int")
+    out = jaccard_join.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted(tuple(r)[2] for r in out.collect()) == [1, 3]
+
+
 def test_drop_near_copies(spark):
     text = " ".join(f"t{i}" for i in range(60))
     out = jaccard_join.drop_near_copies(docs_of(spark, [text, text + " more", "other words here", None]))
