@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,6 @@ _CHUNK = 1 << 20  # bytes of text that are hashed or compared at once
 _STRETCH = 1_000_000  # tokens among which a task counts
 _FEW = 200_000  # rows of a table of links up to which one task takes them all
 _SHARE = 2048  # pairs of one star that are compared in one place
-_MEMO = 300_000  # words whose hashes a task remembers
 _U = np.uint64
 #: A-Z lower-cased. bytes.split() then cuts at the white space of ASCII.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -32,19 +32,6 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-class _Hashes(dict):
-    """The hash of each word, a cryptographic one, so that no text can be made whose words collide."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def _pieces(text: bytes) -> Iterator[bytes]:
     """A long text, cut at white space."""
     at = 0
@@ -62,14 +49,12 @@ def _words(text: bytes) -> Iterator[list[bytes]]:
 
 
 def _hashed(text: bytes) -> tuple[np.ndarray, bytes]:
-    """The hashes of a text's words, and a digest of the sequence of words."""
+    """The hashes of a text's words (SipHash over their bytes), and a digest of the sequence of words."""
     parts, whole = [], hashlib.blake2b(digest_size=16)
     for words in _words(text):
         if words:
             whole.update(b" ".join(words) + b" ")
-            parts.append(np.fromiter(map(_HASHES.__getitem__, words), _U, len(words)))
-    if len(_HASHES) > _MEMO:
-        _HASHES.clear()
+            parts.append(hash_array(np.array(words, dtype=object), categorize=False))
     return (parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, _U), *parts])), whole.digest()
 
 
