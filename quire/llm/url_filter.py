@@ -13,11 +13,11 @@ from .shared import ascii_lower, staged
 BUCKET = 32768  # bits of one bitmap that bitmap_construct_agg makes
 
 
-def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
-    """Bit positions of a key at a level: double hashing, seeded by the level."""
+def _seeds(key: Column, level: int, bits: int) -> Column:
+    """Two numbers of a key at a level, from which all its bit positions come (double hashing)."""
     a = F.pmod(F.xxhash64(F.lit(level), key), F.lit(bits))
     b = F.pmod(F.xxhash64(key, F.lit(level)), F.lit(bits - 1)) + 1
-    return [F.pmod(a + b * i, F.lit(bits)) for i in range(hashes)]
+    return F.struct(a.alias("a"), b.alias("b"))
 
 
 @dataclass(frozen=True)
@@ -28,14 +28,14 @@ class Level:
     bitmap: bytes
 
     def may_hold(self, key: Column) -> Column:
-        tests = []
-        for p in _positions(key, self.number, self.bits, self.hashes):
-            byte = F.lit(self.bitmap).substr(F.shiftright(p, 3).cast("int") + 1, F.lit(1))
-            tests.append(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), p.bitwiseAND(7).cast("int")) == 1)
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        """The bitmap stands in the expression once, whatever the number of hashes; the first bit that isn't set ends the test."""
+
+        def is_set(at: Column) -> Column:
+            byte = F.lit(self.bitmap).substr(F.shiftright(at, 3).cast("int") + 1, F.lit(1))
+            return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), at.bitwiseAND(7).cast("int")) == 1
+
+        numbers = F.array(*[F.lit(i) for i in range(self.hashes)])
+        return F.forall(F.array(_seeds(key, self.number, self.bits)), lambda s: F.forall(numbers, lambda i: is_set(F.pmod(s["a"] + s["b"] * i, F.lit(self.bits)))))
 
 
 @dataclass(frozen=True)
@@ -52,35 +52,41 @@ class Cascade:
         return F.coalesce(F.when(key.isNotNull(), inside), F.lit(False))
 
 
-def _level(keys: DataFrame, number: int, bits_per_key: int, most_bits: int) -> Level:
-    n = keys.count()
+def _level(keys: DataFrame, n: int, number: int, bits_per_key: float) -> Level:
     bits = BUCKET * max(1, math.ceil(n * bits_per_key / BUCKET))
-    if bits > most_bits:
-        raise ValueError(f"level {number} of the cascade needs {bits} bits for {n} keys; the bound on what is sent to the tasks is {most_bits}")
     hashes = max(1, round(bits_per_key * math.log(2)))
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), number, bits, hashes))).alias("at"))
+    seeds = keys.select(_seeds(F.col("key"), number, bits).alias("s"))
+    at = seeds.select(F.explode(F.transform(F.array(*[F.lit(i) for i in range(hashes)]), lambda i: F.pmod(F.col("s.a") + F.col("s.b") * i, F.lit(bits)))).alias("at"))
     parts = at.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bitmap"))
     bitmap = bytearray(bits // 8)
-    for r in parts.collect():  # bits / 32768 rows of 4 KiB, within most_bits
+    for r in parts.collect():  # bits / 32768 rows of 4 KB: about bits_per_key for each key of the list, which callers bound
         bitmap[(r.bucket - 1) * BUCKET // 8 : r.bucket * BUCKET // 8] = r.bitmap
     return Level(number, bits, hashes, bytes(bitmap))
 
 
-def build_cascade(universe: DataFrame, bits_per_key: int = 6, most_bits: int = 1 << 26) -> Cascade:
+def _first_bits(listed: int, others: int, bits_per_key: float) -> float:
+    """Bits a key of level 1, so that about as many other keys pass it as are listed, or fewer."""
+    return max(bits_per_key, math.log2(max(1.0, others / max(1, listed))) / math.log(2))
+
+
+def build_cascade(universe: DataFrame, bits_per_key: float = 6) -> Cascade:
     """universe: key string, listed boolean; every key that will be asked for. Repeated keys count once and are listed if any is.
 
-    Each level is a Bloom filter of at most most_bits bits (8 MiB); a longer list raises ValueError before anything is sent.
-    A level passes a few per cent of the other side, so after the first pass over the universe the levels shrink fast.
+    Level 1 has the more bits a key the more keys there are that aren't listed, so its false positives are about as many as the listed
+    keys at most; the levels behind it have bits_per_key and shrink by a factor of 18 each. In all that is some 1.5 bits for each
+    doubling of the ratio, and 12 more, a listed key.
     """
     keys = universe.where(F.col("key").isNotNull()).groupBy("key").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
     keys = staged(keys, "url-keys")
-    inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
+    sizes = {r.listed: r["n"] for r in keys.groupBy("listed").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, bits = sizes.get(True, 0), _first_bits(sizes.get(True, 0), sizes.get(False, 0), bits_per_key)
+    encode, other = keys.where("listed").select("key"), keys.where("not listed").select("key")
     levels: list[Level] = []
-    encode, other = inside, outside
     while True:
-        levels.append(_level(encode, len(levels) + 1, bits_per_key, most_bits))
+        levels.append(_level(encode, n, len(levels) + 1, bits))
         passed = staged(other.where(levels[-1].may_hold(F.col("key"))), "url-level")
-        if passed.isEmpty():
+        n, bits = passed.count(), bits_per_key
+        if not n:
             return Cascade(tuple(levels))
         encode, other = passed, encode
 
@@ -95,37 +101,51 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def url_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Every rule string that could fit: each suffix of whole labels of the host, with each path prefix of a rule's length."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    ends = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in path_lengths])
-    return F.flatten(F.transform(hosts, lambda h: F.transform(F.filter(ends, lambda e: e.isNotNull()), lambda e: F.concat(h, e))))
+def url_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Every rule string that could fit: the last labels of the host with the first characters of the path, as many as a rule has.
+
+    shapes: the (labels of the host, characters of the path) of the rules. A host may have any number of labels.
+    """
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    found = [F.when((labels >= n) & (F.length(path) >= k), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, k))) for n, k in shapes]
+    return F.filter(F.array(*found), lambda k: k.isNotNull())
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url", **how) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url", most_bits: int = 1 << 28, bits_per_key: float = 6) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict.
 
     rules: host, path, verdict (allow or block). A rule fits its host and all subdomains if the url's path starts with the rule's
     path; of the rules that fit, the longest (then the one with the longer host) wins. Where none fits, the rule is null and the
-    verdict is `otherwise`: the url isn't listed. A null url, or one without `://`, has an empty host and path. Repeated rules count
-    once; of contradicting ones block wins. No rules give `otherwise` for all. Other columns of pages are ignored.
+    verdict is `otherwise`: the url isn't listed. A null url, or one without `://`, has an empty host and path. A long host or path costs
+    in proportion to its length. Repeated rules count once; of contradicting ones block wins. No rules give `otherwise` for all, no
+    pages no rows. Other columns of pages are ignored.
 
     Two cascades answer without a join: whether a candidate key is a rule, over all candidate keys of all pages, and whether
-    a rule is a block, over all rules. The path lengths of the rules are collected: as many numbers as there are distinct lengths.
+    a rule is a block, over all rules. The shapes of the rules are collected: as many pairs of numbers as there are distinct ones.
+
+    What is sent to the tasks grows with the list. A list whose cascades need more than about most_bits (32 MB) is taken in parts, by
+    a hash of the key, one pass over the narrow table of urls for each; a pass has the cascades of its part only.
     """
     rules = rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where(F.col("host").isNotNull())
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    rules = rules.select(F.concat("host", "path").alias("key"), (F.col("verdict") == "block").alias("block"), (F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("labels"), F.length("path").alias("chars"))
+    shapes = sorted((r[0], r[1]) for r in rules.select("labels", "chars").distinct().collect())
     parts = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    if not lengths:
+    if not shapes:
         return parts.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    keyed = parts.withColumn("_keys", url_keys(F.col("host"), F.col("path"), lengths))
-    named = rules.select(F.concat("host", "path").alias("key"), (F.col("verdict") == "block").alias("block"))
-    asked = keyed.select(F.explode("_keys").alias("key"), F.lit(False).alias("listed"))
-    listed = build_cascade(asked.unionByName(named.select("key", F.lit(True).alias("listed"))), **how)
-    blocked = build_cascade(named.select("key", F.col("block").alias("listed")), **how)
-    hits = F.filter("_keys", lambda k: listed.contains(k))
-    ranked = F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), F.instr(k, "/").alias("host_n"), k.alias("key")))
-    best = keyed.withColumn("rule", F.array_max(ranked)["key"])
-    verdict = F.when(F.col("rule").isNull(), F.lit(otherwise)).when(blocked.contains(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
-    return best.select(id_col, "host", "path", "rule", verdict.alias("verdict"))
+    keyed = parts.withColumn("_keys", url_keys(F.col("host"), F.col("path"), shapes))
+    n = math.ceil(rules.count() * (bits_per_key + 40) / most_bits)  # 40: more than what the ratio adds to level 1
+    part = lambda key: F.pmod(F.xxhash64(key, F.lit(0)), F.lit(n))
+    ranked = keyed.withColumn("_best", F.lit(None).cast("struct<n:int,host_n:int,key:string,block:boolean>"))
+    for p in range(n):
+        own = rules.where(part(F.col("key")) == p)
+        asked = keyed.select(F.explode("_keys").alias("key"), F.lit(False).alias("listed")).where(part(F.col("key")) == p)
+        listed = build_cascade(asked.unionByName(own.select("key", F.lit(True).alias("listed"))), bits_per_key)
+        blocked = build_cascade(own.select("key", F.col("block").alias("listed")), bits_per_key)
+        hits = F.filter("_keys", lambda k: (part(k) == p) & listed.contains(k)) if n > 1 else F.filter("_keys", listed.contains)
+        best = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), F.instr(k, "/").alias("host_n"), k.alias("key"))))
+        best = F.transform(F.array(best), lambda b: F.when(b.isNotNull(), F.struct(b["n"].alias("n"), b["host_n"].alias("host_n"), b["key"].alias("key"), blocked.contains(b["key"]).alias("block"))))[0]
+        ranked = ranked.withColumn("_best", F.greatest("_best", best))
+        if n > 1:
+            ranked = staged(ranked, "url-verdicts")
+    verdict = F.when(F.col("_best").isNull(), F.lit(otherwise)).when(F.col("_best.block"), F.lit("block")).otherwise(F.lit("allow"))
+    return ranked.select(id_col, "host", "path", F.col("_best.key").alias("rule"), verdict.alias("verdict"))
