@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import quoted, staged
 
 
 def sha256(text: Column) -> Column:
@@ -20,7 +20,7 @@ def exact_dedup(
     text_col: str = "text",
     salts: int = 32,
     hot_floor: int = 100,
-    hot_most: int = 2000,
+    hot_most: int = 200_000,
     digest: Callable[[Column], Column] = sha256,
 ) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
@@ -30,9 +30,10 @@ def exact_dedup(
     rows that repeat the winner's id are all kept, as nothing tells them apart. No rows give no rows. Other columns are ignored.
 
     1. Map tasks deduplicate their own rows (the partial aggregation on digest and full text), so a copy is shuffled once a task.
-    2. Digests of more than max(hot_floor, rows / hot_most) rows are hot. There are fewer than hot_most of them, whatever the
-       input, which bounds what is broadcast. Their groups are spread over `salts` sub-groups, merged on digest, full text and salt.
-       A digest that isn't hot has one sub-group, which is its whole group already.
+    2. Digests of more than hot_floor rows are hot; beyond hot_floor * hot_most rows in all (20 M), of more than rows / hot_most. There are
+       fewer than hot_most of them, whatever the input, which bounds what is broadcast to 6 MB of digests. Their groups are spread over
+       `salts` sub-groups, merged on digest, full text and salt. A digest that isn't hot has one sub-group, which is its whole group
+       already: of 50 G rows 250,000 at most, one for each map task that meets it.
     3. The winners of the salted sub-groups are combined on digest and full text.
 
     Full texts are shuffled once, in stage 2. The way back from groups to rows joins on the digest alone; digests that turn out to
@@ -82,6 +83,22 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with docs' columns. Ids are taken to be unique."""
-    gone = exact_dedup(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("_gone_id"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
+    """One row of docs for each text, with docs' columns, whatever their names: of equal texts a row with the largest id.
+
+    Null and empty texts are equal; null ids are below every other. Rows go by id and text together, so an id that stands at several
+    texts loses only the copies; of rows that share the winning id and the text, the one with the smallest hash of all its columns
+    stays, and one of literal repeats. No rows give no rows; texts are compared whole.
+    """
+    digest = how.get("digest", sha256)
+    verdicts = staged(exact_dedup(docs, id_col, text_col, **how).select(F.col(id_col).alias("_i"), F.unhex("text_sha256").alias("_d"), "kept", "keep_id"), "dedup-verdicts")
+    # a group of null ids has no largest one: all its rows are kept so far, and come together below
+    gone = verdicts.where("not kept").select("_i", "_d").distinct()
+    again = staged(verdicts.where("kept").groupBy("_i", "_d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_i", "_d"), "dedup-repeats")
+    names = docs.columns
+    own = docs.select(F.struct(*[quoted(c) for c in names]).alias("_row"), quoted(id_col).alias("_id"), digest(F.coalesce(quoted(text_col), F.lit(""))).alias("_digest"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))
+    left = own.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        once = left.join(again, same, "left_semi").groupBy("_id", "_digest").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+        left = left.join(again, same, "left_anti").select("_row").unionByName(once.select("_row"))
+    return left.select(*[F.col("_row").getField(c).alias(c) for c in names])
