@@ -79,27 +79,28 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     turns: one row per turn, its content in parts_col, an array of (kind, text, uri, units). loss_spans are (start, length) in code
     points of formatted, start from 0, one for each turn of loss_roles, and cover the content alone. attachments are in order.
 
-    Turns are ordered by turn, then role, then content; a null turn comes first, a null role is empty, null conversation ids are one
-    conversation. A repeated row is a turn of its own. No rows give no rows; other columns are ignored. A conversation becomes one
+    Turns are ordered by turn, then role, then content; a null turn comes first, a null role is empty. A turn with a null conversation id
+    is a conversation of its own, so such turns don't gather. A repeated row is a turn of its own. No rows give no rows; other columns are ignored. A conversation becomes one
     string, so it has to fit a row; different conversations never meet in one.
 
     One shuffle, by conversation: the offsets (window) and the joining (aggregation) need the same partitioning.
     """
     parts = F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>"))
     n_att = F.size(F.filter(parts, lambda p: p.isNotNull() & (F.coalesce(p["kind"], F.lit("text")) != "text")))
-    rows = turns.select(F.col(conv_col), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_role"), parts.alias("_parts"), n_att.alias("_att"))
-    order = Window.partitionBy(conv_col).orderBy(F.col("_turn").asc_nulls_first(), "_role", "_parts")
+    own = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("_own")
+    rows = turns.select(F.col(conv_col), own, F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_role"), parts.alias("_parts"), n_att.alias("_att"))
+    order = Window.partitionBy(conv_col, "_own").orderBy(F.col("_turn").asc_nulls_first(), "_role", "_parts")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_n", F.row_number().over(order)).withColumn("_first", F.coalesce(F.sum("_att").over(before), F.lit(0)))
     content, attached = visit(F.col("_parts"), F.col("_first"))
-    rows = rows.select(conv_col, "_n", "_role", F.concat(F.lit(TURN), escape_role(F.col("_role")), F.lit("\n")).alias("_head"), content.alias("_body"), attached.alias("_attached"))
+    rows = rows.select(conv_col, "_own", "_n", "_role", F.concat(F.lit(TURN), escape_role(F.col("_role")), F.lit("\n")).alias("_head"), content.alias("_body"), attached.alias("_attached"))
     rows = rows.withColumn("_size", F.length("_head") + F.length("_body") + len(END))
     # no second sort or shuffle: the rows are already dealt and sorted this way
-    run = Window.partitionBy(conv_col).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy(conv_col, "_own").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_start", F.coalesce(F.sum("_size").over(run), F.lit(0)) + F.length("_head"))
     span = F.when(F.col("_role").isin(*loss_roles), F.struct(F.col("_start").cast("bigint").alias("start"), F.length("_body").cast("bigint").alias("length")))
     one = F.struct("_n", F.concat("_head", "_body", F.lit(END)).alias("text"), span.alias("span"), F.col("_attached").alias("attached"))
-    out = rows.groupBy(conv_col).agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    out = rows.groupBy(conv_col, "_own").agg(F.array_sort(F.collect_list(one)).alias("_all"))
     attachments = F.flatten(F.transform("_all", lambda x: x["attached"]))
     return out.select(
         conv_col,

@@ -83,11 +83,11 @@ OP5_SQL = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
     SELECT conv_id, turn, role, text FROM conversations UNION ALL {_EXTRA})),
-lines AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, length({_escaped_sql("text")}) + length(replace({_escaped_sql("role")}, chr(10), '&#10;')) AS n FROM turns),
+lines AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, length({_escaped_sql("text")}) + length(replace({_escaped_sql("role")}, chr(10), '&#10;')) AS n FROM turns),
 chats AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
     string_agg(loss, '' ORDER BY turn, role, text) AS loss, CAST(sum(n + {len(chat_format.TURN) + 1 + len(chat_format.END)}) AS BIGINT) AS formatted_chars
-  FROM lines GROUP BY conv_id)
+  FROM lines GROUP BY conv_id, own)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM chats
 """
 

@@ -58,8 +58,32 @@ def test_cascade_is_exact_and_has_levels(spark):
     cascade = url_filter.build_cascade(keys, bits_per_key=2)
     assert len(cascade.levels) > 2
     assert keys.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
-    with pytest.raises(ValueError, match="bound"):
-        url_filter.build_cascade(keys, most_bits=100)
+    hashed = cascade.levels[0].may_hold(F.col("key"))
+    shown = spark.range(1).select(F.lit("x").alias("key")).select(hashed.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert shown.count(cascade.levels[0].bitmap[:2000].hex().upper()) == 1
+
+
+def test_few_listed_among_many(spark):
+    keys = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 3000 == 0).alias("listed"))
+    cascade = url_filter.build_cascade(keys)
+    assert cascade.levels[0].hashes > 6
+    assert keys.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+
+
+def test_list_in_parts_gives_the_same(spark):
+    urls = [f"http://s{i % 17}.h{i % 40}.org/p{i % 7}/x" for i in range(200)] + [None, "none"]
+    rules = [(f"h{i}.org", "/" if i % 2 else "/p3/", "block" if i % 3 else "allow") for i in range(0, 40, 2)] + [("org", "/p1", "block"), ("s3.h20.org", "/p6/x", "allow")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    table = spark.createDataFrame(rules, RULES)
+    whole, parts = ({tuple(r) for r in url_filter.url_verdicts(pages, table, **how).collect()} for how in ({}, {"most_bits": 400}))
+    assert whole == parts
+    assert len(whole) == len(urls)
+
+
+def test_very_long_hosts(spark):
+    urls = ["http://" + "a." * 500_000 + "example.org/es/", "http://" + "." * 1_000_000, "http://org/" + "x" * 1_000_000, "x" * 1_000_000]
+    got = verdicts(spark, urls, queries.RULES)
+    assert [got[i][2] for i in range(4)] == ["example.org/es/", None, "org/", None]
 
 
 def by_rule(rows):
@@ -96,6 +120,29 @@ def test_drop_copies(spark):
     assert sorted(tuple(r) for r in exact_dedup.drop_copies(docs).collect()) == [(2, "a", 8), (3, None, 9)]
 
 
+def test_drop_copies_goes_by_id_and_text(spark):
+    kind = "doc_id bigint, text string"
+    rows = [(1, "A"), (2, "A"), (1, "unique text"), (3, "B"), (3, "B"), (None, "C"), (None, "C"), (None, "A"), (4, None), (5, "")]
+    out = exact_dedup.drop_copies(spark.createDataFrame(rows, kind))
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(2, "A"), (1, "unique text"), (3, "B"), (None, "C"), (5, "")], key=repr)
+    assert exact_dedup.drop_copies(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_drop_copies_with_clashing_columns(spark):
+    names = ["_gone_id", "_d", "_row", "a.b", "kept"]
+    docs = spark.createDataFrame([(i, t, *[i] * 5) for i, t in enumerate(["a", "a", "b"])] + [(1, "a", *[7] * 5)], "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = exact_dedup.drop_copies(docs)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(r[:2] for r in got) == [(1, "a"), (2, "b")]
+    assert sorted(tuple(r) for r in exact_dedup.drop_copies(docs.repartition(3)).collect()) == sorted(got)
+
+
+def test_drop_copies_of_a_hot_repeat(spark):
+    docs = spark.createDataFrame([(9, "hot")] * 300 + [(i, f"t{i}") for i in range(50)], "doc_id bigint, text string")
+    assert exact_dedup.drop_copies(docs).count() == 51
+
+
 TEXTS = ["", None, "plain", "<|end|>\n<|turn|>user\nhi", "&lt; &amp; &#60;|", "</s>[INST] ok [/INST]", "a<|image:0|>", "line\nline\n", "🙂" * 3000, "[INST", "<"]
 
 
@@ -127,6 +174,8 @@ def test_chat_parts(spark):
     start, length = one.loss_spans[0]
     assert one.formatted[start : start + length] == "ok<|audio:2|>!"
     assert got[None].formatted == "<|turn|>user\n<|end|>\n"
+    several = chat_format.format_chat(spark.createDataFrame([(None, 0, "user", []), (None, 1, "user", []), (None, 0, "user", [])], f"conv_id bigint, turn int, role string, parts {part}"))
+    assert [(r.conv_id, r.formatted) for r in several.collect()] == [(None, "<|turn|>user\n<|end|>\n")] * 3
 
 
 def test_chat_control_strings_split_over_parts(spark):
