@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from .token_counts import vocabulary_path
 
 _MEMO = 300_000  # words whose pieces a task remembers
+_CHUNK = 1 << 20  # characters of text that are taken apart at once
 _SPACE = "▁"
 
 
@@ -22,7 +25,7 @@ class PieceEncoder:
 
     The longest pieces at each place come from an Aho-Corasick automaton. A sequence of pieces is what merging gives if every two
     neighbours stay apart when their joined text is merged anew; so the encoder takes the longest piece that goes with the last one,
-    then shorter ones, and steps back where none fits. A bit for each place keeps it from trying a failed place again.
+    then shorter ones, and steps back where none fits. A mark for each place keeps it from trying a failed place again.
     """
 
     def __init__(self, model_file: str) -> None:
@@ -49,7 +52,7 @@ class PieceEncoder:
                 self.byte_ids[int(p.piece[3:-1], 16)] = i
         if any(_SPACE in p[1:] and p.strip(_SPACE) for p in self.ids):
             raise ValueError("a piece holds a space behind another character, so words can't be encoded one by one")
-        self.characters = {c for p in self.ids for c in p}
+        self.characters = frozenset(c for p in self.ids for c in p)
         # Only pieces that merging reaches can be in a result.
         self.shorter: dict[str, str | None] = {}
         self.reached = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
@@ -59,23 +62,50 @@ class PieceEncoder:
             self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), None)
         self.matches.make_automaton()
         self.together: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, str]] = {}
+        self.words: dict[str, tuple[str, tuple[int, ...]]] = {}
+        # Runs of spaces whose pieces all have the lowest score are joined last, from the left. Empty for a model in which that isn't so.
+        lowest = min(self.score.values())
+        last = all((not p.strip(_SPACE)) == (x == lowest) and (p[1:2] != _SPACE or x == lowest) for p, x in self.score.items())
+        self.runs = {len(p): i for p, i in self.ids.items() if not p.strip(_SPACE)} if last else {}
         #: Stretches that no piece reaches over: space marks with what follows up to one or a line end, or a line end.
         self.pieces_of = re.compile("▁+[^▁\n]*|[^▁\n]+|\n" if "\n" not in self.characters else "▁+[^▁]*|[^▁]+").findall
 
     def merge(self, text: str) -> list[str]:
         """The model's own rule: join the neighbours with the best score, the leftmost first, until none can be joined."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        parts: list[str] = list(text)
+        n, score = len(parts), self.score.get
+        if n <= 24:  # looking through them all is quicker than a queue
+            while n > 1:
+                found = [(-x, i) for i in range(n - 1) if (x := score(parts[i] + parts[i + 1])) is not None]
+                if not found:
+                    break
+                i = min(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                n -= 1
+            return parts
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                joined = parts[i] + parts[after[i]]
+                if (x := score(joined)) is not None:
+                    heapq.heappush(waiting, (-x, i, joined))
+
+        for i in range(n - 1):
+            offer(i)
+        while waiting:
+            _, i, joined = heapq.heappop(waiting)
+            j = after[i]
+            if not parts[i] or j >= n or parts[i] + parts[j] != joined:
+                continue  # one of the two has been joined with another part since
+            parts[i], parts[j] = joined, ""
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        return [p for p in parts if p]
 
     def _fits(self, last: str, piece: str) -> bool:
         key = (last, piece)
@@ -92,11 +122,11 @@ class PieceEncoder:
         for end, p in self.matches.iter(text):
             longest[end - len(p) + 1] = p  # longer ones at the same place come later
         out: list[str] = []
-        open_places = (1 << (len(text) + 1)) - 1
+        closed = bytearray(len(text) + 1)
         at, piece = 0, longest[0]
         while at < len(text):
             end = at + len(piece)
-            if open_places >> end & 1 and (not out or self._fits(out[-1], piece)):
+            if not closed[end] and (not out or self._fits(out[-1], piece)):
                 out.append(piece)
                 at = end
                 if at < len(text):
@@ -104,7 +134,7 @@ class PieceEncoder:
                 continue
             next_piece = self.shorter[piece]
             while next_piece is None:
-                open_places &= ~(1 << at)
+                closed[at] = 1
                 if not out:
                     return self.merge(text)  # pieces of equal score, as in runs of spaces, need the rule itself
                 last = out.pop()
@@ -113,9 +143,29 @@ class PieceEncoder:
             piece = next_piece
         return out
 
+    def _run(self, n: int) -> list[int]:
+        """Ids of n space marks: of joins of equal score the leftmost comes first."""
+        parts: list[int] = []
+        for _ in range(n):
+            parts.append(1)
+            while len(parts) > 1 and parts[-2] + parts[-1] in self.runs:
+                parts[-2:] = [parts[-2] + parts[-1]]
+        return [self.runs[k] for k in parts]
+
     def word(self, text: str) -> list[int]:
         """Ids of a word, its space marks in front; a character that is no piece becomes its bytes."""
-        ids, known = [], self.characters
+        known = self.characters
+        if self.runs and text.startswith(_SPACE * 2):
+            run = len(text) - len(text.lstrip(_SPACE))
+            behind = self.word(text[run - 1 :]) if run < len(text) else []
+            if behind and behind[0] == self.ids[_SPACE]:
+                behind = behind[1:]
+            else:
+                run -= bool(behind)  # the last space goes with the word
+            return self._run(run) + behind
+        if known.issuperset(text) and not text.startswith(_SPACE * 2):
+            return [self.ids[p] for p in self._split(text)]
+        ids: list[int] = []
         start = 0
         for i in range(len(text) + 1):
             if i == len(text) or text[i] not in known:
@@ -129,25 +179,38 @@ class PieceEncoder:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self._words(text) for i in self.word(w)]
-
-    def _words(self, text: str) -> list[str]:
-        return self.pieces_of((self.prefix + text).replace(" ", _SPACE)) if text else []
-
-    def strings(self, text: str) -> tuple[int, list[str]]:
-        """The number of ids, and the decimal ids of each word joined by spaces."""
-        memo, n, out = self.words, 0, []
-        words = self._words(text)
-        for w in words:
-            known = memo.get(w)
-            if known is None:
-                if len(memo) > _MEMO:
-                    memo.clear()
-                ids = self.word(w)
-                known = memo[w] = (len(ids), " ".join(map(str, ids)))
-            n += known[0]
-            out.append(known[1])
-        return n, out
+        return self.strings(text)[1]
+
+    def _words(self, text: str) -> Iterator[list[str]]:
+        """The stretches that no piece reaches over, of about _CHUNK characters at a time."""
+        text = (self.prefix + text).replace(" ", _SPACE) if text else ""
+        at = 0
+        while at < len(text):
+            end = text.find(_SPACE, at + _CHUNK) if len(text) - at > _CHUNK else -1
+            while end > 0 and text[end - 1] == _SPACE:  # not within a run of space marks
+                end = text.find(_SPACE, end + 1)
+            end = end if end > 0 else len(text)
+            yield self.pieces_of(text[at:end])
+            at = end
+
+    def strings(self, text: str) -> tuple[list[str], list[int]]:
+        """The decimal ids of each word joined by spaces, and the ids."""
+        memo, said, ids = self.words, [], []
+        for words in self._words(text):
+            found = []
+            for w in words:
+                known = memo.get(w)
+                if known is None:
+                    own = tuple(self.word(w))
+                    known = (" ".join(map(str, own)), own)
+                    if len(w) <= 64:
+                        if len(memo) > _MEMO:
+                            memo.clear()
+                        memo[w] = known
+                found.append(known)
+            said += [x for x, _ in found]
+            ids += chain.from_iterable([x for _, x in found])
+        return said, ids
 
 
 @functools.lru_cache(maxsize=2)
@@ -171,18 +234,17 @@ def encode_decode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_file)
-        end = [str(e.processor.eos_id())] if end_id else []
+        end = [e.processor.eos_id()] if end_id else []
         for batch in batches:
             made: dict[str, list] = {c: [] for c in ("n_tokens", *output)}
             for value in batch.column("_text"):
-                n, parts = e.strings(value.as_py())
-                joined = " ".join(parts + end)
-                made["n_tokens"].append(n + len(end))
-                ids = list(map(int, joined.split()))
+                said, ids = e.strings(value.as_py())
+                ids += end
+                made["n_tokens"].append(len(ids))
                 if "ids" in made:
                     made["ids"].append(ids)
                 if "ids_sha256" in made:
-                    made["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
+                    made["ids_sha256"].append(hashlib.sha256(" ".join(said + [str(x) for x in end]).encode()).hexdigest())
                 if "decoded" in made or "decoded_sha256" in made:
                     decoded = e.processor.decode(ids)
                     if "decoded" in made:
