@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -32,11 +33,27 @@ SPLITS: dict[str, Callable[[str], list[str]]] = {
 }
 
 
+def spaces_of(path: str) -> str:
+    """How the vocabulary of a file treats spaces: one of SPLITS. "whole", which is always right, for all that isn't known."""
+    if not path.endswith(".json"):
+        return "whole"
+    with open(path, encoding="utf-8") as f:  # a vocabulary file on every machine, not an input
+        made = json.load(f)
+    pre = made.get("pre_tokenizer") or {}
+    steps = [pre, *pre.get("pretokenizers", [])]
+    kinds = {x.get("type") for x in steps}
+    if (made.get("model") or {}).get("end_of_word_suffix") and any(x.get("type") == "Split" and x.get("behavior") == "Removed" for x in steps):
+        return "dropped"
+    plain = kinds <= {"ByteLevel"} and not any(x.get("add_prefix_space") for x in steps) and not made.get("normalizer")
+    return "leading" if plain and kinds else "whole"
+
+
 class Counter:
     """Counts tokens of one vocabulary, piece by piece. Equal pieces are encoded once, while the memory of _MEMO pieces lasts."""
 
-    def __init__(self, vocabulary: str, spaces: str) -> None:
+    def __init__(self, vocabulary: str, spaces: str | None) -> None:
         path = vocabulary_path(vocabulary)
+        spaces = spaces or spaces_of(path)
         self.split, self.whole = SPLITS[spaces], spaces == "whole"
         if path.endswith(".json"):
             from tokenizers import Tokenizer
@@ -67,17 +84,18 @@ class Counter:
 
 
 @functools.lru_cache(maxsize=2)
-def counter_of(vocabulary: str, spaces: str) -> Counter:
+def counter_of(vocabulary: str, spaces: str | None) -> Counter:
     """Kept by a Python worker from task to task."""
     return Counter(vocabulary, spaces)
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, spaces: str = "dropped") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, spaces: str | None = None) -> DataFrame:
     """One row per row of docs: id_col, n_bytes (UTF-8), n_tokens, over_limit.
 
     Counts are what the vocabulary's library gives for the whole text without begin, end or added special tokens; special strings
     inside texts count as the library's default has it. Null texts count as empty, which has no tokens. Rows may repeat; other
-    columns are ignored; no rows give no rows. vocabulary: a file's path, or its name in the package of public tokenizers. spaces: one of SPLITS, as the vocabulary has it ("whole" for a .model file).
+    columns are ignored; no rows give no rows. vocabulary: a file's path, or its name in the package of public tokenizers. spaces: one of SPLITS;
+    by default what the file says of itself, and "whole" where it says nothing known.
 
     Only lengths come back from the tasks. A task takes texts in groups of about equal bytes, so that a batch of long texts
     needs no more memory than one of short texts; long texts are split at safe boundaries, where no token, added string or

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import textwrap
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,8 +92,9 @@ def noise(seed, n):
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "leading"), ("piece_bpe_32k.model", "whole")])
-def test_token_counts(spark, name, spaces):
+@pytest.mark.parametrize("spaces", ["by the file", "stated"])
+@pytest.mark.parametrize(("name", "stated"), [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "leading"), ("piece_bpe_32k.model", "whole")])
+def test_token_counts(spark, name, stated, spaces):
     import public_tokenizers
 
     texts = ODD + noise(1, 300)
@@ -105,7 +107,8 @@ def test_token_counts(spark, name, spaces):
         import sentencepiece
 
         expected = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name)).encode([x or "" for x in texts])]
-    got = {r.doc_id: r for r in token_counts.count_tokens(docs_of(spark, texts), name, spaces=spaces, limit=100).collect()}
+    assert token_counts.spaces_of(public_tokenizers.path(name)) == stated
+    got = {r.doc_id: r for r in token_counts.count_tokens(docs_of(spark, texts), name, spaces=stated if spaces == "stated" else None, limit=100).collect()}
     assert [got[i].n_tokens for i in range(len(texts))] == expected
     assert [got[i].n_bytes for i in range(len(texts))] == [len((x or "").encode()) for x in texts]
     assert all(r.over_limit == (r.n_tokens > 100) for r in got.values())
@@ -133,6 +136,26 @@ def test_backtracking_equals_merging():
         assert e._split(word) == e.merge(word)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, " " * 999_999 + "the end", "日本語の長い文" * 60_000, "the quick  " * 100_000, "x\n   \n" * 100_000, "ñ" * 400_000, "a" * 400_000, "  é  中 "], ids=range(8))
+def test_pieces_of_long_texts(text):
+    import public_tokenizers
+    import sentencepiece
+
+    began = time.process_time()
+    got = piece_codec.encoder("piece_bpe_32k.model").encode(text)
+    assert time.process_time() - began < 20
+    assert got == sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode(text)
+
+
+def test_runs_of_spaces_equal_merging():
+    e = piece_codec.encoder("piece_bpe_32k.model")
+    for n in range(1, 120):
+        for rest in ("", "the", "中", "\u0301", "é."):
+            text = "\u2581" * n + rest
+            assert e.runs
+            assert [e.ids[p] for p in e.merge(text)] == e.word(text) or not e.characters.issuperset(rest)
+
+
 def test_pieces_of_documents(spark, sf):
     import public_tokenizers
     import sentencepiece
