@@ -72,6 +72,34 @@ def test_remove_short_items(spark, block_words):
         decontaminate.remove_contamination(docs_of(spark, texts), items, short_items=True, window=5)
 
 
+def test_items_and_texts_of_one_word():
+    said = b"word " * 100_000
+    for window, items in ((10, [("a", said), ("b", b"word word"), ("c", b"word " * 9), *((f"d{i}", said[:60]) for i in range(200))]), (3, [("x", b"word")])):
+        began = time.process_time()
+        matcher = decontaminate.Matcher(items, window)
+        (n, spans, found), none = matcher.find([said, b"other"])
+        assert time.process_time() - began < 20
+        assert (n, spans, found) == (100_000, [(0, 100_000)], {k for k, _ in items})
+        assert none == (1, [], set())
+
+
+def test_blocks_come_one_by_one(spark):
+    items = spark.createDataFrame([(i, f"w{i} x y z") for i in range(50)], "item_id int, text string")
+    n, blocks = decontaminate._blocks(items, "item_id", "text", 10)
+    assert n > 5
+    assert not isinstance(blocks, list)
+    assert sorted(int(k) for b in blocks for k, _ in b) == list(range(50))
+
+
+def test_remove_contamination_with_odd_columns(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(0, f"a b c d e f g h i j k l m {passage}", 1, "s")], "doc_id bigint, text string, `a.b` int, _text string")
+    for block_words in (1, 200_000):
+        out = decontaminate.remove_contamination(docs, spark.createDataFrame([(1, passage), (2, "q r")], "item_id int, text string"), block_words=block_words)
+        assert out.columns == docs.columns
+        assert [tuple(r) for r in out.collect()] == [(0, "a b c d e f g h i j k l m ", 1, "s")]
+
+
 def test_pipeline_cuts_short_items(spark, tmp_path):
     import corpus_pipeline
 
