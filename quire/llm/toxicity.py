@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,10 +11,10 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import quoted, staged
 
 #: Pronouns of address in the four languages.
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner deinen ihr euch euer tú ti tuyo usted ustedes vosotros vuestro".split())
@@ -22,6 +23,8 @@ LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7"
 PREFIXES = (4, 5, 6, 7)
 NEAR = 6  # words between a lexicon word and a pronoun of address that counts as close
 _MEMO = 150_000
+_CHUNK = 1 << 20  # characters of text that are looked at at once
+_SPACE = re.compile(r"\s")
 _EDGES = ".,;:!?\"'()[]{}%&$*#-"
 FEATURES = (
     "log_words", "hit_density", "log_hits", "hit_weight", "most_weight", "stem_density", "log_stems", "stem_weight", "most_stem",
@@ -91,40 +94,55 @@ class Features:
         return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
 
     def of(self, text: str) -> list[float]:
-        tokens = text.split()
-        if not tokens:
+        """A long text is taken in stretches; what is kept of it are sums, and the places of hits and pronouns."""
+        n, s, most = 0, np.zeros(14), np.zeros(14, np.float32)
+        hits, addressed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for tokens in _stretches(text):
+            if tokens:
+                numbers = self._numbers(tokens)  # this may replace self.rows
+                m = self.rows[numbers]
+                s += m.sum(axis=0, dtype=np.float64)
+                most = np.maximum(most, m.max(axis=0))
+                hits.append(np.flatnonzero(m[:, self.HIT]) + n)
+                addressed.append(np.flatnonzero(m[:, self.ADDRESS]) + n)
+                n += len(tokens)
+        if not n:
             return [0.0] * len(FEATURES)
-        numbers = self._numbers(tokens)  # this may replace self.rows
-        m = self.rows[numbers]
-        s, n = m.sum(axis=0, dtype=np.float64), len(tokens)
-        hits, addressed = np.flatnonzero(m[:, self.HIT]), np.flatnonzero(m[:, self.ADDRESS])
+        hit, near = np.concatenate(hits), np.concatenate(addressed)
         close = 0
-        if len(hits) and len(addressed):
-            at = np.searchsorted(addressed, hits)
-            before, after = addressed[np.maximum(at - 1, 0)], addressed[np.minimum(at, len(addressed) - 1)]
-            close = int((np.minimum(abs(hits - before), abs(hits - after)) <= NEAR).sum())
+        if len(hit) and len(near):
+            at = np.searchsorted(near, hit)
+            before, after = near[np.maximum(at - 1, 0)], near[np.minimum(at, len(near) - 1)]
+            close = int((np.minimum(abs(hit - before), abs(hit - after)) <= NEAR).sum())
         letters, chars = max(s[self.LETTERS], 1.0), max(s[self.CHARS], 1.0)
         return [
-            float(np.log1p(n)), s[self.HIT] / n, float(np.log1p(s[self.HIT])), s[self.WORD] / n, float(m[:, self.WORD].max()),
-            s[self.STEM_HIT] / n, float(np.log1p(s[self.STEM_HIT])), s[self.STEM] / n, float(m[:, self.STEM].max()),
+            float(np.log1p(n)), s[self.HIT] / n, float(np.log1p(s[self.HIT])), s[self.WORD] / n, float(most[self.WORD]),
+            s[self.STEM_HIT] / n, float(np.log1p(s[self.STEM_HIT])), s[self.STEM] / n, float(most[self.STEM]),
             close, close / n, s[self.ADDRESS] / n, s[self.UPPER] / letters, s[self.SHOUT] / n, s[self.PUNCT] / chars, s[self.EXCLAIM] / n, s[self.SYMBOL] / chars, s[self.OBSCURE] / n, s[self.UNCOVERED],
         ]
 
 
-def featured(rows: DataFrame, lexicons: list[dict[str, float]], keep: list[str]) -> DataFrame:
-    """rows (_text, _lexicon: which of lexicons, and keep) with features, an array of double."""
-    shared = rows.sparkSession.sparkContext.broadcast(lexicons)
-    rows = rows.select(*keep, "_text", "_lexicon")
+def _stretches(text: str) -> Iterator[list[str]]:
+    """The tokens of a text between white space, of about _CHUNK characters at a time."""
+    at = 0
+    while len(text) - at > _CHUNK:
+        end = _SPACE.search(text, at + _CHUNK)
+        end = end.start() if end else len(text)
+        yield text[at:end].split()
+        at = end
+    yield text[at:].split()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def features_of(text: Column, lexicons: list[dict[str, float]], which: Column) -> Column:
+    """The features of texts under one of lexicons each, an array of double. Only the text goes to Python and only numbers come back."""
+    shared = SparkSession.active().sparkContext.broadcast(lexicons)
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         makers = [Features(x) for x in shared.value]
-        for batch in batches:
-            which = batch.column("_lexicon").to_pylist()
-            made = [makers[k].of(t.as_py()) for k, t in zip(which, batch.column("_text"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(made, pa.list_(pa.float64()))], [*keep, "features"])
+        for texts, chosen in batches:
+            yield pa.array([makers[k].of(t.as_py()) for t, k in zip(texts, chosen.to_pylist(), strict=True)], pa.list_(pa.float64()))
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "features array<double>"]))
+    return F.arrow_udf(run, "array<double>").asNondeterministic()(text, which)  # so that no plan evaluates it twice
 
 
 @dataclass
@@ -135,18 +153,22 @@ class ToxicityModel:
     base_rate: float
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per row of docs: id_col, score (from 0 to 1), predicted (1 from 0.5 on). Null texts count as empty."""
-        rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.lit(0).alias("_lexicon"))
+        """One row per row of docs: id_col, score (from 0 to 1), predicted (1 from 0.5 on).
+
+        Null texts count as empty, which has features of its own (all 0). Texts are taken whole, long ones in stretches. Rows may repeat,
+        ids may be null; other columns are ignored; no rows give no rows.
+        """
+        rows = docs.select(quoted(id_col).alias("_id"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
+        return self._scored(rows, "_id").select(F.col("_id").alias(id_col), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+    def _scored(self, rows: DataFrame, keep: str) -> DataFrame:
+        """keep, score, of rows (keep, _text)."""
         if self.trees is None:
-            scored = rows.withColumn("score", F.lit(self.base_rate))
+            scored = rows.select(keep, F.lit(self.base_rate).alias("score"))
         else:
-            scored = _margins(self.trees, featured(rows, [self.lexicon], ["_id"]))
-            if self.calibration is None:
-                scored = scored.withColumn("score", F.col("margin"))
-            else:
-                scored = self.calibration.transform(scored)
-        score = F.least(F.greatest(F.coalesce("score", F.lit(self.base_rate)), F.lit(0.0)), F.lit(1.0))
-        return scored.select(F.col("_id").alias(id_col), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            scored = _margins(self.trees, rows.select(keep, features_of(F.col("_text"), [self.lexicon], F.lit(0)).alias("features")))
+            scored = scored.withColumn("score", F.col("margin")) if self.calibration is None else self.calibration.transform(scored)
+        return scored.select(keep, F.least(F.greatest(F.coalesce("score", F.lit(self.base_rate)), F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def _margins(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -201,7 +223,7 @@ def fit_toxicity(
         return {r.term: float(r.w) for r in best.collect()}
 
     lexicons = [lexicon((1,)), lexicon((0,)), lexicon((0, 1))]  # by half: that of the other half; of all
-    seen = staged(featured(rows.withColumn("_lexicon", F.col("half")), lexicons[:2], ["label", "fold"]), "features")
+    seen = staged(rows.select("label", "fold", features_of(F.col("_text"), lexicons[:2], F.col("half")).alias("features")), "features")
     fits, checks = seen.where(F.col("fold") != max(folds)), seen.where(F.col("fold") == max(folds))
     if fits.agg(F.count_distinct("label")).first()[0] < 2:
         return ToxicityModel(lexicons[2], None, None, toxic / n)
@@ -215,8 +237,14 @@ def fit_toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with docs' columns. One pass over the texts after the fit, without a shuffle."""
+    """The rows of docs that aren't predicted toxic, with docs' columns, whatever their names.
+
+    Where the labels are too few to fit trees, nothing tells texts apart and all rows stay. Null, empty and very long texts, repeated rows
+    and no rows are as in ToxicityModel.score. One pass over the texts after the fit, without a shuffle.
+    """
     model = fit_toxicity(docs, labels, id_col, text_col, **how)
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    scored = model.score(docs.select(row.alias("_row"), F.col(text_col).alias("_text_in")), "_row", "_text_in")
-    return scored.where("predicted = 0").select("_row.*")
+    if model.trees is None:
+        return docs
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
+    kept = model._scored(rows, "_row").where("score < 0.5")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
