@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, queries, toxicity, warc
@@ -94,6 +97,99 @@ def test_features():
     assert f.of("") == [0.0] * len(toxicity.FEATURES)
 
 
+def plain_features(text, lexicon):
+    """Token by token, without memory, numpy or shortcuts."""
+    t = toxicity
+    n = letters = upper = shouted = marks = exclaimed = symbols = chars = obscure = 0
+    word_sum = stem_sum = uncovered = 0.0
+    words, stems, hits, addressed = [0.0], [0.0], [], []
+    for i, token in enumerate(text.split()):
+        parts = "".join(c if c.isalpha() else " " for c in token.lower()).split()
+        word = max([lexicon.get(p, 0.0) for p in parts], default=0.0)
+        stem = max([lexicon.get("^" + p[:k], 0.0) for p in parts for k in t.PREFIXES if len(p) > k], default=0.0)
+        core = token.strip(t._EDGES)
+        own = [c for c in token if c.isalpha()]
+        ups = sum(c.isupper() for c in own)
+        odd = bool(own) and any(not c.isalpha() and c not in "'’-" for c in core)
+        n, letters, upper, chars = n + 1, letters + len(own), upper + ups, chars + len(token)
+        shouted += len(own) > 2 and ups == len(own)
+        marks += sum(not c.isalnum() for c in token)
+        exclaimed += token.count("!")
+        symbols += sum(token.count(c) for c in "%&$*#@|~^")
+        obscure += odd
+        if odd and not word:
+            uncovered += lexicon.get("".join(c for c in core.lower().translate(t.LOOKALIKE) if c.isalpha()), 0.0)
+        word_sum, stem_sum = word_sum + word, stem_sum + stem
+        words.append(word)
+        stems.append(stem)
+        if word > 0:
+            hits.append(i)
+        if any(p in t.SECOND_PERSON for p in parts):
+            addressed.append(i)
+    if not n:
+        return [0.0] * len(t.FEATURES)
+    close, n_stems = sum(any(abs(h - a) <= t.NEAR for a in addressed) for h in hits), sum(x > 0 for x in stems)
+    return [
+        math.log1p(n), len(hits) / n, math.log1p(len(hits)), word_sum / n, max(words), n_stems / n, math.log1p(n_stems), stem_sum / n, max(stems),
+        close, close / n, len(addressed) / n, upper / max(letters, 1), shouted / n, marks / max(chars, 1), exclaimed / n, symbols / max(chars, 1), obscure / n, uncovered,
+    ]
+
+
+def test_features_against_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "_CHUNK", 300)  # long texts take several stretches
+    rng = random.Random(8)
+    lexicon = {"bad": 3.0, "badly": 2.5, "^grue": 2.25, "^badly": 2.75, "idiot": 4.0, "ünfug": 2.0}
+    some = ["you", "BAD", "b4d", "gruesome", "badlyish", "1d10t!", "fine,", "Tú", "don't", "$$$", "3.14", "ÜNFUG!!", "a-b", "(euch)", "x" * 40, "i.d.i.o.t", "\u00a0", "it's", "#bad#", "‘bad’"]
+    maker = toxicity.Features(lexicon)
+    for k in (0, 1, 2, 5, 30, 400):
+        for _ in range(20):
+            text = "".join(rng.choice(some) + rng.choice([" ", "\n", "  "]) for _ in range(k))
+            assert maker.of(text) == pytest.approx(plain_features(text, lexicon), rel=1e-5)
+
+
+def test_toxicity_query_against_brute_force(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    fitted = []
+    fit = toxicity.fit_toxicity
+    monkeypatch.setattr(toxicity, "fit_toxicity", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    got = {r.doc_id: r for r in queries.op2_toxicity(spark, sf).collect()}
+    (model,) = fitted
+    assert got.keys() == docs.keys()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        score = model.base_rate
+        if model.trees is not None:
+            score = model.trees.predictProbability(Vectors.dense([float(np.float32(x)) if k in (4, 8) else x for k, x in enumerate(toxicity.Features(model.lexicon).of(docs[i]))]))[1]
+            if model.calibration is not None:
+                score = float(np.interp(score, model.calibration.boundaries, model.calibration.predictions))
+        assert r.score == pytest.approx(score, abs=1e-6)
+        assert r.predicted == int(r.score >= 0.5)
+    held = [(got[i].score, y) for i, y in labels.items() if y is not None and i in got and got[i].held_out]
+    right = [(a > b) + (a == b) / 2 for a, x in held for b, y in held if x > y]
+    assert not right or sum(right) / len(right) > 0.8
+
+
+def test_no_model_keeps_all_rows(spark):
+    docs = spark.createDataFrame([(i, "same text" if i % 2 else "other", i, i) for i in range(60)], "doc_id bigint, text string, `a.b` int, score int")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    out = toxicity.drop_toxic(docs, labels)
+    assert out.columns == docs.columns
+    assert out.count() == 60
+
+
+def test_drop_toxic_with_odd_columns(spark, learned):
+    data, _, labels, _ = learned
+    names = ["a.b", "features", "prediction", "_row", "_text", "margin"]
+    docs = spark.createDataFrame([(i, t, *[i] * 6) for i, t, _ in data], "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = toxicity.drop_toxic(docs, labels, trees=8)
+    assert out.columns == docs.columns
+    left = out.collect()
+    assert 400 < len(left) < 900
+    assert all(r["a.b"] == r.doc_id == r["margin"] for r in left)
+
+
 # --- WARC
 
 PAGES = "page_id bigint, url string, html string, archive string"
