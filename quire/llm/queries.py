@@ -137,10 +137,11 @@ def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     The tables hold no replica, so the copy is derived from the same pages with planted damage: where the digest of the page's id
     begins with 00 the record is lost, where it begins with 01 a byte of the record is turned over, offsets as in the intact copy.
     """
-    records = warc.warc_records(table(spark, sf_dir, "pages"))
-    luck = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2)
-    broken = F.when(luck == "01", F.overlay("record", F.lit(b"#"), F.lit(3), F.lit(1))).otherwise(F.col("record"))
-    copy = records.where(luck != "00").withColumn("sha256", F.sha2(broken, 256))
+    luck = F.coalesce(F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2), F.lit(""))
+    broken = lambda record: F.overlay(record, F.lit(b"#"), F.lit(3), F.lit(1))
+    # the digest of the broken record is made where its bytes are; they aren't shuffled
+    records = warc.warc_records(table(spark, sf_dir, "pages"), digests={"copy_sha256": lambda r: F.when(luck == "01", F.sha2(broken(r), 256)).otherwise(F.sha2(r, 256))}).drop("record")
+    copy = records.where(luck != "00").withColumn("sha256", F.col("copy_sha256"))
     found = warc.audit(records, copy)
     rows = records.select("page_id", "archive", "offset", "length")
     return rows.join(found, ["archive", "offset"], "left").select("page_id", "archive", "offset", "length", F.coalesce("status", F.lit("intact")).alias("status"))
@@ -149,8 +150,9 @@ def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH r AS (
   SELECT page_id, CAST(floor(page_id / 1024.0) AS BIGINT) AS archive,
-    CAST(strlen('WARC/1.0' || '..WARC-Type: response' || '..WARC-Target-URI: ' || coalesce(url, '') || '..Content-Length: ' || strlen(coalesce(html, '')) || '....' || coalesce(html, '') || '....') AS BIGINT) AS length
-  FROM pages)
+    CAST(strlen('WARC/1.0' || '..WARC-Type: response' || '..WARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000000>' || '..WARC-Date: 1970-01-01T00:00:00Z' || '..WARC-Target-URI: ' || coalesce(url, '')
+      || '..Content-Type: application/http; msgtype=response' || '..Content-Length: ' || (strlen(http) + strlen(coalesce(html, ''))) || '....') + strlen(http) + strlen(coalesce(html, '')) + 4 AS BIGINT) AS length
+  FROM (SELECT *, 'HTTP/1.1 200 OK' || '..Content-Type: text/html; charset=utf-8' || '..Content-Length: ' || strlen(coalesce(html, '')) || '....' AS http FROM pages))
 SELECT page_id, archive, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length,
   CASE substr(sha256(CAST(page_id AS VARCHAR)), 1, 2) WHEN '00' THEN 'missing' WHEN '01' THEN 'changed' ELSE 'intact' END AS status
 FROM r

@@ -2,28 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import staged
 
 _CRLF = "\r\n"
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n", re.IGNORECASE)
+
+
+def warc_records(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    per_archive: int = 1024,
+    date: str = "1970-01-01T00:00:00Z",
+    digests: dict[str, Callable[[Column], Column]] | None = None,
+) -> DataFrame:
+    """One row per page: id_col, archive, offset, length, sha256, record (binary), and digests: response records as they lie in archive files.
+
+    A record has the fields that WARC 1.0 requires, with `date` for all and an id made of the page's own digest, and an HTTP response
+    as its block. An archive takes the pages of per_archive consecutive ids, in the order of the ids, then of the digests; offset is
+    where the record starts in its archive. Pages with null ids are dealt to archives of their own, with negative numbers, of per_archive pages
+    at most as they come. Null urls and pages are empty, repeated rows are records of their own. Other columns are ignored; no rows give no
+    rows. Ids are integers.
+
+    digests (a column name, and what it is of the record) are made before the window that finds the offsets, as sha256 is; where
+    `record` isn't selected from the result, the shuffle for that window carries numbers and digests only.
+    """
+    url, html = (F.coalesce(F.col(c), F.lit("")) for c in (url_col, html_col))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.octet_length(html).cast("string"), F.lit(_CRLF * 2), html)
+    own = F.md5(F.concat_ws(" ", F.col(id_col).cast("string"), url, F.md5(html)))
+    urn = F.concat(*[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(own, a, n)]])
+    head = F.concat(
+        F.lit(f"WARC/1.0{_CRLF}WARC-Type: response{_CRLF}WARC-Record-ID: <urn:uuid:"), urn, F.lit(f">{_CRLF}WARC-Date: {date}{_CRLF}WARC-Target-URI: "), F.translate(url, _CRLF, "  "),
+        F.lit(f"{_CRLF}Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "), F.octet_length(http).cast("string"), F.lit(_CRLF * 2),
+    )
+    record = F.concat(head, http, F.lit(_CRLF * 2)).cast("binary")
+    as_they_come = -1 - F.floor(F.monotonically_increasing_id() / per_archive)
+    archive = F.when(F.col(id_col).isNull(), as_they_come).otherwise(F.floor(F.col(id_col) / per_archive)).cast("bigint")
+    rows = pages.select(F.col(id_col), archive.alias("archive"), record.alias("record"))
+    made = {"sha256": F.sha2("record", 256), **{k: fn(F.col("record")) for k, fn in (digests or {}).items()}}
+    rows = rows.withColumn("length", F.octet_length("record").cast("bigint")).withColumns(made)
+    before = Window.partitionBy("archive").orderBy(id_col, "sha256").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")).select(id_col, "archive", "offset", "length", *made, "record")
 
 
-def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = 1024) -> DataFrame:
-    """One row per page: id_col, archive, offset, length, sha256, record (binary): response records as they lie in archive files.
+def parse_record(record: Column) -> Column:
+    """struct(type, id, date, uri, block, payload) of one record (binary), JVM-side; null fields where it isn't a whole record.
 
-    An archive takes the pages of per_archive consecutive ids, in the order of the ids, then of the digests; offset is where the record
-    starts in its archive. Null urls and pages are empty, null ids make one archive of their own (null), repeated rows are records
-    of their own. Other columns are ignored; no rows give no rows. Ids are integers.
+    block is what Content-Length covers, payload what follows the HTTP head of a response.
     """
-    url, html = (F.coalesce(F.col(c), F.lit("")) for c in (url_col, html_col))
-    head = F.concat(F.lit(f"WARC/1.0{_CRLF}WARC-Type: response{_CRLF}WARC-Target-URI: "), F.translate(url, _CRLF, "  "), F.lit(f"{_CRLF}Content-Length: "), F.octet_length(html).cast("string"), F.lit(_CRLF * 2))
-    record = F.concat(head, html, F.lit(_CRLF * 2)).cast("binary")
-    rows = pages.select(F.col(id_col), F.floor(F.col(id_col) / per_archive).cast("bigint").alias("archive"), record.alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("bigint")).withColumn("sha256", F.sha2("record", 256))
-    before = Window.partitionBy("archive").orderBy(id_col, "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")).select(id_col, "archive", "offset", "length", "sha256", "record")
+    text = record.cast("string")
+    at = F.instr(text, _CRLF * 2)
+    head = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(_CRLF))
+    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?i)\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
+    size, start = field("Content-Length").try_cast("int"), F.octet_length(F.substring(text, F.lit(1), at + 3))
+    whole = text.startswith("WARC/") & (at > 0) & (F.octet_length(record) >= start + size)
+    block = F.substring(record, start + 1, size)
+    payload = F.substring(block.cast("string"), F.instr(block.cast("string"), _CRLF * 2) + 4, F.length(block.cast("string")))
+    named = {"type": field("WARC-Type"), "id": field("WARC-Record-ID"), "date": field("WARC-Date"), "uri": field("WARC-Target-URI"), "block": block, "payload": payload}
+    return F.struct(*[F.when(whole, v).alias(k) for k, v in named.items()])
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of uncompressed archive files under path: path, offset, length, record (binary). See parse_record for their fields.
+
+    Files are the unit of work, as archives of some hundred MB are; a file gives its records one by one and is held once. A file that
+    breaks off, or goes on with what is no record, gives the rest as one row that parse_record finds no fields in.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data, at = value.as_buffer(), 0
+                view = memoryview(data)
+                while at < len(view):
+                    end = _record_end(view, at)
+                    row = [pa.array([name]), pa.array([at], pa.int64()), pa.array([end - at], pa.int64()), pa.array([bytes(view[at:end])], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(row, ["path", "offset", "length", "record"])
+                    at = end
+
+    return files.mapInArrow(split, "path string, offset bigint, length bigint, record binary")
+
+
+def _record_end(data: memoryview, at: int) -> int:
+    """Where the record that starts at `at` ends; the end of the data if none does."""
+    for size in (4096, 65536, len(data)):
+        head = bytes(data[at : at + size])
+        if (n := head.find(b"\r\n\r\n")) >= 0:
+            found = _LENGTH.search(head[: n + 2])
+            end = at + n + 4 + int(found[1]) + 4 if found and head.startswith(b"WARC/") else len(data)
+            return min(end, len(data))
+    return len(data)
 
 
 def _node(children: Column) -> Column:
