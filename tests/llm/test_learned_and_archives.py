@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -198,11 +199,46 @@ PAGES = "page_id bigint, url string, html string, archive string"
 def test_records(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>ü", ""), (0, None, None, ""), (5, "u", "x" * 100_000, "")], PAGES)
     got = {r.page_id: r for r in warc.warc_records(pages, per_archive=4).collect()}
-    assert bytes(got[1].record) == b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\nContent-Length: 5\r\n\r\n<p>\xc3\xbc\r\n\r\n"
+    lines = bytes(got[1].record).split(b"\r\n")
+    assert lines[:2] == [b"WARC/1.0", b"WARC-Type: response"]
+    assert re.fullmatch(rb"WARC-Record-ID: <urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", lines[2])
+    assert lines[3:] == [
+        b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: http://a/", b"Content-Type: application/http; msgtype=response", b"Content-Length: 83", b"",
+        b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: 5", b"", b"<p>\xc3\xbc", b"", b"",
+    ]
     assert (got[0].offset, got[1].offset, got[5].offset) == (0, got[0].length, 0)
     assert all(r.length == len(r.record) and r.sha256 == hashlib.sha256(r.record).hexdigest() for r in got.values())
 
 
+def test_records_read_back(spark, tmp_path):
+    texts = ["<p>ü", None, "a\r\n\r\nb", "x" * 100_000, "WARC/1.0\r\n", ""]
+    pages = spark.createDataFrame([(i, f"http://h/é{i}", t, "") for i, t in enumerate(texts)], PAGES)
+    rows = sorted(warc.warc_records(pages).collect(), key=lambda r: r.offset)
+    (tmp_path / "a.warc").write_bytes(b"".join(bytes(r.record) for r in rows))
+    (tmp_path / "broken.warc").write_bytes(bytes(rows[0].record) + b"no record\r\n\r\n")
+    back = warc.read_warc(spark, str(tmp_path)).select("*", warc.parse_record(F.col("record")).alias("r")).orderBy("path", "offset").collect()
+    assert [(r.offset, r.length, bytes(r.record)) for r in back[:6]] == [(r.offset, r.length, bytes(r.record)) for r in rows]
+    assert [(r.r.type, r.r.uri, r.r.payload) for r in back[:6]] == [("response", f"http://h/é{i}", t or "") for i, t in enumerate(texts)]
+    assert len({r.r.id for r in back[:6]}) == 6
+    assert [r.r.payload for r in back[6:]] == ["<p>ü", None]
+
+
+def test_null_ids_dont_gather(spark):
+    pages = spark.createDataFrame([(None, "u", "x", "")] * 40 + [(3, "u", "x", "")], PAGES).repartition(3)
+    per = {r.archive: r["count"] for r in warc.warc_records(pages, per_archive=8).groupBy("archive").count().collect()}
+    assert per.pop(0) == 1
+    assert sum(per.values()) == 40
+    assert max(per.values()) <= 8
+    assert max(per) < 0
+
+
+def test_no_record_is_shuffled(spark, sf):
+    plan = queries.op7_warc_audit(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in re.findall(r"hashpartitioning\(.*|Exchange.*", plan)]
+    assert moved
+    assert not any("record" in x or "html" in x for x in moved)
+
+
 @pytest.mark.parametrize(("range_bytes", "fanout"), [(64, 2), (1 << 18, 8), (1000, 3)])
 def test_audit_against_brute_force(spark, range_bytes, fanout):
     rng = random.Random(range_bytes)

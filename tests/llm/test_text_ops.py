@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import textwrap
 import time
 
@@ -246,16 +247,59 @@ def test_several_licenses_in_a_line(spark):
     assert [(r.confirmed, r.start) for r in twice] == [(True, 0), (True, 32), (False, 64 + len(filler) + 1)]
 
 
-def test_differences():
-    def plain(t, b):
-        row = [0] * (len(b) + 1)
-        for i, w in enumerate(t, 1):
-            new = [i]
-            for j, x in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (w != x)))
-            row = new
-        return min(row)
+def test_spdx_lines_and_families(spark):
+    t = license_scan
+    two, three = (t._BSD + t._BSD_CLAUSES + x + t._BSD_WARRANTY for x in ("", t._BSD_THIRD))
+    texts = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: Foo-1.0", two, three, t._BSD, "Copyright (c) 2020 Nobody\n\n" + dict(t.TEMPLATES)["MIT"]]
+    texts += [dict(t.TEMPLATES)[n] for n in ("AGPL-3.0", "LGPL-3.0", "ISC", "Unlicense")][:0] + [x for n, x in t.TEMPLATES if n in ("AGPL-3.0", "LGPL-3.0", "LGPL-2.1", "GPL-2.0", "ISC", "Unlicense", "Zlib") and "SPDX" not in x]
+    got = {r.doc_id: (r.license, r.exact) for r in license_scan.scan_licenses(docs_of(spark, texts)).where("confirmed").collect()}
+    assert got.get(2) is None
+    assert [got[i] for i in (0, 1, 3, 4, 5)] == [("MIT", True), ("GPL-2.0", True), ("BSD-2-Clause", True), ("BSD-3-Clause", True), ("BSD", True)]
+    assert [got[i][0] for i in range(7, len(texts))] == ["GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "ISC", "Unlicense", "Zlib"]
+
+
+def plain_differences(t, b):
+    row = [0] * (len(b) + 1)
+    for i, w in enumerate(t, 1):
+        new = [i]
+        for j, x in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (w != x)))
+        row = new
+    return min(row)
+
+
+def test_license_query_against_brute_force(spark, sf):
+    from quire.llm import queries
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op4_license_scan(spark, sf).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.doc_id, []).append(r)
+        if r.confirmed:
+            name, said = license_scan.TEMPLATES[r.template]
+            template = license_scan.wording(said)
+            assert r.license == name
+            assert r.n_diffs == plain_differences(template, license_scan.wording(docs[r.doc_id][r.start : r.end])) <= 0.1 * len(template)
+            assert r.exact == (r.n_diffs == 0)
+    found = 0
+    for i, text in docs.items():
+        words = [(m.start(), w) for m in re.finditer(r"\S+", text) if (w := m.group().lower().strip(license_scan._PUNCTUATION))]
+        flat = [w for _, w in words]
+        for name, said in license_scan.TEMPLATES:
+            t = license_scan.wording(said)
+            for k in range(len(flat) - len(t) + 1):
+                if flat[k : k + len(t)] == t:  # every exact wording lies in a confirmed notice
+                    found += 1
+                    assert any(r.confirmed and r.start <= words[k][0] < r.end for r in held.get(i, [])), (i, name)
+        for m in license_scan._CUE.finditer(text):  # every cue is part of a row
+            at = max(p for p, _ in words if p <= m.start())
+            assert any(r.start <= at < r.end for r in held.get(i, [])), (i, m.group())
+    assert found
+
 
+def test_differences():
+    plain = plain_differences
     rng = random.Random(6)
     for _ in range(300):
         t, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 8))] for _ in range(2))
