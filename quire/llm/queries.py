@@ -171,6 +171,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reached AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.doc_id),
+least AS (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents JOIN least ON least.doc_id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -183,4 +197,4 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_warc_audit": OP7_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_warc_audit": OP7_SQL, "op10_jaccard_join": OP10_SQL}
