@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .token_counts import vocabulary_path
 
-_MEMO = 300_000  # words whose pieces a task remembers
+_MEMO = 120_000  # words whose pieces a task remembers
 _CHUNK = 1 << 20  # characters of text that are taken apart at once
 _SPACE = "▁"
 
@@ -111,7 +111,7 @@ class PieceEncoder:
         key = (last, piece)
         known = self.together.get(key)
         if known is None:
-            if len(self.together) > 1_000_000:
+            if len(self.together) > _MEMO:
                 self.together.clear()
             known = self.together[key] = self.merge(last + piece) == [last, piece]
         return known
