@@ -22,11 +22,12 @@ def data_url_content(url: Column) -> Column:
     return F.when(url.rlike(r"\Adata:[^,]*;base64,"), F.try_to_binary(F.substring_index(url, ",", -1), F.lit("base64")))
 
 
-def _number(content: Column, start: int, size: int, little: bool = False) -> Column:
-    digits = F.hex(F.substring(content, start, size))
+def _number(content: Column, start: int | Column, size: int, little: bool = False) -> Column:
+    """The whole number in `size` bytes from place `start` (from 1) on; null behind the end."""
+    digits = F.hex(F.substring(content, F.lit(start) if isinstance(start, int) else start, F.lit(size)))
     if little:
         digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.conv(digits, 16, 10).cast("int")
+    return F.when(F.length(digits) == 2 * size, F.conv(digits, 16, 10).cast("bigint"))
 
 
 def image_format(content: Column) -> Column:
@@ -40,9 +41,62 @@ def image_format(content: Column) -> Column:
     )
 
 
+#: Segments of a JPEG file that are looked through for its size; each may have 64 KB.
+_SEGMENTS = 2048
+
+
+def _jpeg_size(content: Column) -> tuple[Column, Column]:
+    """Goes from marker to marker up to the frame header, whatever lies between."""
+    state = "struct<at:int,width:bigint,height:bigint,done:boolean>"
+    none = F.lit(None).cast("bigint")
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        mark, length = _number(content, at + 1, 1), _number(content, at + 2, 2)
+        alone = (mark == 0x01) | mark.between(0xD0, 0xD8)
+        frame = mark.between(0xC0, 0xCF) & ~mark.isin(0xC4, 0xC8, 0xCC)
+        ends = F.coalesce((_number(content, at, 1) != 0xFF) | mark.isin(0x00, 0xD9, 0xDA), F.lit(True))
+        to = lambda place: F.struct(place.cast("int").alias("at"), none.alias("width"), none.alias("height"), F.lit(False).alias("done")).cast(state)
+        end = lambda w, h: F.struct(at.alias("at"), w.alias("width"), h.alias("height"), F.lit(True).alias("done")).cast(state)
+        return (
+            F.when(s["done"], s)
+            .when(ends, end(none, none))
+            .when(mark == 0xFF, to(at + 1))  # filling
+            .when(alone, to(at + 2))
+            .when(frame, end(_number(content, at + 7, 2), _number(content, at + 5, 2)))
+            .when(length >= 2, to(at + 2 + length))
+            .otherwise(end(none, none))
+        )
+
+    start = F.struct(F.lit(3).alias("at"), none.alias("width"), none.alias("height"), F.lit(False).alias("done")).cast(state)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(_SEGMENTS)), start, step)
+    return found["width"], found["height"]
+
+
+def _webp_size(content: Column) -> tuple[Column, Column]:
+    """From the first chunk: lossy, lossless or extended."""
+    chunk = F.hex(F.substring(content, 13, 4))
+    lossy = (chunk == "56503820") & (F.hex(F.substring(content, 24, 3)) == "9D012A")
+    lossless, extended = (chunk == "5650384C") & (_number(content, 21, 1) == 0x2F), chunk == "56503858"
+    bits = _number(content, 22, 4, True)
+    sizes = (
+        (_number(content, 27, 2, True).bitwiseAND(0x3FFF), bits.bitwiseAND(0x3FFF) + 1, _number(content, 25, 3, True) + 1),
+        (_number(content, 29, 2, True).bitwiseAND(0x3FFF), F.shiftright(bits, 14).bitwiseAND(0x3FFF) + 1, _number(content, 28, 3, True) + 1),
+    )
+    width, height = (F.when(lossy, x).when(lossless, y).when(extended, z) for x, y, z in sizes)
+    return width, height
+
+
 def header_size(content: Column) -> Column:
-    """struct(width, height) from the header of a PNG or GIF; null where it can't be read."""
-    long_enough = F.octet_length(content) >= F.when(image_format(content) == "png", 24).otherwise(10)
-    width = F.when(image_format(content) == "png", _number(content, 17, 4)).when(image_format(content) == "gif", _number(content, 7, 2, True))
-    height = F.when(image_format(content) == "png", _number(content, 21, 4)).when(image_format(content) == "gif", _number(content, 9, 2, True))
-    return F.when(long_enough & (width > 0) & (height > 0), F.struct(width.alias("width"), height.alias("height")))
+    """struct(width, height) from the header of a PNG, GIF, JPEG or WebP file; null where it can't be read."""
+    kind = image_format(content)
+    known = {
+        "png": (_number(content, 17, 4), _number(content, 21, 4)),
+        "gif": (_number(content, 7, 2, True), _number(content, 9, 2, True)),
+        "jpeg": _jpeg_size(content),
+        "webp": _webp_size(content),
+    }
+    size = F.lit(None).cast("struct<width:int,height:int>")
+    for name, (width, height) in known.items():
+        size = F.when(kind == name, F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))).otherwise(size)
+    return F.when((size["width"] > 0) & (size["height"] > 0), size)

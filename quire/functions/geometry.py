@@ -14,7 +14,8 @@ VIEWPORT_PADDING, VIEWPORT_HEIGHT = 32.0, 500.0
 
 def js_round(x: Column) -> Column:
     """To the nearest whole number, halves upwards (-2.5 gives -2), as a bigint; null stays null."""
-    return F.floor(x + F.lit(0.5)).cast("bigint")
+    whole = F.floor(x)  # x + 0.5 would itself be rounded, upwards for 0.49999999999999994
+    return (whole + (x - whole >= 0.5).cast("int")).cast("bigint")
 
 
 def fit_scale(mode: str, viewport_width: Column, width: Column, height: Column, viewport_height: float = VIEWPORT_HEIGHT) -> Column:

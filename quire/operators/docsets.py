@@ -40,17 +40,22 @@ def append_docs(existing: DataFrame, batches: DataFrame) -> DataFrame:
     return old.unionByName(new).select("set_id", (F.row_number().over(order) - 1).cast("int").alias("set_pos"), "doc_id")
 
 
-def remove_docs(doc_set: DataFrame, removed: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
-    """Without the members of removed (set_id, doc_id) and the sets of cleared (set_id); positions close up."""
-    left = doc_set.join(removed.select("set_id", "doc_id"), ["set_id", "doc_id"], "left_anti")
+def remove_docs(doc_set: DataFrame, removed: DataFrame, cleared: DataFrame | None = None, by: str = "set_pos") -> DataFrame:
+    """Without the members of removed (set_id, set_pos) and the sets of cleared (set_id); positions close up.
+
+    A member is one load of a document, which may be in a set several times; `by` names another column that tells loads apart.
+    """
+    left = doc_set.join(removed.select("set_id", by), ["set_id", by], "left_anti")
     if cleared is not None:
         left = left.join(cleared.select("set_id"), "set_id", "left_anti")
     return renumber(left, "set_id", "set_pos").select(*doc_set.columns)
 
 
 def surrogate_id(batch_id: Column, file_no: Column, name: Column) -> Column:
-    """An id that is the same on every run, and another for each load of the same file."""
-    return F.sha2(F.concat_ws("|", batch_id.cast("string"), file_no.cast("string"), name), 256)
+    """An id that is the same on every run, and another for each load of the same file. Values go with their lengths, nulls as such, so
+    different loads never read the same."""
+    part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.sha2(F.concat_ws("|", part(batch_id), part(file_no), part(name)), 256)
 
 
 def cover_pages(pages: DataFrame, doc_set: DataFrame, docs: DataFrame) -> DataFrame:

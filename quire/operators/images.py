@@ -13,19 +13,14 @@ from . import Result
 def image_manifest(files: DataFrame) -> DataFrame:
     """files (with content) with format, width, height, reject_reason instead of content.
 
-    Sizes are read from the header bytes of PNG and GIF files, JVM-side. Others get a reject_reason: unsupported (JPEG and WebP, for
-    which see jpeg_manifest) or undecodable.
+    Sizes are read from the header bytes of PNG, GIF, JPEG and WebP files, JVM-side; no pixel is decoded. A file that is none of them,
+    or that breaks off before its size, has the reject_reason undecodable.
     """
     kind, size = image_format(F.col("content")), header_size(F.col("content"))
-    reason = F.when(size.isNotNull(), F.lit(None).cast("string")).when(kind.isin("jpeg", "webp"), "unsupported").otherwise("undecodable")
+    reason = F.when(size.isNull(), "undecodable")
     return files.select(*[c for c in files.columns if c != "content"], kind.alias("format"), size["width"].alias("width"), size["height"].alias("height"), reason.alias("reject_reason"))
 
 
-def jpeg_manifest(spark, path: str) -> DataFrame:  # noqa: ANN001
-    """path, width, height of the images under path that the JVM's decoder reads; bad files are left out."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select(F.col("image.origin").alias("path"), "image.width", "image.height")
-
-
 def images_to_pages(images: DataFrame, order: tuple[str, ...] = ("image_no",)) -> DataFrame:
     """One page per image of a set, as large as the image: set_id, pos, image_id, width, height, orientation."""
     place = F.row_number().over(Window.partitionBy("set_id").orderBy(*order)) - 1

@@ -39,17 +39,19 @@ _FOLD = f"""aggregate(log, named_struct('ord', initial, 'sel', cast(array() AS a
 def collapse_drags(steps: DataFrame) -> DataFrame:
     """One edit for each gesture of hover steps (gesture_id, doc_id, step, from_pos, to_pos): its net move.
 
-    doc_id, gesture_id, op (move, or touch where the gesture ends where it began: the document counts as changed), a, b.
+    doc_id, gesture_id, op (move, or touch where the gesture ends where it began: the document counts as changed), a, b. Where steps have
+    ts and seq, so has the edit, those of its first step: replay_edits takes the edits of gestures, with the others of the log, as they are.
     """
-    ends = steps.groupBy("doc_id", "gesture_id").agg(F.min_by("from_pos", "step").alias("a"), F.max_by("to_pos", "step").alias("b"), F.max(F.col("from_pos") != F.col("to_pos")).alias("_any"))
+    when = [c for c in ("ts", "seq") if c in steps.columns]
+    ends = steps.groupBy("doc_id", "gesture_id").agg(F.min_by("from_pos", "step").alias("a"), F.max_by("to_pos", "step").alias("b"), F.max(F.col("from_pos") != F.col("to_pos")).alias("_any"), *[F.min_by(c, "step").alias(c) for c in when])
     op = F.when(F.col("a") != F.col("b"), "move").when(F.col("_any"), "touch")
-    return ends.withColumn("op", op).where("op is not null").select("doc_id", "gesture_id", "op", "a", "b")
+    return ends.withColumn("op", op).where("op is not null").select("doc_id", "gesture_id", *when, "op", "a", "b")
 
 
-def _since_reset(edits: DataFrame, key: str) -> DataFrame:
-    """A reset restores everything, so only edits from the last one on count."""
+def _since_last(edits: DataFrame, op: str, key: str) -> DataFrame:
+    """The edits from the last `op` on, which leaves nothing of what was before; all where there is none."""
     at = F.struct("ts", "seq")
-    last = F.max(F.when(F.col("op").isin("reset", "clear"), at)).over(Window.partitionBy(key))
+    last = F.max(F.when(F.col("op") == op, at)).over(Window.partitionBy(key))
     return edits.withColumn("_last", last).where(F.col("_last").isNull() | (at >= F.col("_last"))).drop("_last")
 
 
@@ -60,7 +62,7 @@ def replay_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     unchanged; edits of unknown documents are ignored. One shuffle by document; the fold stays in the JVM.
     """
     entry = F.struct("ts", "seq", "op", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
-    logs = _since_reset(edits, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
+    logs = _since_last(edits, "reset", "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
     joined = docs.select("doc_id", F.col("page_count").cast("int").alias("page_count")).join(logs, "doc_id", "left")
     ready = joined.selectExpr(
         "doc_id",
@@ -83,10 +85,9 @@ def changed_docs(replayed: DataFrame) -> DataFrame:
 
 def save_edits(pages: DataFrame, replayed: DataFrame, docs: DataFrame) -> Result:
     """The pages of changed documents in their final order, gathered from the source in one join, with output_name."""
-    changed = replayed.where("dirty").select("doc_id", F.posexplode("ord").alias("j", "src"))
-    made = reorder_pages(pages, changed)
-    named = made.accepted.join(docs.select("doc_id", edited_name(F.col("name")).alias("output_name")), "doc_id", "left")
-    return Result(named, made.rejected)
+    names = docs.select("doc_id", edited_name(F.col("name")).alias("output_name"))
+    changed = replayed.where("dirty").select("doc_id", "ord").join(names, "doc_id", "left")
+    return reorder_pages(pages, changed.select("doc_id", F.posexplode("ord").alias("j", "src"), "output_name"))
 
 
 _SET_STEP = """CASE e.op
@@ -105,9 +106,7 @@ def replay_set_edits(edits: DataFrame, initial: DataFrame | None = None) -> Data
     append adds the document seq at the end; remove, move, move_up and move_down go by position, clear takes all. initial (set_id,
     set_pos, doc_id) is what the sets hold before; without it they start empty. Sets that end empty have no rows.
     """
-    logs = edits
-    if initial is None:
-        logs = _since_reset(edits, "set_id")
+    logs = _since_last(edits, "clear", "set_id")
     entry = F.struct("ts", "seq", "op", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("seq").cast("bigint").alias("doc"))
     folded = logs.groupBy("set_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
     if initial is None:

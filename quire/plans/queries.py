@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import encoding, geometry, naming
@@ -35,9 +35,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; spark.checkpoint.dir, or the warehouse where that is unset."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under the one that driver and executors share: spark.checkpoint.dir, or, in local mode only, the warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root}/quire-{uuid.uuid4().hex}"
 
 
@@ -54,34 +57,54 @@ def paginate(spark, d):
     return pages.paginate(frame(spark, d, "documents"), PAGE_CHARS)
 
 
-@query()
+_SHELF = 200  # documents in a file
+_SHELVES = f"""SELECT CAST(floor(doc_id / {_SHELF}.0) AS BIGINT) AS shelf, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS length,
+  sha256(string_agg(concat(text, chr(10)), '' ORDER BY doc_id)) AS sha256 FROM {{documents}} GROUP BY 1"""
+
+
+def _shelves(spark: SparkSession, d: str) -> str:
+    """A folder of files that hold the texts of documents, a line end behind each."""
+    path = f"{scratch(spark)}/shelves"
+    docs = frame(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / _SHELF).alias("shelf"))
+    docs.repartition("shelf").sortWithinPartitions("shelf", "doc_id").select("shelf", "text").write.partitionBy("shelf").text(path)
+    return path
+
+
+def _digests(files: DataFrame) -> DataFrame:
+    return files.select(F.regexp_extract("path", r"shelf=(-?\d+)", 1).cast("bigint").alias("shelf"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query(_SHELVES)
 def read_files(spark, d):
-    found = sources.read_files(spark, d, "*.parquet")
-    return found.select(F.regexp_replace("path", r".*/", "").alias("name"), "length")
+    return _digests(sources.read_files(spark, _shelves(spark, d), "*.txt"))
 
 
-@query()
+@query(_SHELVES)
 def stream_files(spark, d):
     path = scratch(spark)
-    stream = sources.stream_files(spark, d, "*.parquet").select(F.regexp_replace("path", r".*/", "").alias("name"), "length")
+    stream = _digests(sources.stream_files(spark, _shelves(spark, d), "*.txt"))
     run = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
-    return spark.read.schema("name string, length bigint").parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query("SELECT CAST(abs(doc_id) % 16 AS VARCHAR) AS output_name, count(*) AS n_pages, CAST(sum(page_index) AS BIGINT) AS sum_index FROM {fx_pages} GROUP BY 1")
+@query("""SELECT concat('out-', doc_id) AS output_name, count(*) AS n_pages, CAST(sum(page_index) AS BIGINT) AS sum_index, true AS in_order, sha256(string_agg(payload, '' ORDER BY pos)) AS payload_sha256
+FROM {fx_pages} GROUP BY doc_id""")
 def write_outputs(spark, d):
-    path = scratch(spark)
-    rows = frame(spark, d, "fx_pages").withColumn("output_name", F.format_string("out-%d", F.abs("doc_id") % 16))
-    sources.write_outputs(rows, path)
-    back = sources.read_outputs(spark, path)
-    return back.groupBy(F.regexp_replace(F.col("output_name").cast("string"), "out-", "").alias("output_name")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum("page_index").alias("sum_index"))
+    """One output a document, in as many buckets as the documents need, read back with the order and the payload of each."""
+    path, docs = scratch(spark), frame(spark, d, "documents")
+    rows = pages.paginate(docs, PAGE_CHARS).withColumn("output_name", F.concat(F.lit("out-"), F.col("doc_id").cast("string")))
+    sources.write_outputs(rows, path, buckets=docs.count() // 500 + 1)
+    back = sources.read_outputs(spark, path).select("output_name", "pos", "page_index", "payload", "_metadata.file_path", "_metadata.row_index")
+    place = F.row_number().over(Window.partitionBy("output_name").orderBy("file_path", "row_index")) - 1
+    per = back.withColumn("place", place).groupBy("output_name")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "payload"))), lambda p: p["payload"]), "")
+    return per.agg(F.count(F.lit(1)).alias("n_pages"), F.sum("page_index").alias("sum_index"), F.bool_and(F.col("pos") == F.col("place")).alias("in_order"), F.sha2(said, 256).alias("payload_sha256"))
 
 
 @query(r"SELECT p.doc_id, page_index + 1 AS page_number, concat(regexp_replace(name, '\.pdf', ''), '_page_', page_index + 1, '.png') AS output_name FROM {fx_pages} p JOIN {fx_docs} d ON d.doc_id = p.doc_id")
 def page_outputs(spark, d):
-    docs = frame(spark, d, "fx_docs")
-    return pages.page_outputs(pages.page_manifest(docs), docs)
+    return pages.page_outputs(pages.page_manifest(frame(spark, d, "fx_docs"), "name"))
 
 
 # --- intake
@@ -158,6 +181,11 @@ def reorder_pages(spark, d):
     return pages.reorder_pages(frame(spark, d, "fx_pages"), frame(spark, d, "fx_reorder")).accepted.select("doc_id", "pos", "page_index", "payload")
 
 
+@query("SELECT o.doc_id, j, src, 'no_such_page' AS reject_reason FROM {fx_bad_reorder} o LEFT JOIN {fx_pages} p ON p.doc_id = o.doc_id AND p.page_index = o.src WHERE p.doc_id IS NULL")
+def reorder_pages_rejects(spark, d):
+    return pages.reorder_pages(pages.page_manifest(frame(spark, d, "fx_docs")), frame(spark, d, "fx_bad_reorder")).rejected
+
+
 @query(r"""SELECT p.doc_id, page_index - 1 AS pos, page_index, payload, concat(regexp_replace(name, '\.pdf', ''), '_pages_2-3.pdf') AS output_name
 FROM {fx_pages} p JOIN {fx_docs} d ON d.doc_id = p.doc_id WHERE p.page_count >= 3 AND page_index BETWEEN 1 AND 2""")
 def extract_pages(spark, d):
@@ -185,6 +213,14 @@ def extract_ranges(spark, d):
     return pages.extract_pages(frame(spark, d, "fx_pages"), ranges, docs).accepted.select("doc_id", "pos", "page_index", "payload")
 
 
+@query("""SELECT doc_id, CAST(doc_id % 3 + 1 AS INT) AS first_number, CAST(doc_id % 3 + doc_id % 2 + 1 AS INT) AS last_number, page_count, 'bad_range' AS reject_reason
+FROM {fx_docs} WHERE doc_id % 3 + doc_id % 2 >= page_count""")
+def extract_ranges_rejects(spark, d):
+    docs = frame(spark, d, "fx_docs")
+    ranges = docs.selectExpr("doc_id", "cast(doc_id % 3 AS int) AS first_page", "cast(doc_id % 3 + doc_id % 2 AS int) AS last_page")
+    return pages.extract_pages(pages.page_manifest(docs), ranges, docs).rejected
+
+
 _TYPED = r"""SELECT r.doc_id, start_txt, end_txt, name, page_count, TRY_CAST(regexp_extract(start_txt, '^\s*([+-]?\d+)', 1) AS INT) AS s, TRY_CAST(regexp_extract(end_txt, '^\s*([+-]?\d+)', 1) AS INT) AS e
 FROM {fx_ranges} r JOIN {fx_docs} d ON d.doc_id = r.doc_id"""
 _VALID = "coalesce(s >= 1 AND e <= page_count AND s <= e, false)"
@@ -207,6 +243,13 @@ def move_item(spark, d):
     return pages.move_item(frame(spark, d, "fx_talks"), frame(spark, d, "fx_moves")).accepted.select("doc_id", "pos", "page_index")
 
 
+@query("""SELECT doc_id, from_pos, to_pos, CASE WHEN several > 1 THEN 'several_moves' WHEN page_count IS NULL THEN 'no_such_document' ELSE 'no_such_position' END AS reject_reason
+FROM (SELECT m.*, page_count, count(*) OVER (PARTITION BY m.doc_id) AS several FROM {fx_bad_moves} m LEFT JOIN {fx_talk_docs} t ON t.doc_id = m.doc_id)
+WHERE several > 1 OR page_count IS NULL OR from_pos >= page_count OR to_pos >= page_count""")
+def move_item_rejects(spark, d):
+    return pages.move_item(frame(spark, d, "fx_talks"), frame(spark, d, "fx_bad_moves")).rejected
+
+
 @query("""SELECT doc_id, CAST(CASE WHEN p + step NOT BETWEEN 0 AND n - 1 THEN pos WHEN pos = p THEN p + step WHEN pos = p + step THEN p ELSE pos END AS INT) AS pos, page_index
 FROM (SELECT t.doc_id, pos, page_index, from_pos AS p, CASE WHEN t.doc_id % 2 = 0 THEN -1 ELSE 1 END AS step, count(*) OVER (PARTITION BY t.doc_id) AS n FROM {fx_talks} t JOIN {fx_moves} m ON m.doc_id = t.doc_id)""")
 def move_step(spark, d):
@@ -224,8 +267,14 @@ def selection_from_toggles(spark, d):
     return pages.selection_from_toggles(frame(spark, d, "fx_edits").where("op = 'toggle'").select("doc_id", F.col("a").alias("pos")))
 
 
-@query("""SELECT doc_id, gesture_id, CASE WHEN a <> b THEN 'move' ELSE 'touch' END AS op, a, b
-FROM (SELECT doc_id, gesture_id, arg_min(from_pos, step) AS a, arg_max(to_pos, step) AS b, bool_or(from_pos <> to_pos) AS any_move FROM {fx_drags} GROUP BY 1, 2) WHERE a <> b OR any_move""")
+@query(f"SELECT doc_id, pos, page_index, {_SELECTED} AS selected FROM {{fx_talks}}")
+def with_selection(spark, d):
+    p = frame(spark, d, "fx_talks")
+    return pages.with_selection(p, p.where(_SELECTED).select("doc_id", "pos")).select("doc_id", "pos", "page_index", "selected")
+
+
+@query("""SELECT doc_id, gesture_id, ts, seq, CASE WHEN a <> b THEN 'move' ELSE 'touch' END AS op, a, b
+FROM (SELECT doc_id, gesture_id, min(ts) AS ts, min(seq) AS seq, arg_min(from_pos, step) AS a, arg_max(to_pos, step) AS b, bool_or(from_pos <> to_pos) AS any_move FROM {fx_drags} GROUP BY 1, 2) WHERE a <> b OR any_move""")
 def collapse_drags(spark, d):
     return replay.collapse_drags(frame(spark, d, "fx_drags"))
 
@@ -262,6 +311,14 @@ def replay_edits(spark, d):
     return replay.final_pages(_replayed(spark, d))
 
 
+@query(_REPLAY.replace("ORDER BY ts, seq) AS k FROM {fx_edits}", "ORDER BY ts, seq, step) AS k FROM {fx_hovers}") + _FINAL_PAGES)
+def replay_drags(spark, d):
+    """Gestures as one edit each, in one log with the other edits, against the replay of every hover."""
+    others = frame(spark, d, "fx_edits").where("op not in ('move', 'delete')")
+    log = others.unionByName(replay.collapse_drags(frame(spark, d, "fx_drags")), allowMissingColumns=True)
+    return replay.final_pages(replay.replay_edits(frame(spark, d, "fx_edit_docs"), log))
+
+
 @query(_REPLAY + "SELECT doc_id, ord <> CAST(range(0, n) AS INT[]) AS order_differs FROM final WHERE dirty")
 def changed_docs(spark, d):
     return replay.changed_docs(_replayed(spark, d))
@@ -298,13 +355,15 @@ def append_docs(spark, d):
     return docsets.append_docs(frame(spark, d, "fx_set"), frame(spark, d, "fx_append"))
 
 
-@query("""SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY set_pos) - 1 AS INT) AS set_pos, doc_id, page_count FROM {fx_set} WHERE doc_id % 4 <> 0 AND set_id % 7 <> 0""")
+@query("""SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY set_pos) - 1 AS INT) AS set_pos, doc_id, page_count FROM {fx_loads} WHERE set_pos % 4 <> 0 AND set_id % 7 <> 0""")
 def remove_docs(spark, d):
-    s = frame(spark, d, "fx_set")
-    return docsets.remove_docs(s, s.where("doc_id % 4 = 0").select("set_id", "doc_id"), s.where("set_id % 7 = 0").select("set_id"))
+    """Of every other document one of its two loads goes."""
+    s = frame(spark, d, "fx_loads")
+    return docsets.remove_docs(s, s.where("set_pos % 4 = 0").select("set_id", "set_pos"), s.where("set_id % 7 = 0").select("set_id"))
 
 
-@query("SELECT doc_id, sha256(concat_ws('|', batch_id, file_no, name)) AS surrogate_id FROM {fx_docs}")
+@query("""SELECT doc_id, sha256(concat_ws('|', coalesce(length(CAST(batch_id AS VARCHAR)) || ':' || batch_id, '-'), coalesce(length(CAST(file_no AS VARCHAR)) || ':' || file_no, '-'), coalesce(length(name) || ':' || name, '-'))) AS surrogate_id
+FROM {fx_docs}""")
 def surrogate_id(spark, d):
     return frame(spark, d, "fx_docs").select("doc_id", docsets.surrogate_id(F.col("batch_id"), F.col("file_no"), F.col("name")).alias("surrogate_id"))
 
@@ -335,14 +394,34 @@ def replay_set_edits(spark, d):
 # --- images
 
 
-@query("SELECT set_id, image_id, 'png' AS format, CASE WHEN width > 0 AND height > 0 THEN width END AS width, CASE WHEN width > 0 AND height > 0 THEN height END AS height, CASE WHEN width > 0 AND height > 0 THEN NULL ELSE 'undecodable' END AS reject_reason FROM {fx_images}")
+@query("""SELECT set_id, image_id, CASE image_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' ELSE 'webp' END AS format, CASE WHEN width > 0 AND height > 0 THEN width END AS width,
+  CASE WHEN width > 0 AND height > 0 THEN height END AS height, CASE WHEN width > 0 AND height > 0 THEN NULL ELSE 'undecodable' END AS reject_reason FROM {fx_images}""")
 def image_manifest(spark, d):
-    """Sizes read back from PNG headers that the sizes of fx_images are written into."""
-    number = lambda c: F.unhex(F.lpad(F.hex(F.col(c)), 8, "0"))
-    header = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), number("width"), number("height"), F.unhex(F.lit("0802000000")))
+    """Sizes read back from headers that the sizes of fx_images are written into, in the four formats."""
+
+    def number(c: str, size: int, little: bool = False, less: int = 0) -> Column:
+        digits = F.lpad(F.hex(F.greatest(F.col(c), F.lit(0)) - less), 2 * size, "0")
+        return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]) if little else digits)
+
+    fixed = lambda digits: F.unhex(F.lit(digits))
+    png = F.concat(fixed("89504E470D0A1A0A0000000D49484452"), number("width", 4), number("height", 4), fixed("0802000000"))
+    gif = F.concat(fixed("474946383961"), number("width", 2, True), number("height", 2, True), fixed("000000"))
+    jpeg = F.concat(fixed("FFD8FFE000104A46494600010100000100010000FFFFDB000400AAFFC0001108"), number("height", 2), number("width", 2), fixed("03011100"))
+    webp = F.concat(fixed("52494646000000005745425056503858" + "0A000000" + "00000000"), number("width", 3, True, 1), number("height", 3, True, 1))
+    kind = F.col("image_id") % 4
+    header = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, jpeg).otherwise(webp)
     return images.image_manifest(frame(spark, d, "fx_images").select("set_id", "image_id", header.alias("content")))
 
 
+_WIDE = 450
+
+
+@query(f"SELECT DISTINCT set_id, 'no_images' AS reject_reason FROM {{fx_images}} WHERE set_id NOT IN (SELECT set_id FROM {{fx_images}} WHERE width > {_WIDE})")
+def image_sets_rejects(spark, d):
+    rows = frame(spark, d, "fx_images")
+    return images.image_sets(rows.select("set_id"), rows.where(F.col("width") > _WIDE), ("image_id",)).rejected
+
+
 @query("SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY image_id) - 1 AS INT) AS pos, image_id, width, height, CASE WHEN width > height THEN 'landscape' ELSE 'portrait' END AS orientation FROM {fx_images}")
 def images_to_pages(spark, d):
     return images.images_to_pages(frame(spark, d, "fx_images"), ("image_id",))
@@ -394,7 +473,7 @@ def to_page_coords(spark, d):
     return plans.to_page_coords(frame(spark, d, "fx_pointer"))
 
 
-@query("SELECT event_id, CAST(floor(value - 50.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS rounded FROM {events}")
+@query("SELECT event_id, CAST(floor(v) + CASE WHEN v - floor(v) >= 0.5::DOUBLE THEN 1 ELSE 0 END AS BIGINT) AS rounded FROM (SELECT event_id, value - 50.0::DOUBLE AS v FROM {events})")
 def js_round(spark, d):
     return frame(spark, d, "events").select("event_id", geometry.js_round(F.col("value") - F.lit(50.0)).alias("rounded"))
 
@@ -483,13 +562,34 @@ def stream_replay(spark, d):
     return replay.final_pages(final)
 
 
+@query(f"""WITH e AS (SELECT *, seq % {_BATCHES} AS batch FROM {{fx_edits}})
+SELECT doc_id, ts, seq, op, a, b FROM e WHERE EXISTS (SELECT 1 FROM e x WHERE x.doc_id = e.doc_id AND x.batch < e.batch AND (x.ts > e.ts OR (x.ts = e.ts AND x.seq >= e.seq)))""")
+def stream_late(spark, d):
+    """The edits that come in a later batch than edits behind them, of a stream that runs once for each batch."""
+    with_rocksdb = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(with_rocksdb)
+    spark.conf.set(with_rocksdb, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events, path = frame(spark, d, "events"), scratch(spark)
+    try:
+        for batch in range(_BATCHES):
+            events.where(F.col("event_id") % _BATCHES == batch).write.mode("append").parquet(f"{path}/events")
+            edits = spark.sql(VIEWS["fx_edits"][0], events=spark.readStream.schema(events.schema).parquet(f"{path}/events"))
+            late = stream_replay_ops.late_edits(stream_replay_ops.stream_replay(edits))
+            keep = lambda rows, _: rows.write.mode("append").parquet(f"{path}/late")
+            late.writeStream.outputMode("update").option("checkpointLocation", f"{path}/log").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(with_rocksdb, was)
+    return spark.read.schema(late.schema).parquet(f"{path}/late")
+
+
 @query("SELECT conv_id AS doc_id, count(*) AS n_done, 100.0::DOUBLE AS percent FROM {conversations} GROUP BY 1")
 def stream_progress(spark, d):
     done = _stream(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"))
     return _latest(spark, stream_progress_ops.stream_progress(done, frame(spark, d, "fx_talk_docs")), "doc_id")
 
 
-@query()
+@query("""SELECT concat('doc/', doc_id) AS path, CAST(i AS INT) AS page_index, CAST(NULL AS VARCHAR) AS reject_reason, CAST(strlen(lines[i + 1]) AS BIGINT) AS n_bytes
+FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {documents}))""")
 def expand_with(spark, d):
     """Documents as files of line-separated pages, taken apart by a caller's function."""
     files = frame(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))

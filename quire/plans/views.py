@@ -19,7 +19,7 @@ _EDITS = """SELECT user_id AS doc_id, ts, event_id AS seq, CAST(5 + user_id %% 8
   CASE event_type WHEN 'click' THEN 'toggle' WHEN 'view' THEN 'move' WHEN 'purchase' THEN 'delete' WHEN 'signup' THEN 'select_all' ELSE 'reset' END AS op,
   CAST(CAST(floor(value) AS BIGINT) %% (5 + user_id %% 8) AS INT) AS a, CAST(CAST(%s AS BIGINT) %% (5 + user_id %% 8) AS INT) AS b
 FROM {events}"""
-_DRAGS = """SELECT seq AS gesture_id, doc_id, n, CAST(i AS INT) AS step, CAST((a + i * (1 + b %% 3)) %% n AS INT) AS from_pos, CAST((a + (i + 1) * (1 + b %% 3)) %% n AS INT) AS to_pos
+_DRAGS = """SELECT seq AS gesture_id, doc_id, n, ts, seq, CAST(i AS INT) AS step, CAST((a + i * (1 + b %% 3)) %% n AS INT) AS from_pos, CAST((a + (i + 1) * (1 + b %% 3)) %% n AS INT) AS to_pos
 FROM (SELECT *, %s AS i FROM {fx_edits} WHERE op = 'move') g"""
 
 VIEWS: dict[str, str | tuple[str, str]] = {
@@ -52,6 +52,15 @@ UNION ALL SELECT doc_id, page_count AS j, 0 AS src FROM {fx_docs} WHERE doc_id %
        WHEN 'purchase' THEN CASE WHEN e.value > 60 THEN 'remove' ELSE 'append' END
        ELSE CASE WHEN e.value > 200 THEN 'clear' ELSE 'move_down' END END AS op, f.a, f.b
 FROM {events} e JOIN {fx_edits} f ON f.seq = e.event_id""",
+    # each hover of a drag as a move of its own; without deletes, so that all positions exist
+    "fx_hovers": """SELECT doc_id, ts, seq, 0 AS step, op, a, b FROM {fx_edits} WHERE op NOT IN ('move', 'delete')
+UNION ALL SELECT doc_id, ts, seq, step, 'move' AS op, from_pos AS a, to_pos AS b FROM {fx_drags}""",
+    # every document is loaded twice
+    "fx_loads": "SELECT set_id, set_pos * 2 AS set_pos, doc_id, page_count FROM {fx_set} UNION ALL SELECT set_id, set_pos * 2 + 1 AS set_pos, doc_id, page_count FROM {fx_set}",
+    "fx_bad_moves": """SELECT doc_id, from_pos, to_pos + 1000 AS to_pos FROM {fx_moves} WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, from_pos, to_pos FROM {fx_moves} WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, from_pos + 1 AS from_pos, to_pos FROM {fx_moves} WHERE doc_id % 3 = 1
+UNION ALL SELECT -1 - doc_id AS doc_id, from_pos, to_pos FROM {fx_moves} WHERE doc_id % 3 = 2""",
+    "fx_bad_reorder": "SELECT doc_id, j, src FROM {fx_reorder} WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 99999 AS j, page_count + 3 AS src FROM {fx_docs} WHERE doc_id % 4 = 0",
     "fx_talks": "SELECT conv_id AS doc_id, CAST(turn AS INT) AS pos, CAST(turn AS INT) AS page_index, role FROM {conversations}",
     "fx_talk_docs": "SELECT conv_id AS doc_id, CAST(count(*) AS INT) AS page_count FROM {conversations} GROUP BY conv_id",
     "fx_moves": "SELECT doc_id, CAST(doc_id % page_count AS INT) AS from_pos, CAST((doc_id * 3 + 1) % page_count AS INT) AS to_pos FROM {fx_talk_docs}",

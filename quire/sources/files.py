@@ -12,7 +12,10 @@ BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, modificationTime, length, content of the files under path. Contents that aren't selected are never read."""
+    """path, modificationTime, length, content of the files under path. Contents that aren't selected are never read.
+
+    Files without a byte give no rows: Spark's file sources leave them out.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
@@ -52,12 +55,19 @@ def expand_with(files: DataFrame, fn: Callable[[str, bytes], Iterator[dict]], sc
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "page_index", "reject_reason", *fields]
+        rows: list[dict] = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
+                made = []
                 try:
-                    rows = [{"path": path, "page_index": i, "reject_reason": None, **r} for i, r in enumerate(fn(path, content))]
+                    made += [{"path": path, "page_index": i, "reject_reason": None, **r} for i, r in enumerate(fn(path, content))]
                 except Exception as e:  # noqa: BLE001  whatever a caller's library raises becomes a reject
-                    rows = [{"path": path, "page_index": None, "reject_reason": f"{type(e).__name__}: {e}"[:500]}]
-                yield pd.DataFrame(rows, columns=names, dtype=object)
+                    made = [{"path": path, "page_index": None, "reject_reason": f"{type(e).__name__}: {e}"[:500]}]
+                rows += made
+                if len(rows) >= 4096:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(expand, f"path string, page_index int, reject_reason string, {schema}")

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "ts array<bigint>, seq array<bigint>, op array<string>, a array<int>, b array<int>"
-OUTPUT = "doc_id bigint, ord array<int>, sel array<int>, dirty boolean, n_late bigint"
+OUTPUT = "ord array<int>, sel array<int>, dirty boolean, n_late bigint, late array<struct<ts:bigint,seq:bigint,op:string,a:int,b:int>>"
 
 
 def step(order: list[int], selected: list[int], dirty: bool, n: int, op: str, a: int | None, b: int | None) -> tuple[list[int], list[int], bool]:
@@ -37,21 +38,22 @@ class _Replay(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         number = lambda x: None if pd.isna(x) else int(x)
+        place = lambda e: (e[0] is not None, e[0] or 0, e[1] is not None, e[1] or 0)  # noqa: E731  nulls come first, as in the batch form
         new = [e for batch in rows for e in batch[["ts", "seq", "op", "a", "b", "n"]].itertuples(index=False, name=None)]
-        n = int(min(new, key=lambda e: e[:2])[5])
+        n = int(new[0][5])
         log = []  # from the last reset on, in order
         if self.state.exists():
-            log = [(int(ts), int(seq), op, number(a), number(b)) for ts, seq, op, a, b in zip(*self.state.get(), strict=True)]
-        last = log[-1][:2] if log else None
-        new = [(pd.Timestamp(ts).value // 1000, int(seq), op, number(a), number(b)) for ts, seq, op, a, b, _ in new]
-        late = sum(last is not None and e[:2] <= last for e in new)
-        log = sorted([*log, *new], key=lambda e: e[:2])
+            log = [(number(ts), number(seq), op, number(a), number(b)) for ts, seq, op, a, b in zip(*self.state.get(), strict=True)]
+        new = [(None if pd.isna(ts) else pd.Timestamp(ts).value // 1000, number(seq), op, number(a), number(b)) for ts, seq, op, a, b, _ in new]
+        late = [e for e in sorted(new, key=place) if log and place(e) <= place(log[-1])]
+        log = sorted([*log, *new], key=place)
         log = log[max((i for i, e in enumerate(log) if e[2] == "reset"), default=0) :]
         order, selected, dirty = list(range(n)), [], False
         for _, _, op, a, b in log:
             order, selected, dirty = step(order, selected, dirty, n, op, a, b)
         self.state.update(tuple(list(x) for x in zip(*log, strict=True)))
-        yield pd.DataFrame({"doc_id": [key[0]], "ord": [order], "sel": [selected], "dirty": [dirty], "n_late": [late]})
+        rows = [dict(zip(("ts", "seq", "op", "a", "b"), e, strict=True)) for e in late]
+        yield pd.DataFrame({"doc_id": [key[0]], "ord": [order], "sel": [selected], "dirty": [dirty], "n_late": [len(late)], "late": [rows]})
 
     def close(self) -> None:
         pass
@@ -60,8 +62,16 @@ class _Replay(StatefulProcessor):
 def stream_replay(edits: DataFrame) -> DataFrame:
     """The state of each document after each batch of edits (a stream of doc_id, n, ts, seq, op, a, b), in update mode.
 
-    doc_id, ord, sel, dirty, n_late. Edits are applied by (ts, seq), whatever batch they come in: a document's log from its last
-    reset on is kept and replayed. n_late are the edits of the batch that aren't behind the last one of earlier batches. n is the number
-    of pages. State is one row a document, with a log that has to fit it, in RocksDB, which the session must name as its state store (spark.sql.streaming.stateStore.providerClass).
+    doc_id, ord, sel, dirty, n_late, late. Edits are applied by (ts, seq), whatever batch they come in: a document's log from its last
+    reset on is kept and replayed. late are the edits of the batch that aren't behind the last one of earlier batches, in their order, n_late is
+    their number; late_edits makes rows of them. n is the number of pages, the same in all edits of a document. State is one row a
+    document, with a log that has to fit it, in RocksDB, which the session must name as its state store (spark.sql.streaming.stateStore.providerClass).
     """
-    return edits.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=_Replay(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    kind = edits.schema["doc_id"].dataType.simpleString()
+    return edits.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=_Replay(), outputStructType=f"doc_id {kind}, {OUTPUT}", outputMode="Update", timeMode="None")
+
+
+def late_edits(states: DataFrame) -> DataFrame:
+    """The late edits of stream_replay, one row each: doc_id, ts, seq, op, a, b."""
+    rows = states.select("doc_id", F.explode("late").alias("e"))
+    return rows.select("doc_id", F.timestamp_micros("e.ts").alias("ts"), "e.seq", "e.op", "e.a", "e.b")

@@ -82,6 +82,15 @@ def test_move_item(spark):
     assert [r.doc_id for r in done.rejected.collect()] == [3]
 
 
+def test_moves_of_one_document(spark):
+    moves = spark.createDataFrame([(0, 0, 2), (0, 1, 2), (1, 0, 2), (1, 0, 2), (7, 0, 1), (2, None, 1)], "doc_id bigint, from_pos int, to_pos int")
+    done = pages.move_item(order_of(spark, *[range(3)] * 4), moves)
+    assert listed(done.accepted) == {0: [0, 1, 2], 1: [1, 2, 0], 2: [0, 1, 2], 3: [0, 1, 2]}
+    assert sorted(((r.doc_id, r.from_pos, r.reject_reason) for r in done.rejected.collect()), key=repr) == [(0, 0, "several_moves"), (0, 1, "several_moves"), (2, None, "no_such_position"), (7, 0, "no_such_document")]
+    steps = spark.createDataFrame([(0, 2, -1), (0, 0, 1)], "doc_id bigint, at_pos int, step int")
+    assert listed(pages.move_step(order_of(spark, range(3)), steps)) == {0: [1, 0, 2]}
+
+
 def test_move_there_and_back(spark):
     rng = random.Random(3)
     orders = [list(range(rng.randint(1, 9))) for _ in range(20)]
@@ -136,6 +145,16 @@ def test_replay_equals_steps(spark):
     assert {r.doc_id: (r.ord, r.sel, r.dirty) for r in replay.replay_edits(docs, logs).collect()} == states
 
 
+def test_clear_and_reset_stay_apart(spark):
+    docs = spark.createDataFrame([(0, 3)], "doc_id bigint, page_count int")
+    assert replay.replay_edits(docs, log(spark, ("move", 0, 2), ("clear",))).first().ord == [1, 2, 0]
+    edits = [(1, 1, 10, "append", 0, 0), (1, 2, 11, "append", 0, 0), (1, 3, 12, "reset", 0, 0), (2, 1, 20, "append", 0, 0), (2, 2, 21, "clear", 0, 0), (2, 3, 22, "append", 0, 0)]
+    logs = spark.createDataFrame(edits, "set_id bigint, ts int, seq bigint, op string, a int, b int").withColumn("ts", F.timestamp_seconds("ts"))
+    start = spark.createDataFrame([(2, 0, 5)], "set_id bigint, set_pos int, doc_id bigint")
+    for initial in (None, start):
+        assert sorted(tuple(r) for r in replay.replay_set_edits(logs, initial).collect()) == [(1, 0, 10), (1, 1, 11), (2, 0, 22)]
+
+
 def test_collapse_drags(spark):
     steps = spark.createDataFrame([(0, 1, 0, 0, 1), (0, 1, 1, 1, 2), (0, 1, 2, 2, 3), (0, 2, 0, 1, 2), (0, 2, 1, 2, 1), (0, 3, 0, 2, 2)], "doc_id bigint, gesture_id int, step int, from_pos int, to_pos int")
     assert sorted(tuple(r) for r in replay.collapse_drags(steps).collect()) == [(0, 1, "move", 0, 3), (0, 2, "touch", 1, 1)]
@@ -188,7 +207,7 @@ def test_parse_int(spark, text, expected):
     assert one(spark, text, "string", naming.parse_int) == expected
 
 
-@pytest.mark.parametrize(("x", "expected"), [(2.5, 3), (-2.5, -2), (0.49, 0), (None, None)])
+@pytest.mark.parametrize(("x", "expected"), [(2.5, 3), (-2.5, -2), (0.49, 0), (0.49999999999999994, 0), (-0.5, 0), (4503599627370497.0, 4503599627370497), (None, None)])
 def test_js_round(spark, x, expected):
     assert one(spark, x, "double", geometry.js_round) == expected
 
@@ -214,21 +233,34 @@ def png(width, height):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(pixels)) + chunk(b"IEND", b"")
 
 
+def segment(mark, body):
+    return b"\xff" + bytes([mark]) + struct.pack(">H", len(body) + 2) + body
+
+
+def riff(chunk):
+    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+
+
 def test_image_files(spark, tmp_path):
-    found = {"a.png": png(300, 200), "b.png": png(10, 10), "c.gif": b"GIF89a" + struct.pack("<HH", 7, 9) + b"\0\0\0", "d.png": b"\x89P", "e.webp": b"RIFF\0\0\0\0WEBPVP8 ", "f.jpg": b"\xff\xd8\xff\xe0\0\0"}
+    frame = struct.pack(">BHHB", 8, 200, 300, 3) + b"\1\x11\0" * 3
+    found = {
+        "a.png": png(300, 200), "b.png": png(10, 10), "c.gif": b"GIF89a" + struct.pack("<HH", 7, 9) + b"\0\0\0", "d.png": b"\x89P", "e.webp": b"RIFF\0\0\0\0WEBPVP8 ", "f.jpg": b"\xff\xd8\xff\xe0\0\0",
+        "g.jpg": b"\xff\xd8" + segment(0xE1, b"x" * 60_000) * 4 + b"\xff\xff\xff" + segment(0xC4, b"\0" * 19) + segment(0xC2, frame) + b"\xff\xda",
+        "h.jpg": b"\xff\xd8" + segment(0xFE, b"no frame") + b"\xff\xd9", "i.jpg": b"\xff\xd8" + segment(0xC0, frame)[:7], "j.jpg": b"\xff\xd8" + segment(0xDB, b"") + b"junk",
+        "k.webp": riff(b"VP8 \0\0\0\0\x30\1\0\x9d\1\x2a" + struct.pack("<HH", 640 | 1 << 14, 480)), "l.webp": riff(b"VP8L\0\0\0\0\x2f" + struct.pack("<I", 639 | 479 << 14)),
+        "m.webp": riff(b"VP8X\x0a\0\0\0\0\0\0\0" + struct.pack("<I", 20_000)[:3] + struct.pack("<I", 30_000)[:3]), "n.txt": b"text",
+    }
+    image = spark._jvm.java.awt.image.BufferedImage(33, 44, 1)
+    assert spark._jvm.javax.imageio.ImageIO.write(image, "jpg", spark._jvm.java.io.File(str(tmp_path / "p.jpg")))
     for name, content in found.items():
         (tmp_path / name).write_bytes(content)
     got = {r.path.rsplit("/", 1)[1]: (r.format, r.width, r.height, r.reject_reason) for r in images.image_manifest(files.read_files(spark, str(tmp_path))).collect()}
+    bad = "undecodable"
     assert got == {
-        "a.png": ("png", 300, 200, None),
-        "b.png": ("png", 10, 10, None),
-        "c.gif": ("gif", 7, 9, None),
-        "d.png": (None, None, None, "undecodable"),
-        "e.webp": ("webp", None, None, "unsupported"),
-        "f.jpg": ("jpeg", None, None, "unsupported"),
-    }
-    sizes = images.jpeg_manifest(spark, str(tmp_path)).collect()
-    assert {(r.width, r.height) for r in sizes} >= {(300, 200), (10, 10)}
+        "a.png": ("png", 300, 200, None), "b.png": ("png", 10, 10, None), "c.gif": ("gif", 7, 9, None), "d.png": (None, None, None, bad), "e.webp": ("webp", None, None, bad), "f.jpg": ("jpeg", None, None, bad),
+        "g.jpg": ("jpeg", 300, 200, None), "h.jpg": ("jpeg", None, None, bad), "i.jpg": ("jpeg", None, None, bad), "j.jpg": ("jpeg", None, None, bad), "k.webp": ("webp", 640, 480, None),
+        "l.webp": ("webp", 640, 480, None), "m.webp": ("webp", 20_001, 30_001, None), "n.txt": (None, None, None, bad), "p.jpg": ("jpeg", 33, 44, None),
+    }
 
 
 def test_images_to_pages(spark):
@@ -274,3 +306,12 @@ def test_surrogate_ids_differ_by_load(spark):
     df = spark.createDataFrame([(1, 0, "a"), (2, 0, "a")], "b bigint, n int, name string")
     got = [r[0] for r in df.select(docsets.surrogate_id(F.col("b"), F.col("n"), F.col("name"))).collect()]
     assert len(set(got)) == 2
+    df = spark.createDataFrame([("1", 2, "3|x"), ("1|2", 3, "x"), (None, 2, "x"), ("-", 2, "x"), ("", 2, "x"), ("1", None, "x"), ("1", 2, None), ("1", 2, "")], "b string, n int, name string")
+    assert df.select(docsets.surrogate_id(F.col("b"), F.col("n"), F.col("name"))).distinct().count() == 8
+
+
+def test_remove_one_load(spark):
+    members = spark.createDataFrame([(1, 0, 7, 2), (1, 1, 7, 2), (1, 2, 8, 1)], "set_id bigint, set_pos int, doc_id bigint, page_count int")
+    gone = spark.createDataFrame([(1, 0)], "set_id bigint, set_pos int")
+    assert sorted(tuple(r) for r in docsets.remove_docs(members, gone).collect()) == [(1, 0, 7, 2), (1, 1, 8, 1)]
+    assert [r.doc_id for r in docsets.remove_docs(members, members.where("doc_id = 7"), by="doc_id").collect()] == [8]

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 import duckdb
 import pytest
 
 from quire.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: What a query without SQL has to come to: its number of rows on the smallest tables, or 0 for "some".
-WITHOUT_SQL = {"read_files", "stream_files", "expand_with"}
+WITHOUT_SQL: set[str] = set()
 
 
 def twin(sql: str, sf: str) -> tuple[list[str], list[tuple]]:
@@ -39,12 +36,6 @@ def test_all_others_are_known():
     assert set(plans.QUERIES) - set(plans.ORACLES) == WITHOUT_SQL
 
 
-def test_files(spark, sf):
-    there = {(n, os.path.getsize(f"{sf}/{n}")) for n in os.listdir(sf)}
-    assert {tuple(r) for r in plans.QUERIES["read_files"](spark, sf).collect()} == there
-    assert {tuple(r) for r in plans.QUERIES["stream_files"](spark, sf).collect()} == there
-
-
 def test_expand_with(spark, sf):
     lines = sum(r.text.count("\n") + 1 for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect())
     got = plans.QUERIES["expand_with"](spark, sf)
@@ -71,6 +62,38 @@ def test_stream_replay_over_batches(spark, tmp_path):
     assert got == [([1, 2, 3, 0], 0), ([2, 3, 0], 0), ([2, 3, 1], 1), ([1, 2, 3], 1), ([1, 2, 3], 1)]
 
 
+@pytest.mark.parametrize("name", ["delete_pages", "delete_selected", "save_edits"])
+def test_payload_moves_once(spark, name):
+    from quire.operators import pages, replay
+
+    rows = spark.range(50).selectExpr("id % 5 AS doc_id", "cast(id / 5 AS int) AS pos", "cast(id / 5 AS int) AS page_index", "concat('long', id) AS payload")
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        if name == "delete_pages":
+            made = pages.delete_pages(rows, rows.where("page_index = 2").select("doc_id", "page_index"))
+        elif name == "delete_selected":
+            made = pages.delete_selected(rows, rows.where("pos = 2").select("doc_id", "pos")).accepted
+        else:
+            docs = spark.range(5).selectExpr("id AS doc_id", "10 AS page_count", "'a.pdf' AS name")
+            log = docs.selectExpr("doc_id", "timestamp_seconds(1) AS ts", "1L AS seq", "'move' AS op", "0 AS a", "3 AS b")
+            made = replay.save_edits(rows, replay.replay_edits(docs, log), docs).accepted
+        assert made.count() == (50 if name == "save_edits" else 45)
+        made.collect()
+        node, moved = made._jdf.queryExecution().optimizedPlan().toString(), 0
+        plan = made._jdf.queryExecution().sparkPlan()
+        physical = made._jdf.queryExecution().executedPlan().initialPlan().toString() if hasattr(made._jdf.queryExecution().executedPlan(), "initialPlan") else plan.toString()
+        lines = physical.split("\n")
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line and "payload" in " ".join(lines[i + 1 : i + 2]):
+                moved += 1
+        assert node
+        assert moved == 1, physical
+    finally:
+        spark.conf.set(conf, was)
+
+
 def test_entry(spark):
     import __spark_entry__
 
