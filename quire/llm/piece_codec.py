@@ -6,8 +6,8 @@ import functools
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .token_counts import vocabulary_path
 
-_MEMO = 120_000  # words whose pieces a task remembers
+_MEMO = 300_000  # words whose pieces a task remembers
 _CHUNK = 1 << 20  # characters of text that are taken apart at once
 _SPACE = "▁"
 
@@ -62,7 +62,7 @@ class PieceEncoder:
             self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), None)
         self.matches.make_automaton()
         self.together: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.words: dict[str, bytes] = {}  # ids of four bytes each: less to keep than numbers
         # Runs of spaces whose pieces all have the lowest score are joined last, from the left. Empty for a model in which that isn't so.
         lowest = min(self.score.values())
         last = all((not p.strip(_SPACE)) == (x == lowest) and (p[1:2] != _SPACE or x == lowest) for p, x in self.score.items())
@@ -178,9 +178,6 @@ class PieceEncoder:
                 start = i + 1
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        return self.strings(text)[1]
-
     def _words(self, text: str) -> Iterator[list[str]]:
         """The stretches that no piece reaches over, of about _CHUNK characters at a time."""
         text = (self.prefix + text).replace(" ", _SPACE) if text else ""
@@ -193,24 +190,19 @@ class PieceEncoder:
             yield self.pieces_of(text[at:end])
             at = end
 
-    def strings(self, text: str) -> tuple[list[str], list[int]]:
-        """The decimal ids of each word joined by spaces, and the ids."""
-        memo, said, ids = self.words, [], []
+    def encode(self, text: str) -> list[int]:
+        memo, parts = self.words, []
         for words in self._words(text):
-            found = []
             for w in words:
                 known = memo.get(w)
                 if known is None:
-                    own = tuple(self.word(w))
-                    known = (" ".join(map(str, own)), own)
+                    known = array("i", self.word(w)).tobytes()
                     if len(w) <= 64:
                         if len(memo) > _MEMO:
                             memo.clear()
                         memo[w] = known
-                found.append(known)
-            said += [x for x, _ in found]
-            ids += chain.from_iterable([x for _, x in found])
-        return said, ids
+                parts.append(known)
+        return array("i", b"".join(parts)).tolist()
 
 
 @functools.lru_cache(maxsize=2)
@@ -238,13 +230,12 @@ def encode_decode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_c
         for batch in batches:
             made: dict[str, list] = {c: [] for c in ("n_tokens", *output)}
             for value in batch.column("_text"):
-                said, ids = e.strings(value.as_py())
-                ids += end
+                ids = e.encode(value.as_py()) + end
                 made["n_tokens"].append(len(ids))
                 if "ids" in made:
                     made["ids"].append(ids)
                 if "ids_sha256" in made:
-                    made["ids_sha256"].append(hashlib.sha256(" ".join(said + [str(x) for x in end]).encode()).hexdigest())
+                    made["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
                 if "decoded" in made or "decoded_sha256" in made:
                     decoded = e.processor.decode(ids)
                     if "decoded" in made:
