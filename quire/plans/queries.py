@@ -273,10 +273,10 @@ def with_selection(spark, d):
     return pages.with_selection(p, p.where(_SELECTED).select("doc_id", "pos")).select("doc_id", "pos", "page_index", "selected")
 
 
-@query("""SELECT doc_id, gesture_id, ts, seq, CASE WHEN a <> b THEN 'move' ELSE 'touch' END AS op, a, b
-FROM (SELECT doc_id, gesture_id, min(ts) AS ts, min(seq) AS seq, arg_min(from_pos, step) AS a, arg_max(to_pos, step) AS b, bool_or(from_pos <> to_pos) AS any_move FROM {fx_drags} GROUP BY 1, 2) WHERE a <> b OR any_move""")
+@query("""SELECT doc_id, gesture_id, seq, CASE WHEN a <> b THEN 'move' ELSE 'touch' END AS op, a, b
+FROM (SELECT doc_id, gesture_id, min(seq) AS seq, arg_min(from_pos, step) AS a, arg_max(to_pos, step) AS b, bool_or(from_pos <> to_pos) AS any_move FROM {fx_drags} GROUP BY 1, 2) WHERE a <> b OR any_move""")
 def collapse_drags(spark, d):
-    return replay.collapse_drags(frame(spark, d, "fx_drags"))
+    return replay.collapse_drags(frame(spark, d, "fx_drags")).drop("ts")
 
 
 _REPLAY = """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, seq) AS k FROM {fx_edits}),
@@ -563,7 +563,7 @@ def stream_replay(spark, d):
 
 
 @query(f"""WITH e AS (SELECT *, seq % {_BATCHES} AS batch FROM {{fx_edits}})
-SELECT doc_id, ts, seq, op, a, b FROM e WHERE EXISTS (SELECT 1 FROM e x WHERE x.doc_id = e.doc_id AND x.batch < e.batch AND (x.ts > e.ts OR (x.ts = e.ts AND x.seq >= e.seq)))""")
+SELECT doc_id, seq, op, a, b FROM e WHERE EXISTS (SELECT 1 FROM e x WHERE x.doc_id = e.doc_id AND x.batch < e.batch AND (x.ts > e.ts OR (x.ts = e.ts AND x.seq >= e.seq)))""")
 def stream_late(spark, d):
     """The edits that come in a later batch than edits behind them, of a stream that runs once for each batch."""
     with_rocksdb = "spark.sql.streaming.stateStore.providerClass"
@@ -579,7 +579,7 @@ def stream_late(spark, d):
             late.writeStream.outputMode("update").option("checkpointLocation", f"{path}/log").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(with_rocksdb, was)
-    return spark.read.schema(late.schema).parquet(f"{path}/late")
+    return spark.read.schema(late.schema).parquet(f"{path}/late").drop("ts")
 
 
 @query("SELECT conv_id AS doc_id, count(*) AS n_done, 100.0::DOUBLE AS percent FROM {conversations} GROUP BY 1")
