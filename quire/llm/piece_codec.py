@@ -41,6 +41,7 @@ class PieceEncoder:
         if trainer.model_type != trainer.BPE or normalizer.precompiled_charsmap or normalizer.remove_extra_whitespaces or not normalizer.escape_whitespaces or trainer.treat_whitespace_as_suffix or not trainer.byte_fallback:
             raise ValueError("this encoder needs a BPE model with byte fallback, whose normaliser keeps all characters")
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.decimal = [str(i) for i in range(len(model.pieces))]
         self.prefix = " " if normalizer.add_dummy_prefix else ""
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -53,15 +54,18 @@ class PieceEncoder:
         if any(_SPACE in p[1:] and p.strip(_SPACE) for p in self.ids):
             raise ValueError("a piece holds a space behind another character, so words can't be encoded one by one")
         self.characters = frozenset(c for p in self.ids for c in p)
-        # Only pieces that merging reaches can be in a result.
-        self.shorter: dict[str, str | None] = {}
-        self.reached = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
-        self.matches = ahocorasick.Automaton()
-        for p in self.reached:
-            self.matches.add_word(p, p)
-            self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.reached), None)
+        # Only pieces that merging reaches can be in a result. From here on a piece is its id: numbers are quick to look up and small to keep.
+        reached = {p for p in self.ids if len(p) == 1 or self.merge(p) == [p]}
+        self.single = {c: i for c, i in self.ids.items() if len(c) == 1}
+        self.piece = {self.ids[p]: p for p in reached}
+        self.size = {self.ids[p]: len(p) for p in reached}
+        self.shorter = {self.ids[p]: next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in reached), -1) for p in reached}
+        self.matches = ahocorasick.Automaton()  # finds pieces of two characters and more: how far before its end each starts, and its id
+        for p in reached:
+            if len(p) > 1:
+                self.matches.add_word(p, (1 - len(p), self.ids[p]))
         self.matches.make_automaton()
-        self.together: dict[tuple[str, str], bool] = {}
+        self.together: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}  # ids of four bytes each: less to keep than numbers
         # Runs of spaces whose pieces all have the lowest score are joined last, from the left. Empty for a model in which that isn't so.
         lowest = min(self.score.values())
@@ -107,41 +111,47 @@ class PieceEncoder:
             offer(before[i])
         return [p for p in parts if p]
 
-    def _fits(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        known = self.together.get(key)
-        if known is None:
-            if len(self.together) > _MEMO:
-                self.together.clear()
-            known = self.together[key] = self.merge(last + piece) == [last, piece]
+    def _fits(self, last: int, piece: int) -> bool:
+        """Whether the two stay apart when their joined text is merged; remembered by both ids in one number."""
+        if len(self.together) > _MEMO:
+            self.together.clear()
+        a, b = self.piece[last], self.piece[piece]
+        known = self.together[last << 32 | piece] = self.merge(a + b) == [a, b]
         return known
 
     def _split(self, text: str) -> list[str]:
-        """Pieces of a text all of whose characters are pieces."""
-        longest: list[str] = [""] * len(text)
-        for end, p in self.matches.iter(text):
-            longest[end - len(p) + 1] = p  # longer ones at the same place come later
-        out: list[str] = []
+        """The pieces of a text all of whose characters are pieces."""
+        return [self.piece[i] for i in self._split_ids(text)]
+
+    def _split_ids(self, text: str) -> list[int]:
+        longest = [self.single[c] for c in text]
+        for end, (back, i) in self.matches.iter(text):
+            longest[end + back] = i  # longer ones at the same place come later
+        size, shorter, known = self.size, self.shorter, self.together.get
+        out: list[int] = []
         closed = bytearray(len(text) + 1)
-        at, piece = 0, longest[0]
-        while at < len(text):
-            end = at + len(piece)
-            if not closed[end] and (not out or self._fits(out[-1], piece)):
-                out.append(piece)
-                at = end
-                if at < len(text):
-                    piece = longest[at]
-                continue
-            next_piece = self.shorter[piece]
-            while next_piece is None:
+        at, last, i = 0, -1, longest[0]
+        while True:
+            end = at + size[i]
+            if not closed[end]:
+                fits = last < 0 or known(last << 32 | i)
+                if fits is None:
+                    fits = self._fits(last, i)
+                if fits:
+                    out.append(i)
+                    if end == len(text):
+                        return out
+                    at, last, i = end, i, longest[end]
+                    continue
+            i = shorter[i]
+            while i < 0:
                 closed[at] = 1
                 if not out:
-                    return self.merge(text)  # pieces of equal score, as in runs of spaces, need the rule itself
+                    return [self.ids[p] for p in self.merge(text)]  # pieces of equal score, as in runs of spaces, need the rule itself
                 last = out.pop()
-                at -= len(last)
-                next_piece = self.shorter[last]
-            piece = next_piece
-        return out
+                at -= size[last]
+                i = shorter[last]
+            last = out[-1] if out else -1
 
     def _run(self, n: int) -> list[int]:
         """Ids of n space marks: of joins of equal score the leftmost comes first."""
@@ -164,15 +174,14 @@ class PieceEncoder:
                 run -= bool(behind)  # the last space goes with the word
             return self._run(run) + behind
         if known.issuperset(text) and not text.startswith(_SPACE * 2):
-            return [self.ids[p] for p in self._split(text)]
+            return self._split_ids(text)
         ids: list[int] = []
         start = 0
         for i in range(len(text) + 1):
             if i == len(text) or text[i] not in known:
                 if start < i:
                     part = text[start:i]
-                    pieces = self.merge(part) if part.startswith(_SPACE * 2) and not part.strip(_SPACE) else self._split(part)
-                    ids += [self.ids[p] for p in pieces]
+                    ids += [self.ids[p] for p in self.merge(part)] if part.startswith(_SPACE * 2) and not part.strip(_SPACE) else self._split_ids(part)
                 if i < len(text):
                     ids += [self.byte_ids[b] for b in text[i].encode()]
                 start = i + 1
@@ -226,7 +235,7 @@ def encode_decode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_file)
-        end = [e.processor.eos_id()] if end_id else []
+        end, decimal = [e.processor.eos_id()] if end_id else [], e.decimal.__getitem__
         for batch in batches:
             made: dict[str, list] = {c: [] for c in ("n_tokens", *output)}
             for value in batch.column("_text"):
@@ -235,7 +244,7 @@ def encode_decode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_c
                 if "ids" in made:
                     made["ids"].append(ids)
                 if "ids_sha256" in made:
-                    made["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                    made["ids_sha256"].append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
                 if "decoded" in made or "decoded_sha256" in made:
                     decoded = e.processor.decode(ids)
                     if "decoded" in made:
