@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, piece_codec, token_counts, toxicity, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, piece_codec, token_counts, toxicity, url_filter, vector_codes, warc
 from .shared import table
 
 #: The rules of op1: host, path, verdict.
@@ -185,6 +185,44 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documen
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    """Each round as two steps: assigned (a) by the codebooks before, then the codebooks (c) of the members' means, rounded down."""
+
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, CAST(min(far * 256 + e) % 256 AS BIGINT) AS e, CAST(min(far) AS BIGINT) AS far
+  FROM (SELECT r, parts.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM parts JOIN c{k} ON c{k}.p = parts.p) GROUP BY r, p)"""
+
+    def means(k: int) -> str:
+        return f"""c{k + 1} AS MATERIALIZED (
+  SELECT o.p, o.e, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS c
+    FROM (SELECT p, e, k, sum(y) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS k FROM a{k}) GROUP BY p, e, k) GROUP BY p, e) m
+  ON m.p = o.p AND m.e = o.e)"""
+
+    steps = ",\n".join(step for k in range(rounds) for step in (assigned(k), means(k)))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM (SELECT r, v, unnest(range(8)) AS p FROM kept)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT r, vec_id FROM kept WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT 16)),
+c0 AS MATERIALIZED (SELECT p, e, x AS c FROM parts JOIN first ON first.r = parts.r),
+{steps},
+{assigned(rounds)},
+coded AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS y, unnest(range(len(c))) AS k FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded ON coded.r = kept.r, book
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -196,5 +234,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_piece_codec": op9_piece_codec,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_warc_audit": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_warc_audit": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_vector_codes": OP11_SQL}

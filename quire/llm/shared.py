@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,3 +57,32 @@ def unused(name: str, df: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def lookup(rows: DataFrame, groups: DataFrame, key: str, n: str, most: int = 200_000) -> DataFrame:
+    """rows with the other columns of groups, which has one row for each key of rows and in n how many rows have it. Null keys are equal.
+
+    Up to `most` groups are broadcast. Beyond that, keys of more than rows / most rows are hot: there are fewer than `most` of them, which are
+    broadcast, so their rows stay where they are; the rest goes by a shuffle, in which no key has more than rows / most rows.
+    """
+    k = unused("_key", rows)
+    groups = staged(groups, "groups").withColumnRenamed(key, k)
+    same = quoted(key).eqNullSafe(F.col(k))
+    total, many = groups.agg(F.coalesce(F.sum(n), F.lit(0)), F.count(F.lit(1))).first()
+    if many <= most:
+        return rows.join(F.broadcast(groups.drop(n)), same).drop(k)
+    hot, rest = groups.where(F.col(n) > total // most).drop(n), groups.where(F.col(n) <= total // most).drop(n)
+    cold = rows.join(F.broadcast(hot.select(k)), same, "left_anti").join(rest, same)
+    return rows.join(F.broadcast(hot), same).unionByName(cold).drop(k)
+
+
+_memory: dict[str, object] = {}
+
+
+def worker_memory(owner: str, make: Callable[[], T]) -> T:
+    """What make gives, kept by a Python worker from task to task until a task asks for another owner's: of the memories of several
+    operators a worker holds one."""
+    if owner not in _memory:
+        _memory.clear()
+        _memory[owner] = make()
+    return _memory[owner]
