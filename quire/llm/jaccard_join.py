@@ -14,15 +14,13 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged, unused
+from .shared import ascii_words, staged, unused
 
 _CHUNK = 1 << 20  # bytes of text that are hashed or compared at once
 _STRETCH = 1_000_000  # tokens among which a task counts
 _FEW = 200_000  # rows of a table of links up to which one task takes them all
 _SHARE = 2048  # pairs of one star that are compared in one place
 _U = np.uint64
-#: A-Z lower-cased. bytes.split() then cuts at the white space of ASCII.
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -32,26 +30,10 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """A long text, cut at white space."""
-    at = 0
-    while len(text) - at > _CHUNK:
-        end = max(text.rfind(c, at, at + _CHUNK) for c in (b" ", b"\n"))
-        end = end if end > at else min((x for c in (b" ", b"\n") if (x := text.find(c, at + _CHUNK)) > 0), default=len(text))
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
-def _words(text: bytes) -> Iterator[list[bytes]]:
-    for piece in _pieces(text) if len(text) > _CHUNK else (text,):
-        yield piece.translate(_LOWER).split()
-
-
 def _hashed(text: bytes) -> tuple[np.ndarray, bytes]:
     """The hashes of a text's words (SipHash over their bytes), and a digest of the sequence of words."""
     parts, whole = [], hashlib.blake2b(digest_size=16)
-    for words in _words(text):
+    for words in ascii_words(text):
         if words:
             whole.update(b" ".join(words) + b" ")
             parts.append(hash_array(np.array(words, dtype=object), categorize=False))
@@ -92,7 +74,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[tuple[np.ndarray, bytes
 def exact_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """For each text its distinct shingles as numbers, equal among these texts if and only if their words are: no hash decides."""
     number: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
-    ids = [np.concatenate([np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in _words(t)]) for t in texts]
+    ids = [np.concatenate([np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in ascii_words(t)]) for t in texts]
     for i, x in enumerate(ids):
         if 0 < len(x) < words:
             ids[i] = np.concatenate((x, np.zeros(words - len(x), np.int64)))  # 0 is no word

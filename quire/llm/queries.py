@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, piece_codec, token_counts, toxicity, url_filter, vector_codes, warc
+from . import alignment, chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, piece_codec, simhash, token_counts, toxicity, url_filter, vector_codes, warc
 from .shared import table
 
 #: The rules of op1: host, path, verdict.
@@ -223,6 +223,14 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 OP11_SQL = _op11_sql()
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=3)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_toxicity": op2_toxicity,
@@ -235,5 +243,7 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_vector_codes": op11_vector_codes,
+    "op12_simhash": op12_simhash,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op6_decontaminate": OP6_SQL, "op7_warc_audit": OP7_SQL, "op10_jaccard_join": OP10_SQL, "op11_vector_codes": OP11_SQL}

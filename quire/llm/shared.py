@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,11 @@ T = TypeVar("T")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A-Z lower-cased. bytes.split() then cuts at the white space of ASCII.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_PIECE = 1 << 20  # bytes of text that are split at once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +51,23 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text, cut at white space."""
+    at = 0
+    while len(text) - at > _PIECE:
+        end = max(text.rfind(c, at, at + _PIECE) for c in (b" ", b"\n"))
+        end = end if end > at else min((x for c in (b" ", b"\n") if (x := text.find(c, at + _PIECE)) > 0), default=len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def ascii_words(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased and cut at the white space of ASCII, a stretch of a long text at a time."""
+    for piece in _pieces(text) if len(text) > _PIECE else (text,):
+        yield piece.translate(_LOWER).split()
+
+
 def quoted(name: str) -> Column:
     """A column by its name, dots and back quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")
