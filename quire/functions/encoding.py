@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def data_url(mime: Column, content: Column) -> Column:
@@ -41,36 +45,36 @@ def image_format(content: Column) -> Column:
     )
 
 
-#: Segments of a JPEG file that are looked through for its size; each may have 64 KB.
-_SEGMENTS = 2048
-
-
-def _jpeg_size(content: Column) -> tuple[Column, Column]:
-    """Goes from marker to marker up to the frame header, whatever lies between."""
-    state = "struct<at:int,width:bigint,height:bigint,done:boolean>"
-    none = F.lit(None).cast("bigint")
-
-    def step(s: Column, _: Column) -> Column:
-        at = s["at"]
-        mark, length = _number(content, at + 1, 1), _number(content, at + 2, 2)
-        alone = (mark == 0x01) | mark.between(0xD0, 0xD8)
-        frame = mark.between(0xC0, 0xCF) & ~mark.isin(0xC4, 0xC8, 0xCC)
-        ends = F.coalesce((_number(content, at, 1) != 0xFF) | mark.isin(0x00, 0xD9, 0xDA), F.lit(True))
-        to = lambda place: F.struct(place.cast("int").alias("at"), none.alias("width"), none.alias("height"), F.lit(False).alias("done")).cast(state)
-        end = lambda w, h: F.struct(at.alias("at"), w.alias("width"), h.alias("height"), F.lit(True).alias("done")).cast(state)
-        return (
-            F.when(s["done"], s)
-            .when(ends, end(none, none))
-            .when(mark == 0xFF, to(at + 1))  # filling
-            .when(alone, to(at + 2))
-            .when(frame, end(_number(content, at + 7, 2), _number(content, at + 5, 2)))
-            .when(length >= 2, to(at + 2 + length))
-            .otherwise(end(none, none))
-        )
-
-    start = F.struct(F.lit(3).alias("at"), none.alias("width"), none.alias("height"), F.lit(False).alias("done")).cast(state)
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(_SEGMENTS)), start, step)
-    return found["width"], found["height"]
+def jpeg_frame(read: Callable[[int, int], bytes]) -> tuple[int, int] | None:
+    """Width and height from the frame header of a JPEG file, whose bytes read(place, size) gives, fewer behind the end.
+
+    Goes from marker to marker, whatever lies between and however many there are; None where there is no frame before the image data.
+    """
+    at = 2
+    while True:
+        head = read(at, 16)
+        if len(head) < 2 or head[0] != 0xFF:
+            return None
+        mark = head[1]
+        if mark == 0xFF:  # filling
+            at += next((i for i, b in enumerate(head[1:]) if b != 0xFF), len(head) - 1)
+        elif mark == 0x01 or 0xD0 <= mark <= 0xD8:
+            at += 2
+        elif mark in (0x00, 0xD9, 0xDA):
+            return None
+        elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            return (int.from_bytes(head[7:9]), int.from_bytes(head[5:7])) if len(head) >= 9 else None
+        else:
+            length = int.from_bytes(head[2:4])
+            if len(head) < 4 or length < 2:
+                return None
+            at += 2 + length
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
+def _jpeg_size(contents: pd.Series) -> pd.DataFrame:
+    sizes = [jpeg_frame(lambda at, n, c=c: c[at : at + n]) if c is not None else None for c in contents]
+    return pd.DataFrame({"width": [s and s[0] for s in sizes], "height": [s and s[1] for s in sizes]}, dtype="Int64")
 
 
 def _webp_size(content: Column) -> tuple[Column, Column]:
@@ -88,15 +92,19 @@ def _webp_size(content: Column) -> tuple[Column, Column]:
 
 
 def header_size(content: Column) -> Column:
-    """struct(width, height) from the header of a PNG, GIF, JPEG or WebP file; null where it can't be read."""
+    """struct(width, height) from the header of a PNG, GIF, JPEG or WebP file; null where it can't be read or fits no int.
+
+    JPEG headers have any number of segments, so they are read in Arrow batches; only JPEG files go there.
+    """
     kind = image_format(content)
+    jpeg = _jpeg_size(F.when(kind == "jpeg", content))
     known = {
         "png": (_number(content, 17, 4), _number(content, 21, 4)),
         "gif": (_number(content, 7, 2, True), _number(content, 9, 2, True)),
-        "jpeg": _jpeg_size(content),
+        "jpeg": (jpeg["width"], jpeg["height"]),
         "webp": _webp_size(content),
     }
     size = F.lit(None).cast("struct<width:int,height:int>")
     for name, (width, height) in known.items():
-        size = F.when(kind == name, F.struct(width.cast("int").alias("width"), height.cast("int").alias("height"))).otherwise(size)
+        size = F.when(kind == name, F.struct(width.try_cast("int").alias("width"), height.try_cast("int").alias("height"))).otherwise(size)
     return F.when((size["width"] > 0) & (size["height"] > 0), size)

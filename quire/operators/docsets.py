@@ -5,25 +5,28 @@ doc_set: set_id, set_pos (from 0), doc_id, page_count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import Result
+from .ordering import numbered, prefix_sums
 from .pages import renumber
 
 
 def merge_pages(doc_set: DataFrame, pages: DataFrame) -> Result:
     """All pages of each set's documents in the order of the set: set_id, pos, doc_id, page_index and what else pages has.
 
-    Offsets are prefix sums over the documents of a set; pages are joined on doc_id alone and never sorted. rejected: sets of fewer
-    than two documents.
+    A document's pages come in their current order: by pos where pages has it, else by page_index. Offsets are sums over the documents of a
+    set, of the pages that there are (page_count may be out of date); a set of any size is cut into blocks (`prefix_sums`). Pages are joined on
+    doc_id alone and never sorted. A document that is loaded twice comes twice. rejected: sets of fewer than two loads.
     """
-    in_set = Window.partitionBy("set_id")
-    before = in_set.orderBy("set_pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = doc_set.select("set_id", "doc_id", F.coalesce(F.sum("page_count").over(before), F.lit(0)).alias("_offset"), F.count(F.lit(1)).over(in_set).alias("_n"))
+    counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pages"))
+    members = doc_set.select("set_id", "set_pos", "doc_id").join(counts, "doc_id", "left")
+    placed = prefix_sums(members, "set_id", "set_pos", {"_offset": F.coalesce("_pages", F.lit(0))})
     rest = [c for c in pages.columns if c not in ("doc_id", "pos", "page_index")]
-    merged = placed.where("_n >= 2").join(pages, "doc_id")
-    accepted = merged.select("set_id", (F.col("_offset") + F.col("page_index")).cast("int").alias("pos"), "doc_id", "page_index", *rest)
+    merged = placed.where("_size >= 2").select("set_id", "doc_id", "_offset").join(pages, "doc_id")
+    at = F.col("pos" if "pos" in pages.columns else "page_index")
+    accepted = merged.select("set_id", (F.col("_offset") + at).cast("int").alias("pos"), "doc_id", "page_index", *rest)
     rejected = doc_set.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs < 2").withColumn("reject_reason", F.lit("fewer_than_two"))
     return Result(accepted, rejected)
 
@@ -32,12 +35,16 @@ def set_summary(doc_set: DataFrame) -> DataFrame:
     return doc_set.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("n_pages"))
 
 
-def append_docs(existing: DataFrame, batches: DataFrame) -> DataFrame:
-    """set_id, set_pos, doc_id: what is there, then batches (set_id, batch_no, file_no, doc_id) in their order."""
-    old = existing.select("set_id", F.lit(0).alias("_new"), F.col("set_pos").cast("bigint").alias("_a"), F.lit(0).cast("bigint").alias("_b"), "doc_id")
-    new = batches.select("set_id", F.lit(1).alias("_new"), F.col("batch_no").cast("bigint").alias("_a"), F.col("file_no").cast("bigint").alias("_b"), "doc_id")
-    order = Window.partitionBy("set_id").orderBy("_new", "_a", "_b", "doc_id")
-    return old.unionByName(new).select("set_id", (F.row_number().over(order) - 1).cast("int").alias("set_pos"), "doc_id")
+def append_docs(existing: DataFrame, batches: DataFrame, blocks: int | None = None) -> DataFrame:
+    """set_id, set_pos, doc_id: what is there, then batches (set_id, batch_no, file_no, doc_id) in their order.
+
+    page_count and what else existing has comes along where batches have it too, so the result is a document set again; what only existing has
+    is left out. blocks: as in `numbered`, for sets too large for one task.
+    """
+    rest = [c for c in existing.columns if c not in ("set_id", "set_pos", "doc_id") and c in batches.columns]
+    old = existing.select("set_id", F.lit(0).alias("_new"), F.col("set_pos").cast("bigint").alias("_a"), F.lit(0).cast("bigint").alias("_b"), "doc_id", *rest)
+    new = batches.select("set_id", F.lit(1).alias("_new"), F.col("batch_no").cast("bigint").alias("_a"), F.col("file_no").cast("bigint").alias("_b"), "doc_id", *rest)
+    return numbered(old.unionByName(new), "set_id", ["_new", "_a", "_b", "doc_id"], "set_pos", blocks).select("set_id", "set_pos", "doc_id", *rest)
 
 
 def remove_docs(doc_set: DataFrame, removed: DataFrame, cleared: DataFrame | None = None, by: str = "set_pos") -> DataFrame:

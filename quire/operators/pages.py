@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import extract_name, page_name, parse_int
 from . import Result
+from .ordering import prefix_sums
 
 
 def page_manifest(docs: DataFrame, *keep: str) -> DataFrame:
@@ -31,8 +32,8 @@ def paginate(docs: DataFrame, page_chars: int, text_col: str = "text") -> DataFr
 
 
 def renumber(pages: DataFrame, by: str = "doc_id", order: str = "pos") -> DataFrame:
-    """Positions close up, from 0, in the order they have."""
-    return pages.withColumn(order, (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("int"))
+    """Positions close up, from 0, in the order they have. A document of any size is cut into blocks (`prefix_sums`)."""
+    return prefix_sums(pages, by, order, {"_place": F.lit(1)}).withColumn(order, F.col("_place").cast("int")).drop("_place", "_place_all", "_size")
 
 
 def _with_payload(kept: DataFrame, pages: DataFrame) -> DataFrame:

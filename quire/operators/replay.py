@@ -92,7 +92,7 @@ def save_edits(pages: DataFrame, replayed: DataFrame, docs: DataFrame) -> Result
 
 _SET_STEP = """CASE e.op
   WHEN 'append' THEN array_append(s, e.doc)
-  WHEN 'clear' THEN cast(array() AS array<bigint>)
+  WHEN 'clear' THEN filter(s, x -> false)
   WHEN 'remove' THEN filter(s, (x, i) -> i <> e.a)
   WHEN 'move' THEN if(e.a <> e.b AND e.a >= 0 AND e.b >= 0 AND e.a < size(s) AND e.b < size(s), array_insert(filter(s, (x, i) -> i <> e.a), e.b + 1, get(s, e.a)), s)
   WHEN 'move_up' THEN if(e.a > 0 AND e.a < size(s), array_insert(filter(s, (x, i) -> i <> e.a), e.a, get(s, e.a)), s)
@@ -101,19 +101,22 @@ _SET_STEP = """CASE e.op
 
 
 def replay_set_edits(edits: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """The members of each set after its log (set_id, ts, seq, op, a, b): set_id, set_pos, doc_id.
+    """The members of each set after its log (set_id, ts, seq, op, a, b, doc_id): set_id, set_pos, doc_id.
 
-    append adds the document seq at the end; remove, move, move_up and move_down go by position, clear takes all. initial (set_id,
-    set_pos, doc_id) is what the sets hold before; without it they start empty. Sets that end empty have no rows.
+    append adds the edit's document doc_id, of any type, at the end (edits without such a column: the number seq); remove, move, move_up and
+    move_down go by position, clear takes all. initial (set_id, set_pos, doc_id) is what the sets hold before; without it they start
+    empty. Sets that end empty have no rows.
     """
+    doc = F.col("doc_id") if "doc_id" in edits.columns else F.col("seq").cast("bigint")
+    kind = edits.select(doc.alias("doc")).schema["doc"].dataType.simpleString()
     logs = _since_last(edits, "clear", "set_id")
-    entry = F.struct("ts", "seq", "op", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("seq").cast("bigint").alias("doc"))
+    entry = F.struct("ts", "seq", "op", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), doc.alias("doc"))
     folded = logs.groupBy("set_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
     if initial is None:
-        folded = folded.withColumn("start", F.expr("cast(array() AS array<bigint>)"))
+        folded = folded.withColumn("start", F.expr(f"cast(array() AS array<{kind}>)"))
     else:
-        members = F.transform(F.array_sort(F.collect_list(F.struct("set_pos", F.col("doc_id").cast("bigint").alias("doc_id")))), lambda m: m["doc_id"])
+        members = F.transform(F.array_sort(F.collect_list(F.struct("set_pos", F.col("doc_id").cast(kind).alias("doc_id")))), lambda m: m["doc_id"])
         folded = initial.groupBy("set_id").agg(members.alias("start")).join(folded, "set_id", "full_outer")
-        folded = folded.selectExpr("set_id", "coalesce(start, cast(array() AS array<bigint>)) AS start", "coalesce(log, cast(array() AS array<struct<ts:timestamp,seq:bigint,op:string,a:int,b:int,doc:bigint>>)) AS log")
+        folded = folded.withColumns({"start": F.coalesce("start", F.array().cast(f"array<{kind}>")), "log": F.coalesce("log", F.array().cast(folded.schema["log"].dataType))})
     final = folded.selectExpr("set_id", f"aggregate(log, start, (s, e) -> {_SET_STEP}) AS members")
     return final.select("set_id", F.posexplode("members").alias("set_pos", "doc_id"))

@@ -10,13 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import encoding, geometry, naming
-from ..operators import docsets, images, intake, pages, progress, replay
+from ..operators import docsets, images, intake, pages, progress, replay, segments
 from ..operators import geometry as plans
+from ..operators.ordering import checkpoint_dir
 from ..sources import files as sources
+from ..sources import packed, ranges
+from ..streaming import intake as stream_intake_ops
 from ..streaming import progress as stream_progress_ops
 from ..streaming import replay as stream_replay_ops
+from ..streaming import snapshots as stream_snapshot_ops
 from .views import PAGE_CHARS, VIEWS, frame, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,13 +40,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share: spark.checkpoint.dir, or, in local mode only, the warehouse."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        root = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/quire-{uuid.uuid4().hex}"
+    """A new folder under the one that driver and executors share."""
+    return f"{checkpoint_dir(spark)}/quire-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks
@@ -88,6 +88,26 @@ def stream_files(spark, d):
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+@query(_SHELVES)
+def read_ranges(spark, d):
+    """The same files in ranges of 64 KB, put together again."""
+    found = ranges.read_ranges(sources.read_files(spark, _shelves(spark, d), "*.txt").select("path", "length"), 1 << 16)
+    files = found.groupBy("path").agg(F.sum(F.octet_length("content")).alias("length"))
+    content = F.aggregate("parts", F.lit(b"").cast("binary"), lambda s, p: F.concat(s, p["content"]))
+    whole = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("offset", "content"))).alias("parts")).join(files, "path")
+    return _digests(whole.select("path", "length", content.alias("content")))
+
+
+@query("""SELECT concat('out-', doc_id) AS output_name, CAST(floor(pos / 3) AS BIGINT) AS part, count(*) AS n_pages, min(pos) AS first_pos, max(pos) AS last_pos, CAST(sum(strlen(payload)) AS BIGINT) AS bytes,
+  sha256(string_agg(sha256(payload), '' ORDER BY pos)) AS sha256 FROM {fx_pages} GROUP BY ALL""")
+def write_packed(spark, d):
+    """One output a document, in parts of three pages, packed into files; the manifest of what can be read back."""
+    path = scratch(spark)
+    rows = pages.paginate(frame(spark, d, "documents"), PAGE_CHARS).withColumn("output_name", F.concat(F.lit("out-"), F.col("doc_id").cast("string")))
+    packed.write_packed(rows, path, part_pages=3, file_bytes=1 << 22)
+    return packed.read_manifest(spark, path).drop("version")
+
+
 @query("""SELECT concat('out-', doc_id) AS output_name, count(*) AS n_pages, CAST(sum(page_index) AS BIGINT) AS sum_index, true AS in_order, sha256(string_agg(payload, '' ORDER BY pos)) AS payload_sha256
 FROM {fx_pages} GROUP BY doc_id""")
 def write_outputs(spark, d):
@@ -311,6 +331,12 @@ def replay_edits(spark, d):
     return replay.final_pages(_replayed(spark, d))
 
 
+@query(_REPLAY + _FINAL_PAGES)
+def replay_long_edits(spark, d):
+    """The same logs in segments of 32 edits, as logs that are too long for one array are replayed."""
+    return replay.final_pages(segments.replay_long_edits(frame(spark, d, "fx_edit_docs"), frame(spark, d, "fx_edits"), segment=32))
+
+
 @query(_REPLAY.replace("ORDER BY ts, seq) AS k FROM {fx_edits}", "ORDER BY ts, seq, step) AS k FROM {fx_hovers}") + _FINAL_PAGES)
 def replay_drags(spark, d):
     """Gestures as one edit each, in one log with the other edits, against the replay of every hover."""
@@ -334,11 +360,20 @@ def save_edits(spark, d):
 
 
 @query("""SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY set_pos, page_index) - 1 AS INT) AS pos, doc_id, page_index, width_pt, height_pt
-FROM (SELECT s.set_id, s.set_pos, l.*, count(DISTINCT s.doc_id) OVER (PARTITION BY s.set_id) AS n FROM {fx_set} s JOIN {fx_lines} l ON l.doc_id = s.doc_id) WHERE n >= 2""")
+FROM (SELECT s.set_id, s.set_pos, l.*, n FROM (SELECT *, count(*) OVER (PARTITION BY set_id) AS n FROM {fx_set}) s JOIN {fx_lines} l ON l.doc_id = s.doc_id) WHERE n >= 2""")
 def merge_pages(spark, d):
     return docsets.merge_pages(frame(spark, d, "fx_set"), frame(spark, d, "fx_lines")).accepted
 
 
+@query("""SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY file_no, j) - 1 AS INT) AS pos, doc_id, page_index, payload
+FROM (SELECT d.batch_id AS set_id, d.file_no, o.j, p.doc_id, p.page_index, p.payload, sum(1) OVER (PARTITION BY d.batch_id) AS some FROM {fx_docs} d JOIN {fx_reorder} o ON o.doc_id = d.doc_id JOIN {fx_pages} p ON p.doc_id = o.doc_id AND p.page_index = o.src)
+WHERE set_id IN (SELECT batch_id FROM {fx_docs} GROUP BY 1 HAVING count(*) > 1)""")
+def merge_edited(spark, d):
+    """Documents that were reordered, shortened and lengthened first: page counts and page indexes no longer tell the places."""
+    edited = pages.renumber(pages.reorder_pages(frame(spark, d, "fx_pages").drop("page_count"), frame(spark, d, "fx_reorder")).accepted)
+    return docsets.merge_pages(frame(spark, d, "fx_docs").selectExpr("batch_id AS set_id", "file_no AS set_pos", "doc_id", "page_count"), edited).accepted
+
+
 @query("SELECT set_id, count(*) AS n_docs, 'fewer_than_two' AS reject_reason FROM {fx_set} GROUP BY set_id HAVING count(*) < 2")
 def merge_pages_rejects(spark, d):
     return docsets.merge_pages(frame(spark, d, "fx_set"), frame(spark, d, "fx_lines")).rejected
@@ -349,12 +384,18 @@ def set_summary(spark, d):
     return docsets.set_summary(frame(spark, d, "fx_set"))
 
 
-@query("""SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY new, a, b) - 1 AS INT) AS set_pos, doc_id FROM (
-  SELECT set_id, 0 AS new, set_pos AS a, 0 AS b, doc_id FROM {fx_set} UNION ALL SELECT set_id, 1, batch_no, file_no, doc_id FROM {fx_append})""")
+@query("""SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY new, a, b) - 1 AS INT) AS set_pos, doc_id, page_count FROM (
+  SELECT set_id, 0 AS new, set_pos AS a, 0 AS b, doc_id, page_count FROM {fx_set} UNION ALL SELECT set_id, 1, batch_no, file_no, doc_id, page_count FROM {fx_append})""")
 def append_docs(spark, d):
     return docsets.append_docs(frame(spark, d, "fx_set"), frame(spark, d, "fx_append"))
 
 
+@query("SELECT set_id, count(*) AS n_docs, CAST(sum(page_count) AS BIGINT) AS n_pages FROM (SELECT set_id, page_count FROM {fx_set} UNION ALL SELECT set_id, page_count FROM {fx_append}) GROUP BY set_id")
+def append_docs_summary(spark, d):
+    """What append_docs gives is a document set again; numbered over ranges, as sets too large for one task are."""
+    return docsets.set_summary(docsets.append_docs(frame(spark, d, "fx_set"), frame(spark, d, "fx_append"), blocks=16))
+
+
 @query("""SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY set_pos) - 1 AS INT) AS set_pos, doc_id, page_count FROM {fx_loads} WHERE set_pos % 4 <> 0 AND set_id % 7 <> 0""")
 def remove_docs(spark, d):
     """Of every other document one of its two loads goes."""
@@ -380,7 +421,7 @@ states AS (
   SELECT DISTINCT set_id, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS m FROM {fx_set_edits}
   UNION ALL
   SELECT s.set_id, e.k,
-    CASE op WHEN 'append' THEN list_append(m, seq) WHEN 'clear' THEN CAST([] AS BIGINT[]) WHEN 'remove' THEN list_filter(m, lambda x, i: i <> a + 1)
+    CASE op WHEN 'append' THEN list_append(m, doc_id) WHEN 'clear' THEN CAST([] AS BIGINT[]) WHEN 'remove' THEN list_filter(m, lambda x, i: i <> a + 1)
       WHEN 'move' THEN CASE WHEN a <> b AND a < len(m) AND b < len(m) THEN list_concat(list_concat(list_slice(list_filter(m, lambda x, i: i <> a + 1), 1, b), [m[a + 1]]), list_slice(list_filter(m, lambda x, i: i <> a + 1), b + 1, len(m))) ELSE m END
       WHEN 'move_up' THEN CASE WHEN a > 0 AND a < len(m) THEN list_concat(list_concat(list_slice(m, 1, a - 1), [m[a + 1], m[a]]), list_slice(m, a + 2, len(m))) ELSE m END
       ELSE CASE WHEN a < len(m) - 1 THEN list_concat(list_concat(list_slice(m, 1, a), [m[a + 2], m[a + 1]]), list_slice(m, a + 3, len(m))) ELSE m END END
@@ -509,6 +550,21 @@ def parse_int(spark, d):
     return frame(spark, d, "fx_ranges").select("doc_id", naming.parse_int(F.col("start_txt")).alias("start_no"), naming.parse_int(F.col("end_txt")).alias("end_no"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN CAST(concat(CASE doc_id % 4 WHEN 0 THEN '-' ELSE '' END, CAST('0x1' || doc_id % 10 AS INT)) AS INT)
+  WHEN doc_id % 6 IN (1, 3) THEN NULL ELSE TRY_CAST(regexp_extract(regexp_replace(typed, '^[\s\x{A0}]+', ''), '^[+-]?\d+') AS INT) END AS number FROM {fx_typed}""")
+def parse_typed(spark, d):
+    """Texts with hexadecimal numbers, signs and no-break spaces."""
+    return frame(spark, d, "fx_typed").select("doc_id", naming.parse_int(F.col("typed")).alias("number"))
+
+
+@query("""SELECT s.event_id, s.view_id, s.x, s.y, coalesce(z.scale, 1.0::DOUBLE) AS scale, floor(s.x / coalesce(z.scale, 1.0::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS page_x,
+  floor(s.y / coalesce(z.scale, 1.0::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS page_y FROM {fx_moves_of_pointer} s ASOF LEFT JOIN {fx_zooms} z ON s.view_id = z.view_id AND s.ts >= z.ts""")
+def scale_in_force(spark, d):
+    """Pointer samples at the scale that the last zoom of their view has set."""
+    found = plans.with_scale(frame(spark, d, "fx_moves_of_pointer"), frame(spark, d, "fx_zooms"), blocks=16)
+    return plans.to_page_coords(found).select("event_id", "view_id", "x", "y", "scale", "page_x", "page_y")
+
+
 # --- progress and streams
 
 
@@ -519,6 +575,27 @@ def progress_of_pages(spark, d):
     return progress.progress(done, frame(spark, d, "fx_talk_docs"))
 
 
+_AGAIN = "SELECT conv_id AS doc_id, turn AS done_no, turn AS page_index FROM {conversations} UNION ALL SELECT conv_id, turn + 3 AS done_no, turn AS page_index FROM {conversations} WHERE turn % 2 = 0"
+
+
+@query(f"""SELECT doc_id, done_no, new * 100.0::DOUBLE / n AS percent, concat(CAST(floor(new * 100.0::DOUBLE / n + 0.5::DOUBLE) AS BIGINT), '%') AS label
+FROM (SELECT doc_id, done_no, sum(first) OVER (PARTITION BY doc_id ORDER BY done_no, first DESC, page_index ROWS UNBOUNDED PRECEDING) AS new, n
+  FROM (SELECT d.*, page_count AS n, CASE WHEN row_number() OVER (PARTITION BY d.doc_id, page_index ORDER BY done_no) = 1 THEN 1 ELSE 0 END AS first FROM ({_AGAIN}) d JOIN {{fx_talk_docs}} t ON t.doc_id = d.doc_id))""")
+def progress_again(spark, d):
+    """Pages that are delivered twice count once; over ranges, as documents too large for one task are numbered."""
+    talks = frame(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("done_no"), F.col("turn").alias("page_index"))
+    again = talks.where("page_index % 2 = 0").withColumn("done_no", F.col("done_no") + 3)
+    return progress.progress(talks.unionByName(again), frame(spark, d, "fx_talk_docs"), blocks=16)
+
+
+@query("SELECT conv_id AS doc_id, count_if(turn % 3 <> 1) AS n_done, count_if(turn % 3 <> 1) * 100.0::DOUBLE / count(*) AS percent FROM {conversations} GROUP BY 1")
+def progress_bitmaps(spark, d):
+    """Two overlapping parts of a log of done pages, merged."""
+    done = frame(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"))
+    parts = [progress.done_bitmaps(done.where(p)) for p in ("page_index % 3 = 0", "page_index % 3 = 2 OR page_index % 2 = 0 AND page_index % 3 <> 1")]
+    return progress.progress_of(progress.merge_bitmaps(*parts), frame(spark, d, "fx_talk_docs"))
+
+
 QUERIES["progress"], ORACLES["progress"] = QUERIES.pop("progress_of_pages"), ORACLES.pop("progress_of_pages")
 
 
@@ -582,6 +659,82 @@ def stream_late(spark, d):
     return spark.read.schema(late.schema).parquet(f"{path}/late").drop("ts")
 
 
+def _arrivals(spark: SparkSession, rows: DataFrame, batch: str, run: Callable[[DataFrame], DataFrame], columns: list[str], mode: str = "update") -> DataFrame:
+    """What a stream gives that takes rows in one batch for each value of `batch`, in order, with batch_no."""
+    path, out = scratch(spark), None
+    with_rocksdb = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(with_rocksdb)
+    spark.conf.set(with_rocksdb, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keep = lambda made, number: made.withColumn("batch_no", F.lit(number)).write.mode("append").parquet(f"{path}/out")
+    try:
+        rows.repartition(batch).write.partitionBy(batch).parquet(f"{path}/rows")
+        whole = spark.read.parquet(f"{path}/rows")
+        for number in sorted(r[0] for r in whole.select(batch).distinct().collect()):  # a handful of batches
+            whole.where(F.col(batch) == number).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            out = run(spark.readStream.schema(whole.schema).parquet(f"{path}/in"))
+            out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(with_rocksdb, was)
+    return spark.read.schema(T.StructType([*out.schema, T.StructField("batch_no", T.IntegerType())])).parquet(f"{path}/out").select(*columns)
+
+
+_DELAY_DAYS = 3650  # over all of the events
+
+
+@query(_REPLAY + _FINAL_PAGES)
+def stream_snapshots(spark, d):
+    """Edits that arrive about in order, some a batch later and some far behind, within the delay: none is too late."""
+    found = _arrivals(spark, frame(spark, d, "fx_arrivals"), "batch", lambda s: stream_snapshot_ops.stream_snapshots(s, f"{_DELAY_DAYS} days"), ["doc_id", "ord", "sel", "batch_no"])
+    return replay.final_pages(found.groupBy("doc_id").agg(F.max_by("ord", "batch_no").alias("ord"), F.max_by("sel", "batch_no").alias("sel")))
+
+
+@query("""WITH seen AS (SELECT batch, max(max(epoch_us(ts))) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 * 1000 - 86400000000 AS watermark FROM {fx_arrivals} GROUP BY batch)
+SELECT doc_id, seq, op, a, b FROM {fx_arrivals} e JOIN seen ON seen.batch = e.batch WHERE epoch_us(ts) < watermark""")
+def stream_snapshots_late(spark, d):
+    """With a delay of one day: the edits that come after the watermark has passed them."""
+    late = lambda s: stream_replay_ops.late_edits(stream_snapshot_ops.stream_snapshots(s, "1 day"))
+    return _arrivals(spark, frame(spark, d, "fx_arrivals"), "batch", late, ["doc_id", "seq", "op", "a", "b"])
+
+
+@query("""SELECT batch_id, file_no, name, CASE WHEN batch_id % 10 = 3 THEN 'batch_incomplete' WHEN bool_or(load_failed) OVER (PARTITION BY batch_id) THEN 'batch_load_failed' END AS reject_reason
+FROM {fx_bad_loads}""")
+def stream_atomic_batches(spark, d):
+    """Files in shuffled order over five batches of arrival; every tenth intake batch declares a file that never comes."""
+    rows = frame(spark, d, "fx_bad_loads").withColumn("arrival", F.pmod(F.xxhash64("batch_id", "file_no"), F.lit(4)).cast("int"))
+    # an hour for each arrival, and one file long after, which moves the watermark over all that is open
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.col("arrival") * 3600)).select("batch_id", "n_files", "file_no", "name", "load_failed", "ts", "arrival")
+    last = rows.limit(1).select(F.lit(-1).cast("bigint").alias("batch_id"), F.lit(1).cast("bigint").alias("n_files"), F.lit(0).alias("file_no"), F.lit("-").alias("name"), F.lit(False).alias("load_failed"), F.timestamp_seconds(F.lit(10**7)).alias("ts"), F.lit(4).alias("arrival"))
+    found = _arrivals(spark, rows.unionByName(last), "arrival", lambda s: stream_intake_ops.stream_atomic_batches(s, "1 day", "10 minutes"), ["batch_id", "file_no", "name", "reject_reason"], "append")
+    return found.where("batch_id >= 0").withColumn("file_no", F.col("file_no").cast("int"))
+
+
+@query(_REPLAY + "SELECT concat('doc_', doc_id, '_edited.pdf') AS output_name, CAST(i AS INT) AS pos, ord[i + 1] AS page_index FROM placed WHERE dirty")
+def save_stream(spark, d):
+    """Saves the changed documents of a stream of edits, a version for each batch, and reads the last version of each back."""
+    docs, path = frame(spark, d, "fx_edit_docs"), scratch(spark)
+    manifest = pages.page_manifest(docs).withColumn("payload", F.col("page_index").cast("string"))
+    with_rocksdb = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(with_rocksdb)
+    spark.conf.set(with_rocksdb, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        arrivals = frame(spark, d, "fx_arrivals").drop("batch")
+        arrivals.write.parquet(f"{path}/in")
+        states = stream_snapshot_ops.stream_snapshots(spark.readStream.schema(arrivals.schema).parquet(f"{path}/in"), f"{_DELAY_DAYS} days")
+        packed.save_stream(states, manifest, docs, f"{path}/saved", f"{path}/log").awaitTermination()
+    finally:
+        spark.conf.set(with_rocksdb, was)
+    return packed.read_packed(spark, f"{path}/saved").select("output_name", "pos", "page_index")
+
+
+@query("SELECT conv_id AS doc_id, count(*) AS n_done, 100.0::DOUBLE AS percent FROM {conversations} GROUP BY 1")
+def stream_progress_again(spark, d):
+    """Pages in three batches, each third of them delivered in two."""
+    talks = frame(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_index"), (F.col("turn") % 3).cast("int").alias("arrival"))
+    again = talks.where("arrival < 2").withColumn("arrival", F.col("arrival") + 1)
+    found = _arrivals(spark, talks.unionByName(again), "arrival", lambda s: stream_progress_ops.stream_progress(s, frame(spark, d, "fx_talk_docs")), ["doc_id", "n_done", "percent", "batch_no"])
+    return found.groupBy("doc_id").agg(F.max_by("n_done", "batch_no").alias("n_done"), F.max_by("percent", "batch_no").alias("percent"))
+
+
 @query("SELECT conv_id AS doc_id, count(*) AS n_done, 100.0::DOUBLE AS percent FROM {conversations} GROUP BY 1")
 def stream_progress(spark, d):
     done = _stream(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"))

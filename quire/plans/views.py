@@ -50,7 +50,7 @@ UNION ALL SELECT doc_id, page_count AS j, 0 AS src FROM {fx_docs} WHERE doc_id %
     "fx_set_edits": """SELECT e.user_id AS set_id, e.ts, e.event_id AS seq,
   CASE e.event_type WHEN 'signup' THEN 'append' WHEN 'view' THEN 'move' WHEN 'click' THEN 'move_up'
        WHEN 'purchase' THEN CASE WHEN e.value > 60 THEN 'remove' ELSE 'append' END
-       ELSE CASE WHEN e.value > 200 THEN 'clear' ELSE 'move_down' END END AS op, f.a, f.b
+       ELSE CASE WHEN e.value > 200 THEN 'clear' ELSE 'move_down' END END AS op, f.a, f.b, 7000000 - e.event_id AS doc_id
 FROM {events} e JOIN {fx_edits} f ON f.seq = e.event_id""",
     # each hover of a drag as a move of its own; without deletes, so that all positions exist
     "fx_hovers": """SELECT doc_id, ts, seq, 0 AS step, op, a, b FROM {fx_edits} WHERE op NOT IN ('move', 'delete')
@@ -64,7 +64,16 @@ UNION ALL SELECT -1 - doc_id AS doc_id, from_pos, to_pos FROM {fx_moves} WHERE d
     "fx_talks": "SELECT conv_id AS doc_id, CAST(turn AS INT) AS pos, CAST(turn AS INT) AS page_index, role FROM {conversations}",
     "fx_talk_docs": "SELECT conv_id AS doc_id, CAST(count(*) AS INT) AS page_count FROM {conversations} GROUP BY conv_id",
     "fx_moves": "SELECT doc_id, CAST(doc_id % page_count AS INT) AS from_pos, CAST((doc_id * 3 + 1) % page_count AS INT) AS to_pos FROM {fx_talk_docs}",
-    "fx_append": "SELECT o_custkey AS set_id, year(o_orderdate) AS batch_no, o_orderkey AS file_no, o_orderkey AS doc_id FROM {orders}",
+    "fx_append": "SELECT o_custkey AS set_id, year(o_orderdate) AS batch_no, o_orderkey AS file_no, o_orderkey AS doc_id, CAST(o_orderkey % 9 AS INT) AS page_count FROM {orders}",
+    # typed numbers as a browser reads them: hexadecimal ones, signs, white space of Unicode
+    "fx_typed": """SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE '{nbsp}' END, CASE doc_id % 4 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE '' END,
+  CASE doc_id % 6 WHEN 0 THEN concat('0x1', doc_id % 10, 'g') WHEN 1 THEN '0x' WHEN 2 THEN concat('0', doc_id, 'px') WHEN 3 THEN 'x1' WHEN 4 THEN '99999999999' ELSE concat('', doc_id) END) AS typed FROM {documents}""".replace("{nbsp}", "\u00a0"),
+    # edits in the batches in which they arrive: by time, every seventh a batch later, every hundredth far behind
+    "fx_arrivals": """SELECT doc_id, n, ts, seq, op, a, b, CAST(CASE WHEN seq % 100 = 0 THEN 7 WHEN seq % 7 = 0 THEN least(slot + 1, 7) ELSE slot END AS INT) AS batch
+FROM (SELECT *, ntile(8) OVER (ORDER BY ts, seq) - 1 AS slot FROM {fx_edits})""",
+    "fx_bad_loads": "SELECT batch_id, file_no, name, load_failed, CASE WHEN batch_id % 10 = 3 THEN 3 ELSE count(*) OVER (PARTITION BY batch_id) END AS n_files FROM {fx_files}",
+    "fx_zooms": "SELECT user_id AS view_id, ts, CAST(0.25 AS DOUBLE) * (1 + event_id % 20) AS scale FROM {events} WHERE event_type IN ('view', 'signup')",
+    "fx_moves_of_pointer": "SELECT event_id, user_id AS view_id, ts, value AS x, value * 0.5 AS y FROM {events} WHERE event_type NOT IN ('view', 'signup')",
 }
 _REF = re.compile(r"\{(\w+)\}")
 

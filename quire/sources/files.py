@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -42,16 +45,21 @@ def write_outputs(pages: DataFrame, path: str, order: str = "pos", buckets: int
 
 
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    """What write_outputs has written. Names are strings, whatever they look like: 007 and 7 are two outputs."""
+    found = spark.read.option("basePath", path).parquet(path).schema
+    kinds = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "output_name" else f for f in found])
+    return spark.read.schema(kinds).option("basePath", path).parquet(path)
 
 
-def expand_with(files: DataFrame, fn: Callable[[str, bytes], Iterator[dict]], schema: str) -> DataFrame:
+def expand_with(files: DataFrame, fn: Callable[[str, bytes], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """Rows that fn makes of each file (path, content): a caller's own document library plugs in here.
 
-    schema names the fields of fn's rows; path, page_index (from 0, in the order in which fn gives the rows) and reject_reason come
-    in front. A file for which fn raises gives one row with the error as its reject_reason and no other rows.
+    schema, a StructType or its DDL text, names the fields of fn's rows; path, page_index (from 0, in the order in which fn gives the rows)
+    and reject_reason come in front. A file for which fn raises gives one row with the error as its reject_reason and no other rows, so
+    its rows are held until fn is through; `register_expand` is a table function whose rows are not.
     """
-    fields = [f.strip().split(" ")[0] for f in schema.split(",")]
+    made_of = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = made_of.fieldNames()
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "page_index", "reject_reason", *fields]
@@ -62,7 +70,7 @@ def expand_with(files: DataFrame, fn: Callable[[str, bytes], Iterator[dict]], sc
                 try:
                     made += [{"path": path, "page_index": i, "reject_reason": None, **r} for i, r in enumerate(fn(path, content))]
                 except Exception as e:  # noqa: BLE001  whatever a caller's library raises becomes a reject
-                    made = [{"path": path, "page_index": None, "reject_reason": f"{type(e).__name__}: {e}"[:500]}]
+                    made = [{"path": path, "page_index": None, "reject_reason": f"{type(e).__name__}: {e}"}]
                 rows += made
                 if len(rows) >= 4096:
                     yield pd.DataFrame(rows, columns=names, dtype=object)
@@ -70,4 +78,31 @@ def expand_with(files: DataFrame, fn: Callable[[str, bytes], Iterator[dict]], sc
         if rows:
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return files.select("path", "content").mapInPandas(expand, f"path string, page_index int, reject_reason string, {schema}")
+    return files.select("path", "content").mapInPandas(expand, T.StructType([*T.StructType.fromDDL("path string, page_index int, reject_reason string"), *made_of]))
+
+
+def register_expand(spark: SparkSession, name: str, fn: Callable[[str, bytes], Iterator[dict]], schema: str | T.StructType) -> None:
+    """A caller's document library as a table function for SQL: SELECT ... FROM files f, LATERAL name(f.path, f.content) p.
+
+    It gives page_index, reject_reason and the fields of schema (a StructType or its DDL text), a row as soon as fn gives it, so a file of
+    any number of pages needs the memory of one. Where fn raises, a row with the error follows the rows it gave before, without page_index.
+    """
+    made_of = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fields = made_of.fieldNames()
+    whole = T.StructType([*T.StructType.fromDDL("page_index int, reject_reason string"), *made_of])
+
+    class Expand:
+        @staticmethod
+        def analyze(path: AnalyzeArgument, content: AnalyzeArgument) -> AnalyzeResult:
+            if not isinstance(path.dataType, T.StringType) or not isinstance(content.dataType, T.BinaryType):
+                raise TypeError(f"{name} takes a path (string) and a content (binary)")
+            return AnalyzeResult(whole)
+
+        def eval(self, path: str, content: bytes) -> Iterator[tuple]:
+            try:
+                for i, row in enumerate(fn(path, content)):
+                    yield (i, None, *[row.get(c) for c in fields])
+            except Exception as e:  # noqa: BLE001  whatever a caller's library raises becomes a reject
+                yield (None, f"{type(e).__name__}: {e}", *[None for _ in fields])
+
+    spark.udtf.register(name, udtf(Expand))

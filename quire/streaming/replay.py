@@ -40,7 +40,7 @@ class _Replay(StatefulProcessor):
         number = lambda x: None if pd.isna(x) else int(x)
         place = lambda e: (e[0] is not None, e[0] or 0, e[1] is not None, e[1] or 0)  # noqa: E731  nulls come first, as in the batch form
         new = [e for batch in rows for e in batch[["ts", "seq", "op", "a", "b", "n"]].itertuples(index=False, name=None)]
-        n = int(new[0][5])
+        n = next((int(e[5]) for e in new if not pd.isna(e[5])), 0)
         log = []  # from the last reset on, in order
         if self.state.exists():
             log = [(number(ts), number(seq), op, number(a), number(b)) for ts, seq, op, a, b in zip(*self.state.get(), strict=True)]
