@@ -93,7 +93,7 @@ def save_edits(pages: DataFrame, replayed: DataFrame, docs: DataFrame) -> Result
 _SET_STEP = """CASE e.op
   WHEN 'append' THEN array_append(s, e.doc)
   WHEN 'clear' THEN filter(s, x -> false)
-  WHEN 'remove' THEN filter(s, (x, i) -> i <> e.a)
+  WHEN 'remove' THEN filter(s, (x, i) -> NOT i <=> e.a)
   WHEN 'move' THEN if(e.a <> e.b AND e.a >= 0 AND e.b >= 0 AND e.a < size(s) AND e.b < size(s), array_insert(filter(s, (x, i) -> i <> e.a), e.b + 1, get(s, e.a)), s)
   WHEN 'move_up' THEN if(e.a > 0 AND e.a < size(s), array_insert(filter(s, (x, i) -> i <> e.a), e.a, get(s, e.a)), s)
   WHEN 'move_down' THEN if(e.a >= 0 AND e.a < size(s) - 1, array_insert(filter(s, (x, i) -> i <> e.a), e.a + 2, get(s, e.a)), s)

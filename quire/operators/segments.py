@@ -7,12 +7,14 @@ such lists are composed, which is associative, by a tree over the segments.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import range_sums
+from .ordering import numbered, range_sums
 
 _FAN = 16  # lists that are composed at once
 _ORDER = ["ts", "seq", "op", "a", "b"]
@@ -63,14 +65,22 @@ def _segment(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _composed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Lists of segments that follow each other, as one."""
+    """Lists of segments that follow each other, as one. Numbers below 0 stand for themselves."""
     rows = rows.sort_values("seg", kind="stable")
     whole, *others = (np.asarray(x, dtype=np.int64) for x in rows["ord"])
     for x in others:
-        whole = whole[x]
+        whole = np.where(x < 0, x, np.append(whole, 0)[np.maximum(x, 0)])
     return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].to_list(), "seg": [int(rows["seg"].iloc[0]) // _FAN], "ord": [whole.tolist()], "moved": [bool(rows["moved"].any())]})
 
 
+def _tree(lists: DataFrame, made: str) -> DataFrame:
+    """One list for each document, composed of those of its segments, _FAN at a time."""
+    most = lists.agg(F.max("seg")).first()[0] or 0
+    while most > 0:
+        lists, most = lists.groupBy("doc_id", F.floor(F.col("seg") / _FAN).alias("_group")).applyInPandas(_composed, made), most // _FAN
+    return lists
+
+
 def replay_long_edits(docs: DataFrame, edits: DataFrame, segment: int = 4096, blocks: int | None = None) -> DataFrame:
     """replay_edits, with the same columns and results, for logs of any length: doc_id, ord, sel, dirty, order_differs.
 
@@ -103,13 +113,96 @@ def replay_long_edits(docs: DataFrame, edits: DataFrame, segment: int = 4096, bl
     starts = per.withColumn("fewer", F.coalesce(earlier, F.lit(0))).join(known, "doc_id")
     starts = starts.select("doc_id", "seg", F.lit(-1).cast("bigint").alias("k"), F.lit("size").alias("op"), (F.col("page_count") - F.col("fewer")).cast("int").alias("a"), none.cast("int").alias("b"), none.cast("array<int>").alias("gone"))
     made = f"doc_id {kind}, seg bigint, ord array<int>, moved boolean"
-    lists = worked.unionByName(starts).groupBy("doc_id", "seg").applyInPandas(_segment, made).checkpoint()
-    most = lists.agg(F.max("seg")).first()[0] or 0
-    while most > 0:
-        lists, most = lists.groupBy("doc_id", F.floor(F.col("seg") / _FAN).alias("_group")).applyInPandas(_composed, made), most // _FAN
+    lists = _tree(worked.unionByName(starts).groupBy("doc_id", "seg").applyInPandas(_segment, made).checkpoint(), made)
     touched = log.where("op = 'touch'").select("doc_id").distinct().withColumn("_touched", F.lit(True))
     deleted = deletes.select("doc_id").distinct().withColumn("_deleted", F.lit(True))
     initial = F.when(F.col("page_count") > 0, F.sequence(F.lit(0), F.greatest("page_count", F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     out = known.join(lists.drop("seg"), "doc_id", "left").join(followed.where("k is null").select("doc_id", F.col("gone").alias("_sel")), "doc_id", "left").join(touched, "doc_id", "left").join(deleted, "doc_id", "left")
     order, dirty = F.coalesce("ord", initial), F.coalesce("moved", F.lit(False)) | F.coalesce("_touched", "_deleted", F.lit(False))
     return out.select("doc_id", order.alias("ord"), F.coalesce("_sel", F.array().cast("array<int>")).alias("sel"), dirty.alias("dirty"), (order != initial).alias("order_differs"))
+
+
+def _growth(rows: pd.DataFrame) -> pd.DataFrame:
+    """What one segment makes of a set's size: size + base - the number of falls up to size.
+
+    A remove at position a takes one from the sizes that are above a by then, which are those from some size at the start on: a fall.
+    """
+    base, falls = 0, []
+    for op, a in rows.sort_values("k", kind="stable")[["op", "a"]].itertuples(index=False, name=None):
+        if op == "append":
+            base += 1
+        elif a >= 0:
+            low, high = 0, max(0, int(a) + 1 - base + len(falls))  # the least size at the start that is above a by now
+            while low < high:
+                mid = (low + high) // 2
+                if mid + base - bisect_right(falls, mid) > a:
+                    high = mid
+                else:
+                    low = mid + 1
+            insort(falls, low)
+    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].to_list(), "seg": rows["seg"].iloc[:1].to_list(), "base": [base], "falls": [falls]})
+
+
+def _sizes(rows: pd.DataFrame) -> pd.DataFrame:
+    """The size of one set at the start of each segment; the row of segment -1 has the size before all in base."""
+    rows = rows.sort_values("seg", kind="stable")
+    size, made = 0, []
+    for seg, base, falls in rows[["seg", "base", "falls"]].itertuples(index=False, name=None):
+        if seg >= 0:
+            made.append((seg, size))
+        size += int(base) - int(np.searchsorted(np.asarray(falls, dtype=np.int64), size, side="right"))
+    return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]] * len(made), "seg": [m[0] for m in made], "size": [m[1] for m in made]})
+
+
+def _set_segment(rows: pd.DataFrame) -> pd.DataFrame:
+    """One segment of a set as a list: the position at its start of each last member, or -1 - k for the one that edit k appended."""
+    members: list[int] = []
+    for op, a, b, k in rows.sort_values("k", kind="stable")[["op", "a", "b", "k"]].itertuples(index=False, name=None):
+        n = len(members)
+        if op == "size":
+            members = list(range(int(a)))
+        elif op == "append":
+            members.append(-1 - int(k))
+        elif op == "remove":
+            if 0 <= a < n:
+                del members[int(a)]
+        else:
+            b = a - 1 if op == "move_up" else a + 1 if op == "move_down" else b
+            if 0 <= a < n and 0 <= b < n and a != b:
+                members.insert(int(b), members.pop(int(a)))
+    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].to_list(), "seg": rows["seg"].iloc[:1].to_list(), "ord": [members], "moved": [True]})
+
+
+def replay_long_set_edits(edits: DataFrame, initial: DataFrame | None = None, segment: int = 4096, blocks: int | None = None) -> DataFrame:
+    """replay_set_edits, with the same columns and results, for logs of any length: set_id, set_pos, doc_id.
+
+    As in replay_long_edits: numbered over ranges; what is before the last clear goes; one task a set follows its size, from what each segment
+    does to any size (`_growth`), whose parts are as many as the segment's removes; segments are folded apart and their lists composed. A set's order still fits a row.
+    """
+    doc = F.col("doc_id") if "doc_id" in edits.columns else F.col("seq").cast("bigint")
+    rows = edits.select(F.col("set_id").alias("doc_id"), "ts", "seq", "op", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), doc.alias("doc"))
+    kind, doc_kind = (rows.schema[c].dataType.simpleString() for c in ("doc_id", "doc"))
+    cleared = F.coalesce(F.col("op") == "clear", F.lit(False)).cast("int")
+    placed = range_sums(rows, "doc_id", [*_ORDER, "doc"], {"k": F.lit(1), "clears": cleared}, blocks)
+    log = placed.where("clears = clears_all AND op IN ('append', 'remove', 'move', 'move_up', 'move_down')").withColumn("seg", F.floor(F.col("k") / segment)).select("doc_id", "seg", "k", "op", "a", "b", "doc").checkpoint()
+    start = edits.sparkSession.createDataFrame([], f"doc_id {kind}, set_pos int, doc {doc_kind}")
+    if initial is not None:
+        emptied = edits.where("op = 'clear'").select(F.col("set_id").alias("doc_id")).distinct()
+        members = initial.select(F.col("set_id").cast(kind).alias("doc_id"), "set_pos", F.col("doc_id").cast(doc_kind).alias("doc"))
+        start = numbered(members.join(emptied, "doc_id", "left_anti"), "doc_id", ["set_pos", "doc"], "at", blocks).select("doc_id", F.col("at").alias("set_pos"), "doc")
+    none, first = F.lit(None), F.lit(-1).cast("bigint")
+    grown = log.where("op IN ('append', 'remove')").groupBy("doc_id", "seg").applyInPandas(_growth, f"doc_id {kind}, seg bigint, base bigint, falls array<bigint>")
+    before = start.groupBy("doc_id").agg(F.count(F.lit(1)).alias("base")).select("doc_id", first.alias("seg"), "base", F.array().cast("array<bigint>").alias("falls"))
+    # segments that neither append nor remove have a size as well
+    others = log.select("doc_id", "seg").distinct().select("doc_id", "seg", F.lit(0).cast("bigint").alias("base"), F.array().cast("array<bigint>").alias("falls"))
+    grown = grown.unionByName(others.join(grown.select("doc_id", "seg"), ["doc_id", "seg"], "left_anti")).unionByName(before)
+    sizes = grown.groupBy("doc_id").applyInPandas(_sizes, f"doc_id {kind}, seg bigint, size bigint")
+    starts = sizes.select("doc_id", "seg", first.alias("k"), F.lit("size").alias("op"), F.col("size").cast("int").alias("a"), none.cast("int").alias("b"))
+    # sets without a log keep what they have
+    quiet = before.join(log.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).cast("bigint").alias("seg"), first.alias("k"), F.lit("size").alias("op"), F.col("base").cast("int").alias("a"), none.cast("int").alias("b"))
+    made = f"doc_id {kind}, seg bigint, ord array<bigint>, moved boolean"
+    lists = _tree(log.drop("doc").unionByName(starts).unionByName(quiet).groupBy("doc_id", "seg").applyInPandas(_set_segment, made).checkpoint(), made)
+    found = lists.select("doc_id", F.posexplode("ord").alias("at", "source"))
+    appended = log.where("op = 'append'").select("doc_id", (-1 - F.col("k")).alias("source"), "doc")
+    known = appended.unionByName(start.select("doc_id", F.col("set_pos").cast("bigint").alias("source"), "doc"))
+    return found.join(known, ["doc_id", "source"]).select(F.col("doc_id").alias("set_id"), F.col("at").alias("set_pos"), F.col("doc").alias("doc_id"))

@@ -416,7 +416,7 @@ def cover_pages(spark, d):
     return docsets.cover_pages(pages.paginate(frame(spark, d, "documents"), PAGE_CHARS), members, docs)
 
 
-@query("""WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY ts, seq) AS k FROM {fx_set_edits}),
+_SET_REPLAY = """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY ts, seq) AS k FROM {fx_set_edits}),
 states AS (
   SELECT DISTINCT set_id, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS m FROM {fx_set_edits}
   UNION ALL
@@ -427,11 +427,20 @@ states AS (
       ELSE CASE WHEN a < len(m) - 1 THEN list_concat(list_concat(list_slice(m, 1, a), [m[a + 2], m[a + 1]]), list_slice(m, a + 3, len(m))) ELSE m END END
   FROM states s JOIN numbered e ON e.set_id = s.set_id AND e.k = s.k + 1),
 final AS (SELECT set_id, arg_max(m, k) AS m FROM states GROUP BY 1)
-SELECT set_id, CAST(i AS INT) AS set_pos, m[i + 1] AS doc_id FROM (SELECT *, unnest(range(0, len(m))) AS i FROM final)""")
+SELECT set_id, CAST(i AS INT) AS set_pos, m[i + 1] AS doc_id FROM (SELECT *, unnest(range(0, len(m))) AS i FROM final)"""
+
+
+@query(_SET_REPLAY)
 def replay_set_edits(spark, d):
     return replay.replay_set_edits(frame(spark, d, "fx_set_edits"))
 
 
+@query(_SET_REPLAY)
+def replay_long_set_edits(spark, d):
+    """The same logs in segments of eight edits, as logs that are too long for one array are replayed."""
+    return segments.replay_long_set_edits(frame(spark, d, "fx_set_edits"), segment=8)
+
+
 # --- images
 
 

@@ -158,6 +158,18 @@ def test_one_long_log_is_dealt_to_many_tasks(spark):
     assert "collect_list" not in done._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("segment", [1, 3, 1000])
+def test_set_segments_equal_the_fold(spark, segment):
+    rng = random.Random(segment)
+    ops = ["append"] * 5 + ["remove"] * 4 + ["move", "move_up", "move_down", "clear", "what"]
+    edits = [(s, i // 2, i, rng.choice(ops), rng.choice([None, *range(-1, 7)]), rng.choice([None, *range(-1, 7)]), f"d{i}") for i in range(500) for s in [rng.randrange(12)]]
+    logs = spark.createDataFrame(edits, "set_id int, ts int, seq bigint, op string, a int, b int, doc_id string").withColumn("ts", F.timestamp_seconds("ts"))
+    start = spark.createDataFrame([(s, 3 * p, f"m{s}.{p}") for s in range(3, 15) for p in range(s % 5)], "set_id int, set_pos int, doc_id string")
+    for initial in (None, start):
+        listed = lambda df: sorted(tuple(r) for r in df.collect())
+        assert listed(segments.replay_long_set_edits(logs, initial, segment, blocks=5)) == listed(replay.replay_set_edits(logs, initial))
+
+
 # --- files
 
 
