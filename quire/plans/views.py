@@ -69,8 +69,8 @@ UNION ALL SELECT -1 - doc_id AS doc_id, from_pos, to_pos FROM {fx_moves} WHERE d
     "fx_typed": """SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE '{nbsp}' END, CASE doc_id % 4 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE '' END,
   CASE doc_id % 6 WHEN 0 THEN concat('0x1', doc_id % 10, 'g') WHEN 1 THEN '0x' WHEN 2 THEN concat('0', doc_id, 'px') WHEN 3 THEN 'x1' WHEN 4 THEN '99999999999' ELSE concat('', doc_id) END) AS typed FROM {documents}""".replace("{nbsp}", "\u00a0"),
     # edits in the batches in which they arrive: by time, every seventh a batch later, every hundredth far behind
-    "fx_arrivals": """SELECT doc_id, n, ts, seq, op, a, b, CAST(CASE WHEN seq % 100 = 0 THEN 7 WHEN seq % 7 = 0 THEN least(slot + 1, 7) ELSE slot END AS INT) AS batch
-FROM (SELECT *, ntile(8) OVER (ORDER BY ts, seq) - 1 AS slot FROM {fx_edits})""",
+    "fx_arrivals": """SELECT doc_id, n, ts, seq, op, a, b, CAST(CASE WHEN seq % 100 = 0 THEN 3 WHEN seq % 7 = 0 THEN least(slot + 1, 3) ELSE slot END AS INT) AS batch
+FROM (SELECT *, ntile(4) OVER (ORDER BY ts, seq) - 1 AS slot FROM {fx_edits})""",
     "fx_bad_loads": "SELECT batch_id, file_no, name, load_failed, CASE WHEN batch_id % 10 = 3 THEN 3 ELSE count(*) OVER (PARTITION BY batch_id) END AS n_files FROM {fx_files}",
     "fx_zooms": "SELECT user_id AS view_id, ts, CAST(0.25 AS DOUBLE) * (1 + event_id % 20) AS scale FROM {events} WHERE event_type IN ('view', 'signup')",
     "fx_moves_of_pointer": "SELECT event_id, user_id AS view_id, ts, value AS x, value * 0.5 AS y FROM {events} WHERE event_type NOT IN ('view', 'signup')",
