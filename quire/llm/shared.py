@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written once as Parquet to the shared folder and read back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and two uses don't compute df twice.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
