@@ -18,7 +18,7 @@ from .token_counts import spaces_of, vocabulary_path
 
 _CHUNK = 1 << 20  # characters of text that are aligned at once
 _KEPT = 64  # characters up to which a stretch is remembered
-_MEMORY = 128 << 20  # bytes, about, of remembered stretches
+_MEMORY = 192 << 20  # bytes, about, of the stretches that a worker remembers
 _UNIT = 1 << 14  # characters of stretches that are encoded together
 _LARGE = 4096  # links of a group up to which they are made one by one
 _PAIRS = 1 << 20  # linked pairs among which a task counts documents
@@ -96,9 +96,8 @@ class PieceSpans:
         """The library's byte spans give the ends; tokens of single bytes share their character's span, so their decoded bytes do."""
         out: list[Spans] = []
         for made in self.processor.encode(texts, return_type="proto"):
-            pieces = made.pieces
-            ids = np.array([p.id for p in pieces], np.int64)
-            ends = np.array([p.end for p in pieces], np.int64) + 1
+            both = np.array([x for p in made.pieces for x in (p.id, p.end)], np.int64)
+            ids, ends = both[::2], both[1::2] + 1
             out.append((ids, _refined(ends, self.of_byte[ids], self.sizes[ids])))
         return out
 
