@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import quoted, staged
+from .shared import quoted, release_memory, staged
 
 #: Bytes: A-Z lower-cased, all that isn't a word's ([0-9a-z] or beyond ASCII) a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -227,7 +227,7 @@ def find_contamination(
     keep: tuple[str, ...] = (),
     block_words: int = 200_000,
 ) -> DataFrame:
-    """One row per row of docs: id_col, the columns `keep`, n_words, spans, items.
+    """One row per row of docs: id_col, the columns `keep` (but those called as one of the others), n_words, spans, items.
 
     Words are runs of characters beyond ASCII, digits and letters, A-Z lower-cased. spans are the stretches of words (start from 0,
     end excluded) that lie inside occurrences of windows of items, merged where they touch; items are the ids, as strings, of the
@@ -239,6 +239,8 @@ def find_contamination(
     once to the shared folder with a number for each row; each block has a pass over the numbers and texts, which gives rows for texts with
     hits only, and these narrow rows are joined to docs in the end.
     """
+    made = {id_col.lower(), "n_words", "spans", "items"}
+    keep = tuple(c for c in keep if c.lower() not in made)
     found = _find(docs, (id_col, *keep), text_col, items, item_id_col, item_text_col, window, block_words)
     return found.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate((id_col, *keep))], "n_words", "spans", "items")
 
@@ -275,6 +277,7 @@ def _pass(rows: DataFrame, matcher: Matcher | None, cut_column: str | None = Non
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             texts, found = batch.column("_text").to_pylist(), []
             if shared is None:

@@ -39,7 +39,7 @@ def exact_dedup(
     Full texts are shuffled once, in stage 2. The way back from groups to rows joins on the digest alone; digests that turn out to
     hold more than one text (none, with SHA-256) go by digest and full text instead.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
     keyed = rows.withColumn("_digest", digest(F.col("_text")))
     limit = max(hot_floor, docs.count() // hot_most)
     counts = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
@@ -90,7 +90,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, and one of literal repeats. No rows give no rows; texts are compared whole.
     """
     digest = how.get("digest", sha256)
-    verdicts = staged(exact_dedup(docs, id_col, text_col, **how).select(F.col(id_col).alias("_i"), F.unhex("text_sha256").alias("_d"), "kept", "keep_id"), "dedup-verdicts")
+    verdicts = staged(exact_dedup(docs, id_col, text_col, **how).select(quoted(id_col).alias("_i"), F.unhex("text_sha256").alias("_d"), "kept", "keep_id"), "dedup-verdicts")
     # a group of null ids has no largest one: all its rows are kept so far, and come together below
     gone = verdicts.where("not kept").select("_i", "_d").distinct()
     again = staged(verdicts.where("kept").groupBy("_i", "_d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_i", "_d"), "dedup-repeats")

@@ -14,7 +14,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_words, staged, unused
+from .shared import ascii_words, quoted, release_memory, staged, unused
 
 _CHUNK = 1 << 20  # bytes of text that are hashed or compared at once
 _STRETCH = 1_000_000  # tokens among which a task counts
@@ -120,6 +120,7 @@ def _survey(rows: DataFrame, words: int) -> DataFrame:
         return made({"token": tokens[often].view(np.int64), "count": counts[often]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         kept: list[np.ndarray] = []
         seen: set[bytes] = set()
         size = 0
@@ -152,6 +153,7 @@ def _prefixes(rows: DataFrame, words: int, percent: int, order: tuple[np.ndarray
     names = ["token", "doc", "pos", "size", "frequent"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         frequent, rank = shared.value
         seen: set[bytes] = set()
         for batch in batches:
@@ -188,6 +190,7 @@ def _linked(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, of pairs (a, b, ta, tb) with their texts. Rows of the same b that follow each other are taken together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
@@ -276,7 +279,7 @@ def jaccard_components(
     whole sequence as one. Two documents link when 100 * |intersection| >= percent * |union|; component_id is the smallest id
     that links reach. All links count; none is sampled or capped. Documents without words (null or empty texts too) have 0
     shingles and link with nothing. A null id has a null component. Rows that share an id are one node of the links; ids are
-    integers. Other columns are ignored; no rows give no rows. percent is from 1 to 100.
+    integers, or a TypeError is raised. Other columns are ignored; no rows give no rows. percent is from 1 to 100.
 
     1. Equal sequences of words are found by a cryptographic digest and go on as one. Token frequencies are counted by the map tasks
        over all documents; at most frequent_most tokens, the most frequent ones, get a late place in the token order, which alone
@@ -296,7 +299,10 @@ def jaccard_components(
     first; more are joined by a shuffle. The pairs of a star with many are dealt in shares.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    kind = docs.select(quoted(id_col)).schema[0].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} has to be a whole number, not {kind}")
+    rows = docs.select(quoted(id_col).cast("bigint").alias("doc"), F.coalesce(quoted(text_col), F.lit("")).cast("binary").alias("text"))
     survey = staged(_survey(rows, words), "survey")
     sets = survey.where("digest is not null").select("doc", "n", "digest")
 
@@ -416,6 +422,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows with a null id stay, and of rows that share the smallest id all do. Null, empty and very long texts are as in jaccard_components.
     """
-    gone = jaccard_components(docs, id_col, text_col, **how).where(F.col(id_col) != F.col("component_id"))
+    gone = jaccard_components(docs, id_col, text_col, **how).where(quoted(id_col) != F.col("component_id"))
     key = unused("_gone", docs)
-    return docs.join(gone.select(F.col(id_col).alias(key)).distinct(), docs[id_col] == F.col(key), "left_anti")
+    return docs.join(gone.select(quoted(id_col).alias(key)).distinct(), quoted(id_col) == F.col(key), "left_anti")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import re
@@ -13,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted, worker_memory
 from .token_counts import vocabulary_path
 
-_MEMO = 300_000  # words whose pieces a task remembers
+_MEMO = 300_000  # pairs of pieces that a worker remembers
+_MEMORY = 72 << 20  # bytes, about, of the words whose pieces it remembers: 300,000 of usual length
 _CHUNK = 1 << 20  # characters of text that are taken apart at once
 _SPACE = "▁"
 
@@ -67,6 +68,7 @@ class PieceEncoder:
         self.matches.make_automaton()
         self.together: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}  # ids of four bytes each: less to keep than numbers
+        self.kept = 0  # bytes, about
         # Runs of spaces whose pieces all have the lowest score are joined last, from the left. Empty for a model in which that isn't so.
         lowest = min(self.score.values())
         last = all((not p.strip(_SPACE)) == (x == lowest) and (p[1:2] != _SPACE or x == lowest) for p, x in self.score.items())
@@ -207,17 +209,18 @@ class PieceEncoder:
                 if known is None:
                     known = array("i", self.word(w)).tobytes()
                     if len(w) <= 64:
-                        if len(memo) > _MEMO:
+                        if self.kept > _MEMORY:
                             memo.clear()
+                            self.kept = 0
                         memo[w] = known
+                        self.kept += 190 + 2 * len(w) + len(known)
                 parts.append(known)
         return array("i", b"".join(parts)).tolist()
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(model_file: str) -> PieceEncoder:
-    """Kept by a Python worker from task to task."""
-    return PieceEncoder(model_file)
+    """Kept by a Python worker from task to task, until one of another operator comes."""
+    return worker_memory(f"pieces {model_file}", lambda: PieceEncoder(model_file))
 
 
 def encode_decode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", end_id: bool = True, output: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -227,11 +230,11 @@ def encode_decode(docs: DataFrame, model_file: str = "piece_bpe_32k.model", id_c
     they decode to. Digests are lowercase hex, of the decimal ids joined by one space and of the decoded text in UTF-8. A null text
     counts as empty, which has only the end id. Rows may repeat; other columns are ignored; no rows give no rows.
 
-    There is no shuffle; a task keeps one text at a time and the pieces of at most _MEMO words.
+    There is no shuffle; a task keeps one text at a time, and a worker the pieces of words in about _MEMORY bytes.
     """
     kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     arrow = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_file)

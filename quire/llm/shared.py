@@ -108,3 +108,8 @@ def worker_memory(owner: str, make: Callable[[], T]) -> T:
         _memory.clear()
         _memory[owner] = make()
     return _memory[owner]
+
+
+def release_memory() -> None:
+    """For tasks that remember nothing themselves: a Python worker that other operators have used before holds nothing of theirs any more."""
+    _memory.clear()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -11,8 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted, worker_memory
+
 _CHUNK = 4 << 20  # bytes of text that are counted at once
-_MEMO = 400_000  # pieces whose counts a task remembers
+_MEMORY = 72 << 20  # bytes, about, of the pieces whose counts a worker remembers: 400,000 of usual length
+_KEPT = 64  # characters of a piece up to which it is remembered
 
 
 def vocabulary_path(name_or_path: str) -> str:
@@ -49,7 +51,7 @@ def spaces_of(path: str) -> str:
 
 
 class Counter:
-    """Counts tokens of one vocabulary, piece by piece. Equal pieces are encoded once, while the memory of _MEMO pieces lasts."""
+    """Counts tokens of one vocabulary, piece by piece. Equal pieces are encoded once, while the memory lasts; long ones aren't remembered."""
 
     def __init__(self, vocabulary: str, spaces: str | None) -> None:
         path = vocabulary_path(vocabulary)
@@ -68,25 +70,32 @@ class Counter:
             s = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda pieces: [len(e) for e in s.encode(pieces, num_threads=1)]
         self.memo: dict[str, int] = {}
+        self.size = 0  # bytes, about
 
     def count(self, texts: list[str]) -> list[int]:
         if self.whole:
             return self.encode(texts)
         pieces = [self.split(t) for t in texts]
-        if len(self.memo) > _MEMO:
+        if self.size > _MEMORY:
             self.memo.clear()
+            self.size = 0
         memo = self.memo
-        new = list({p for own in pieces for p in own if p not in memo})
+        new = list(set().union(*pieces).difference(memo))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             memo.update(zip(part, self.encode(part), strict=True))
-        return [sum(map(memo.__getitem__, own)) for own in pieces]
+        counts = [sum(map(memo.__getitem__, own)) for own in pieces]
+        for p in new:
+            if len(p) > _KEPT:
+                del memo[p]
+            else:
+                self.size += 130 + 2 * len(p)
+        return counts
 
 
-@functools.lru_cache(maxsize=2)
 def counter_of(vocabulary: str, spaces: str | None) -> Counter:
-    """Kept by a Python worker from task to task."""
-    return Counter(vocabulary, spaces)
+    """Kept by a Python worker from task to task, until one of another operator comes."""
+    return worker_memory(f"counts {vocabulary} {spaces}", lambda: Counter(vocabulary, spaces))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, spaces: str | None = None) -> DataFrame:
@@ -99,9 +108,10 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col:
 
     Only lengths come back from the tasks. A task takes texts in groups of about equal bytes, so that a batch of long texts
     needs no more memory than one of short texts; long texts are split at safe boundaries, where no token, added string or
-    normalisation reaches over.
+    normalisation reaches over. Where a vocabulary treats spaces in a way that isn't known, and within a stretch without spaces, there are no such
+    boundaries, so these are encoded in one go.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(quoted(id_col).alias("_id"), F.coalesce(quoted(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_bytes", F.octet_length("_text").cast("bigint"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import quoted, staged
+from .shared import quoted, release_memory, staged
 
 #: Pronouns of address in the four languages.
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur tu te toi ton ta tes vous votre vos du dich dir dein deine deiner deinen ihr euch euer tú ti tuyo usted ustedes vosotros vuestro".split())
@@ -22,7 +22,8 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur tu te toi ton
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 PREFIXES = (4, 5, 6, 7)
 NEAR = 6  # words between a lexicon word and a pronoun of address that counts as close
-_MEMO = 150_000
+_MEMO = 150_000  # tokens that are remembered
+_MEMORY = 8 << 20  # and their characters, at most; tokens of texts without spaces are long
 _CHUNK = 1 << 20  # characters of text that are looked at at once
 _SPACE = re.compile(r"\s")
 _EDGES = ".,;:!?\"'()[]{}%&$*#-"
@@ -49,13 +50,14 @@ def fold(doc_id: Column) -> Column:
 
 
 class Features:
-    """Dense features of texts under a lexicon. A distinct token is looked at once, while the memory of _MEMO tokens lasts."""
+    """Dense features of texts under a lexicon. A distinct token is looked at once, while the memory of _MEMO tokens, or _MEMORY characters of them, lasts."""
 
     WORD, STEM, ADDRESS, LETTERS, UPPER, SHOUT, PUNCT, EXCLAIM, SYMBOL, OBSCURE, UNCOVERED, HIT, STEM_HIT, CHARS = range(14)
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
         self.index: dict[str, int] = {}
+        self.size = 0  # characters of the tokens
         self.rows = np.zeros((1024, 14), np.float32)
 
     def _look(self, token: str) -> list[float]:
@@ -83,10 +85,12 @@ class Features:
             return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
         except KeyError:
             pass
-        if len(index) > _MEMO:
+        if len(index) > _MEMO or self.size > _MEMORY:
             index.clear()
+            self.size = 0
         for t in dict.fromkeys(tokens):
             if t not in index:
+                self.size += len(t)
                 n = index[t] = len(index)
                 if n >= len(self.rows):
                     self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
@@ -138,6 +142,7 @@ def features_of(text: Column, lexicons: list[dict[str, float]], which: Column) -
     shared = SparkSession.active().sparkContext.broadcast(lexicons)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        release_memory()
         makers = [Features(x) for x in shared.value]
         for texts, chosen in batches:
             yield pa.array([makers[k].of(t.as_py()) for t, k in zip(texts, chosen.to_pylist(), strict=True)], pa.list_(pa.float64()))
@@ -197,10 +202,10 @@ def fit_toxicity(
     be trusted on texts that the lexicon hasn't seen; the last fold calibrates. Null ids, labels and texts are left out. Without
     rows of both labels the model gives every text the rate of label 1 (0 without any).
     """
-    chosen = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = labels.select(quoted(id_col).alias("_label_id"), quoted(label_col).cast("int").alias("label"))
     chosen = chosen.where(F.col("label").isin(0, 1) & fold(F.col("_label_id")).isin(*folds)).groupBy("_label_id").agg(F.max("label").alias("label"))
     chosen = staged(chosen.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most_rows), "labels")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")).where(F.col("_text").isNotNull())
     rows = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).withColumn("fold", fold(F.col("_id"))).drop("_label_id")
     rows = rows.groupBy(F.sha2("_text", 256)).agg(*[F.min_by(c, "_id").alias(c) for c in ("_text", "label", "fold")])
     half = F.col("fold") % 2
