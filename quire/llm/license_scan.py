@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
+
 #: Wording that several notices share.
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS'
 _MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
@@ -76,6 +78,11 @@ _CUE = re.compile("|".join(c.replace(" ", _GAP) for c in CUES), re.IGNORECASE |
 _MAYBE = "(?i)" + "|".join(c.replace(" ", "[^0-9A-Za-z]+").replace("\\b", "") for c in CUES)  # finds all that _CUE finds
 
 
+_TAG = "SPDX-License-Identifier: "
+_ID = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+_SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*(\(*{_ID}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{_ID}\)*)*)")
+
+
 def wording(text: str) -> list[str]:
     """Lower-cased words without the punctuation around them."""
     return [w for w in (x.strip(_PUNCTUATION) for x in text.lower().split()) if w]
@@ -106,7 +113,7 @@ class Verdict:
     template: int
     saved: int
     diffs: int
-    words: int
+    confirmed: bool = False
 
 
 @dataclass(frozen=True)
@@ -118,12 +125,13 @@ class Notice:
 
 
 class Scanner:
-    """Finds notices around the cues of a text, in the wording of templates; those that save most as a raw dictionary go first."""
+    """Finds notices around the cues of a text: of the templates whose wording is there, the one that saves most as a raw dictionary."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], level: int = 3, tolerance: float = 0.1) -> None:
         import zstandard
 
         self.names = [name for name, _ in templates]
+        self.spdx = {*self.names, *(text.removeprefix(_TAG) for _, text in templates if text.startswith(_TAG))}
         self.wordings = [wording(text) for _, text in templates]
         self.codes: dict[str, int] = {}
         self.coded = [np.array([self.codes.setdefault(w, len(self.codes)) for w in words], np.int64) for words in self.wordings]
@@ -141,27 +149,31 @@ class Scanner:
         saved = [(whole - len(c.compress(data)), i) for i, c in enumerate(self.primed)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def compare(self, stretch: str, best: int) -> tuple[float, int, int] | None:
-        """(share of differing words, -bytes saved, template), the least; None if no template saves bytes and none is confirmed."""
-        said, ranked = wording(stretch), self.rank(stretch)
+    def judge(self, stretch: str) -> Verdict:
+        """Of the templates in the order of what they save of a stretch, the first with at most tolerance of its words differing; the first
+        at all where there is none, and none if no template saves bytes."""
+        ranked, said = [(saved, i) for saved, i in self.rank(stretch) if saved > 0], wording(stretch)
         there = set(said)
-        found: list[tuple[float, int, int]] = []
-        for n, (saved, i) in enumerate(ranked):
-            if n >= best and any(not share for share, _, _ in found):
-                break  # the others save less
-            words = self.wordings[i]
-            if found and sum(w not in there for w in words) / max(1, len(words)) > min(found)[0]:
-                continue  # each word that the stretch lacks is a difference: this one can't be the least
-            found.append((differences(words, said) / max(1, len(words)), -saved, i))
-        least = min(found, default=None)
-        return least if least and (ranked[0][0] > 0 or least[0] <= self.tolerance) else None
-
-    def judge(self, stretch: str, best: int) -> Verdict:
-        found = self.compare(stretch, best)
-        return self.verdict(*found) if found else Verdict(None, -1, 0, 0, 0)
-
-    def verdict(self, share: float, saved: int, i: int) -> Verdict:
-        return Verdict(self.names[i], i, -saved, round(share * len(self.wordings[i])), len(self.wordings[i]))
+        for saved, i in ranked:
+            most = self.tolerance * len(self.wordings[i])
+            if sum(w not in there for w in self.wordings[i]) <= most and (diffs := differences(self.wordings[i], said)) <= most:
+                return Verdict(self.names[i], i, saved, diffs)
+        if not ranked:
+            return Verdict(None, -1, 0, 0)
+        saved, i = ranked[0]
+        return Verdict(self.names[i], i, saved, differences(self.wordings[i], said))
+
+    def expressions(self, text: str) -> list[tuple[int, int, Verdict]]:
+        """SPDX tags that aren't one known identifier, which is a template of its own: their places, and the expression as it is written where
+        all its licenses are known."""
+        out = []
+        for m in _SPDX.finditer(text):
+            said = " ".join(m.group(1).rstrip(".").split())
+            ids = re.findall(rf"(WITH )?\(*({_ID})", re.sub(r"\b(AND|OR) ", "", said))
+            known = all(exception or i in self.spdx for exception, i in ids)
+            if len(ids) > 1 or not known:
+                out.append((m.start(), m.start(1) + len(m.group(1).rstrip(".")), Verdict(said if known else None, -1, 0, 0, known)))
+        return out
 
     def _occurrences(self, i: int, block: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(differences, start, end) of template i in the block, within tolerance, the best of those that overlap."""
@@ -177,7 +189,7 @@ class Scanner:
                 taken.append((start, end))
                 yield int(costs[end]), start, end
 
-    def notices(self, text: str, best: int) -> list[Notice]:
+    def notices(self, text: str) -> list[Notice]:
         """The notices of a text in their order, then what is left of the cues, one for those near each other."""
         said, starts, ends = array("q"), array("q"), array("q")
         was = ""
@@ -200,19 +212,32 @@ class Scanner:
             block = words[low : cues[to - 1] + self.reach + 1]
             found |= {(i, cost, low + a, low + b) for i in range(len(self.coded)) for cost, a, b in self._occurrences(i, block)}
             at = to
-        ranked = []
-        for i, cost, a, b in found:
-            data = text[starts[a] : ends[b - 1]].encode()
-            ranked.append((cost / len(self.coded[i]), len(self.primed[i].compress(data)) - len(self.plain.compress(data)), i, a, b))
+        # occurrences that overlap are one candidate: all their templates are compared by what they save of it
+        ranked: list[tuple[int, float, int, int, int]] = []
+        together: list[tuple[int, int, int, int]] = []
+        for x in [*sorted(found, key=lambda x: x[2:]), None]:
+            if together and (x is None or x[2] >= max(t[3] for t in together)):
+                data = text[starts[together[0][2]] : ends[max(t[3] for t in together) - 1]].encode()
+                whole = len(self.plain.compress(data))
+                saved = {i: whole - len(self.primed[i].compress(data)) for i in {t[0] for t in together}}
+                ranked += [(-saved[i], cost / len(self.coded[i]), i, a, b) for i, cost, a, b in together]
+                together = []
+            if x:
+                together.append(x)
         held = bytearray(len(words))
         taken: list[tuple[int, int]] = []
         out: list[tuple[int, int, Verdict]] = []
-        for share, saved, i, a, b in sorted(ranked):
+        for low, high, v in self.expressions(text):
+            a, b = bisect_left(starts, low), bisect_left(starts, high)
+            held[a:b] = b"\1" * (b - a)
+            insort(taken, (a, b))
+            out.append((a, b, v))
+        for saved, share, i, a, b in sorted(ranked):
             held[a:b] = b"\1" * (b - a)
             near = taken[bisect_left(taken, (a - self.reach, 0)) : bisect_left(taken, (b, 0))]
             if all(2 * (min(b, d) - max(a, c)) <= min(b - a, d - c) for c, d in near):
                 insort(taken, (a, b))
-                out.append((a, b, self.verdict(share, saved, i)))
+                out.append((a, b, Verdict(self.names[i], i, -saved, round(share * len(self.wordings[i])), True)))
         cues = [c for c in cues if not held[c]]
         while cues:
             to = 1
@@ -222,7 +247,7 @@ class Scanner:
             low, high = max(0, first - self.reach), min(len(words), last + self.reach + 1)
             low = max(low, held.rfind(1, low, first) + 1)
             high = after if (after := held.find(1, last, high)) >= 0 else high
-            out.append((first, last + 1, self.judge(text[starts[low] : ends[high - 1]], best)))
+            out.append((first, last + 1, self.judge(text[starts[low] : ends[high - 1]])))
             cues = cues[to:]
         made, line, seen = [], 0, 0
         for a, b, v in sorted(out, key=lambda x: x[:2]):
@@ -237,49 +262,49 @@ def scan_licenses(
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     id_col: str = "doc_id",
     text_col: str = "text",
-    best: int = 3,
     tolerance: float = 0.1,
 ) -> DataFrame:
-    """One row per notice: id_col, block_no (its first line, from 0), license, template, saved_bytes, n_diffs, exact, confirmed, start, end.
+    """One row per notice: id_col, block_no (its first line, from 0), license, nearest, template, saved_bytes, n_diffs, exact, confirmed, start, end.
 
-    Texts are looked at as words, so a notice may be wrapped over lines (at hyphens too) and carry comment marks. Candidates are stretches of the whole
-    text, to both sides of each cue as long as the longest notice. All templates are compared with them word by word: n_diffs are the
-    words to add, drop or replace to find the template's wording, exact means none, and what has at most tolerance of the template's
-    words is a confirmed notice. Of notices that share more than half of the shorter one, the one with the smallest share of differing
-    words counts (then more bytes that the template as a raw dictionary saves of it, then the earlier template); all others have a row
-    each. start and end (excluded) are its place in the text, in characters from 0.
+    Texts are looked at as words, so a notice may be wrapped over lines (at hyphens too) and carry comment marks. Candidate blocks are stretches around
+    cues in which the wording of templates occurs: n_diffs are the words to add, drop or replace to find a template's wording, exact means none,
+    and at most tolerance of its words confirms it. The templates of a block are ranked by the bytes that each saves of it as a zstandard raw
+    dictionary; the confirmed one that saves most is its license (of equal ones the one with the smaller share of differing words, then the
+    earlier), and others in the block only where they share half of the shorter notice with it at most: they have a row each. start and end
+    (excluded) are a notice's place in the text, in characters from 0.
 
     Cues outside any confirmed notice give a row that isn't confirmed, one for those within the longest notice of each other with no
-    notice between, with the place of the cues and the template that is nearest by words (then by bytes saved) in the stretch around
-    them. Its license is null if no template saves bytes of that stretch. `best` decides costs only: after so many templates, in the
-    order of bytes saved, an exact one ends the comparing of such a stretch. Null and empty texts have no rows. Texts are taken whole.
+    notice between, with the place of the cues; its license is null, and nearest names the template that saves most of the stretch around them, null
+    if none saves bytes. An SPDX tag with an expression of several licenses has that expression as its license, confirmed if all its licenses are
+    known, and a tag with an unknown one isn't confirmed; both without a template. Null and empty texts have no rows, and no rows give no rows; rows
+    that repeat, or share an id, are looked at each by itself; other columns are ignored, whatever their names. Texts are taken whole.
 
     The cue filter runs in Spark before any text leaves the JVM; there is no shuffle.
     """
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(_MAYBE))
+    texts = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("_text")).where(F.col("_text").rlike(_MAYBE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, tolerance=tolerance)
         for batch in batches:
-            rows = [(k, n) for k, text in enumerate(batch.column("_text")) for n in scanner.notices(text.as_py(), best)]
+            rows = [(k, n) for k, text in enumerate(batch.column("_text")) for n in scanner.notices(text.as_py())]
             v = [n.verdict for _, n in rows]
-            known = [x.license is not None for x in v]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_id").take(pa.array([k for k, _ in rows], pa.int64())),
                     pa.array([n.line for _, n in rows], pa.int32()),
-                    pa.array([x.license for x in v], pa.string()),
-                    pa.array([x.template if x.license else None for x in v], pa.int32()),
+                    pa.array([x.license if x.confirmed else None for x in v], pa.string()),
+                    pa.array([None if x.confirmed else x.license for x in v], pa.string()),
+                    pa.array([x.template if x.template >= 0 else None for x in v], pa.int32()),
                     pa.array([x.saved for x in v], pa.int64()),
                     pa.array([x.diffs for x in v], pa.int64()),
-                    pa.array([k and not x.diffs for k, x in zip(known, v, strict=True)], pa.bool_()),
-                    pa.array([k and x.diffs <= tolerance * x.words for k, x in zip(known, v, strict=True)], pa.bool_()),
+                    pa.array([x.confirmed and not x.diffs for x in v], pa.bool_()),
+                    pa.array([x.confirmed for x in v], pa.bool_()),
                     pa.array([n.start for _, n in rows], pa.int64()),
                     pa.array([n.end for _, n in rows], pa.int64()),
                 ],
-                ["_id", "block_no", "license", "template", "saved_bytes", "n_diffs", "exact", "confirmed", "start", "end"],
+                ["_id", "block_no", "license", "nearest", "template", "saved_bytes", "n_diffs", "exact", "confirmed", "start", "end"],
             )
 
     id_type = texts.schema["_id"].dataType.simpleString()
-    out = texts.mapInArrow(run, f"_id {id_type}, block_no int, license string, template int, saved_bytes bigint, n_diffs bigint, exact boolean, confirmed boolean, start bigint, end bigint")
+    out = texts.mapInArrow(run, f"_id {id_type}, block_no int, license string, nearest string, template int, saved_bytes bigint, n_diffs bigint, exact boolean, confirmed boolean, start bigint, end bigint")
     return out.withColumnRenamed("_id", id_col)

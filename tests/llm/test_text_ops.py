@@ -217,7 +217,7 @@ def test_licenses(spark):
 def test_license_of_every_template():
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     for i, (name, text) in enumerate(license_scan.TEMPLATES):
-        v = scanner.judge(f"see {text} end", 3)
+        v = scanner.judge(f"see {text} end")
         assert (v.license, v.diffs) == (name, 0), i
 
 
@@ -258,6 +258,38 @@ def test_spdx_lines_and_families(spark):
     assert [got[i][0] for i in range(7, len(texts))] == ["GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "ISC", "Unlicense", "Zlib"]
 
 
+def test_unconfirmed_and_spdx_expressions(spark):
+    texts = [
+        "Copyright 2020 by Foo. All rights reserved.", "// SPDX-License-Identifier: EUPL-1.2\nint x;", "SPDX-License-Identifier: MIT OR Apache-2.0", "/* SPDX-License-Identifier: (GPL-2.0-only OR  BSD-2-Clause) */",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0.", "SPDX-License-Identifier: MIT AND Foo", "SPDX-License-Identifier: MIT.", "SPDX-License-Identifier: MIT\nReleased under the MIT License.",
+    ]
+    rows = license_scan.scan_licenses(docs_of(spark, texts)).orderBy("doc_id", "start").collect()
+    assert [(r.doc_id, r.license, r.exact, r.confirmed) for r in rows] == [
+        (0, None, False, False), (1, None, False, False), (2, "MIT OR Apache-2.0", True, True), (3, "(GPL-2.0-only OR BSD-2-Clause)", True, True), (4, "GPL-2.0-only WITH Classpath-exception-2.0", True, True),
+        (5, None, False, False), (6, "MIT", True, True), (7, "MIT", True, True), (7, "MIT", True, True),
+    ]
+    assert [texts[r.doc_id][r.start : r.end] for r in rows if r.doc_id in (1, 3, 5)] == ["SPDX-License-Identifier: EUPL-1.2", "SPDX-License-Identifier: (GPL-2.0-only OR  BSD-2-Clause)", "SPDX-License-Identifier: MIT AND Foo"]
+
+
+def test_the_winner_is_the_confirmed_template_that_saves_most():
+    """Against all templates at all places of short texts."""
+    rng = random.Random(12)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    words = [w for _, t in license_scan.TEMPLATES for w in t.split()]
+    for i, (_, said) in enumerate(license_scan.TEMPLATES):
+        own = said.split()
+        for _ in range(int(0.1 * len(own))):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        text = " ".join([*(rng.choice("abc") for _ in range(3)), *own, "x"])
+        b = license_scan.wording(text)
+        confirmed = [k for k, w in enumerate(scanner.wordings) if plain_differences(w, b) <= 0.1 * len(w)]
+        for n in scanner.notices(text):
+            block = text[n.start : n.end]
+            if n.verdict.confirmed and len(license_scan.wording(block)) >= 0.9 * len(scanner.wordings[i]):
+                saved = {k: s for s, k in scanner.rank(block) if k in confirmed}
+                assert scanner.names[n.verdict.template] == scanner.names[max(saved, key=lambda k: (saved[k], -k))] or saved[n.verdict.template] == max(saved.values())
+
+
 def plain_differences(t, b):
     row = [0] * (len(b) + 1)
     for i, w in enumerate(t, 1):
