@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,10 +73,11 @@ def parse_record(record: Column) -> Column:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of uncompressed archive files under path: path, offset, length, record (binary). See parse_record for their fields.
+    """The records of archive files under path: path, offset, length, record (binary). See parse_record for their fields.
 
     Files are the unit of work, as archives of some hundred MB are; a file gives its records one by one and is held once. A file that
-    breaks off, or goes on with what is no record, gives the rest as one row that parse_record finds no fields in.
+    breaks off, or goes on with what is no record, gives the rest as one row that parse_record finds no fields in. In a file of gzip members, offset and
+    length are a member's in the file, and record is what it holds, unpacked; a member of several records gives a row for each. A file without a byte has no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -84,14 +87,32 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 data, at = value.as_buffer(), 0
                 view = memoryview(data)
                 while at < len(view):
-                    end = _record_end(view, at)
-                    row = [pa.array([name]), pa.array([at], pa.int64()), pa.array([end - at], pa.int64()), pa.array([bytes(view[at:end])], pa.binary())]
+                    end, records = _member(view, at) if bytes(view[at : at + 2]) == b"\x1f\x8b" else (end := _record_end(view, at), [bytes(view[at:end])])
+                    n = len(records)
+                    row = [pa.array([name] * n), pa.array([at] * n, pa.int64()), pa.array([end - at] * n, pa.int64()), pa.array(records, pa.binary())]
                     yield pa.RecordBatch.from_arrays(row, ["path", "offset", "length", "record"])
                     at = end
 
     return files.mapInArrow(split, "path string, offset bigint, length bigint, record binary")
 
 
+def _member(data: memoryview, at: int) -> tuple[int, list[bytes]]:
+    """Where the gzip member that starts at `at` ends, and its records; the rest of the data as it is if the member is damaged."""
+    unpack = zlib.decompressobj(31)
+    try:
+        held = memoryview(unpack.decompress(data[at:]))
+    except zlib.error:
+        return len(data), [bytes(data[at:])]
+    if not unpack.eof:
+        return len(data), [bytes(data[at:])]
+    records, start = [], 0
+    while start < len(held):
+        end = _record_end(held, start)
+        records.append(bytes(held[start:end]))
+        start = end
+    return len(data) - len(unpack.unused_data), records or [b""]
+
+
 def _record_end(data: memoryview, at: int) -> int:
     """Where the record that starts at `at` ends; the end of the data if none does."""
     for size in (4096, 65536, len(data)):
@@ -136,11 +157,13 @@ def _height(replicas: list[DataFrame], range_bytes: int, fanout: int) -> int:
     return height
 
 
-def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = 1 << 18, fanout: int = 8) -> DataFrame:
+def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = 1 << 18, fanout: int = 8, aligned: bool = False) -> DataFrame:
     """Where two replicas (archive, offset, length, sha256) differ: archive, offset, status.
 
     status: changed (another length or content), missing (not in theirs) or extra (not in ours); repeated rows are equal if they
-    repeat as often. Trees are built over both; only below nodes that differ are the children compared, down to the records of the
+    repeat as often. A record that is lost, put in or changed in length moves those behind it in an archive that was written anew. With aligned, records that
+    differ by offset are matched by length and digest, in order: they are moved, and what is left over is compared with what lies where it would
+    be, as far on as the last record before it has moved. their_offset is then where theirs has a changed or moved record. Trees are built over both; only below nodes that differ are the children compared, down to the records of the
     ranges that differ, so intact replicas cost a comparison of roots. Archives that one replica lacks differ as a whole.
     """
     ours, theirs = staged(ours.select("archive", "offset", "length", "sha256"), "replica"), staged(theirs.select("archive", "offset", "length", "sha256"), "replica")
@@ -161,11 +184,37 @@ def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = 1 << 18, fanout
     ours, theirs = (_below(x.withColumn("range", F.floor(F.col("offset") / range_bytes)), suspect, 1) for x in (ours, theirs))
     seen = ours.withColumn("n", F.lit(1)).unionByName(theirs.withColumn("n", F.lit(-1)))
     per = seen.groupBy("archive", "offset", "length", "sha256").agg(F.sum("n").alias("n")).where("n <> 0")
+    if aligned:
+        return _matched(staged(per, "differing"))
     sides = per.groupBy("archive", "offset").agg(F.max(F.col("n") > 0).alias("ours"), F.max(F.col("n") < 0).alias("theirs"))
     status = F.when(F.col("ours") & F.col("theirs"), "changed").when(F.col("ours"), "missing").otherwise("extra")
     return sides.select("archive", "offset", status.alias("status"))
 
 
+def _matched(differing: DataFrame) -> DataFrame:
+    """The records that differ (archive, offset, length, sha256, n: how many more of ours), as audit gives them."""
+    once = differing.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.abs("n").cast("int")))).withColumn("mine", F.col("n") > 0)
+    rank = F.row_number().over(Window.partitionBy("archive", "length", "sha256", "mine").orderBy("offset"))
+    ranked = once.select("archive", "offset", "length", "sha256", "mine", rank.alias("k"))
+    key = ["archive", "length", "sha256", "k"]
+    ours, theirs = (ranked.where(F.col("mine") if mine else ~F.col("mine")).select(*[F.col(c).alias(f"{side}_{c}") for c in key], F.col("offset").alias(f"{side}_at")) for mine, side in ((True, "o"), (False, "t")))
+    same = reduce(Column.__and__, [F.col(f"o_{c}").eqNullSafe(F.col(f"t_{c}")) for c in key])
+    pairs = ours.join(theirs, same, "full_outer")
+    # how far a record has moved, or the last one before it that is found in both
+    archive, at = F.when(F.col("o_at").isNotNull(), F.col("o_archive")).otherwise(F.col("t_archive")), F.coalesce("o_at", "t_at")
+    laid = pairs.select(archive.alias("archive"), "o_at", "t_at", at.alias("at"), (F.col("t_at") - F.col("o_at")).alias("shift"))
+    before = Window.partitionBy("archive", F.col("o_at").isNull()).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    laid = laid.withColumn("shift", F.coalesce(F.last("shift", ignorenulls=True).over(before), F.lit(0)))
+    moved = laid.where("o_at is not null and t_at is not null").select("archive", F.col("o_at").alias("offset"), F.lit("moved").alias("status"), F.col("t_at").alias("their_offset"))
+    lost = laid.where("t_at is null").select(F.col("archive").alias("o_archive"), "o_at", (F.col("o_at") + F.col("shift")).alias("place"))
+    new = laid.where("o_at is null").select(F.col("archive").alias("t_archive"), "t_at")
+    rest = lost.join(new, F.col("o_archive").eqNullSafe(F.col("t_archive")) & (F.col("place") == F.col("t_at")), "full_outer")
+    status = F.when(F.col("o_at").isNull(), "extra").when(F.col("t_at").isNull(), "missing").otherwise("changed")
+    archive = F.when(F.col("o_at").isNotNull(), F.col("o_archive")).otherwise(F.col("t_archive"))
+    found = rest.select(archive.alias("archive"), F.coalesce("o_at", "t_at").alias("offset"), status.alias("status"), F.when(F.col("o_at").isNotNull(), F.col("t_at")).alias("their_offset"))
+    return found.unionByName(moved).distinct()
+
+
 def _below(nodes: DataFrame, parents: DataFrame, fanout: int) -> DataFrame:
     """The nodes whose parent is among these."""
     up = parents.select(F.col("archive").alias("_archive"), F.col("range").alias("_range"))

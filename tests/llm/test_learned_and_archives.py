@@ -257,6 +257,51 @@ def test_audit_against_brute_force(spark, range_bytes, fanout):
     assert got == expected
 
 
+def laid_out(records):
+    """(archive, offset, length, sha256) of records (length, sha256) that follow each other."""
+    at, out = 0, []
+    for length, sha in records:
+        out.append((0, at, length, sha))
+        at += length
+    return out
+
+
+@pytest.mark.parametrize("damage", ["lost", "put in", "changed", "longer", "two lost", "none"])
+def test_audit_aligns_what_has_moved(spark, damage):
+    kind = "archive bigint, offset bigint, length bigint, sha256 string"
+    records = [(100 + i % 7, f"s{i % 40}") for i in range(50)]  # some of them twice
+    theirs = list(records)
+    if damage == "put in":
+        theirs.insert(20, (30, "new"))
+    elif damage in ("changed", "longer"):
+        theirs[20] = (106 if damage == "changed" else 150, "other")
+    elif damage != "none":
+        for i in (30, 12) if damage == "two lost" else (20,):
+            del theirs[i]
+    ours = laid_out(records)
+    found = warc.audit(spark.createDataFrame(ours, kind), spark.createDataFrame(laid_out(theirs), kind), 256, 4, aligned=True).collect()
+    what = lambda s: sorted(r.offset for r in found if r.status == s)
+    at = [r[1] for r in ours]
+    expected = {"lost": ([at[20]], [], []), "put in": ([], [at[20]], []), "changed": ([], [], [at[20]]), "longer": ([], [], [at[20]]), "two lost": ([at[12], at[30]], [], []), "none": ([], [], [])}[damage]
+    assert (what("missing"), what("extra"), what("changed")) == expected
+    back = {(o, l, s) for _, o, l, s in laid_out(theirs)}
+    assert all((r.their_offset, *next(x[2:] for x in ours if x[1] == r.offset)) in back for r in found if r.status == "moved")
+
+
+def test_gzip_archives(spark, tmp_path):
+    import gzip
+
+    record = lambda body: b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    one, two, three = record(b"one"), record(b"two two"), record(b"3" * 5000)
+    members = [gzip.compress(one), gzip.compress(two + three), gzip.compress(b"")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "b.warc.gz").write_bytes(members[0] + members[1][:-9])
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = sorted((r.path[-9:], r.offset, r.length, bytes(r.record)) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    first, second, third = map(len, members)
+    assert got == sorted([("a.warc.gz", 0, first, one), ("a.warc.gz", first, second, two), ("a.warc.gz", first, second, three), ("a.warc.gz", first + second, third, b""), ("b.warc.gz", 0, first, one), ("b.warc.gz", first, second - 9, members[1][:-9])])
+
+
 def test_audit_of_equal_and_empty_replicas(spark):
     kind = "archive bigint, offset bigint, length bigint, sha256 string"
     some, none = spark.createDataFrame([(0, 0, 5, "a"), (0, 5, 5, "b")], kind), spark.createDataFrame([], kind)
