@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, staged
+from .shared import ascii_lower, quoted, staged
 
+_FEW = 64  # shapes of rules up to which each has an expression of its own
 BUCKET = 32768  # bits of one bitmap that bitmap_construct_agg makes
 
 
@@ -111,6 +113,21 @@ def url_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Colum
     return F.filter(F.array(*found), lambda k: k.isNotNull())
 
 
+def _listed_keys(parts: DataFrame, hosts: DataFrame, shapes: list[tuple[int, int]], bits_per_key: float) -> Column:
+    """url_keys for rules of many shapes. A cascade on hosts alone, over all suffixes of the urls' hosts, tells which suffixes are of a listed host; only these
+    go with lengths of paths. The shapes stand in the plan as one literal, however many there are."""
+    counts, table = sorted({n for n, _ in shapes}), json.dumps([{"n": n, "k": k} for n, k in shapes])
+    labels = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."), F.lit(""))) + 1
+    suffix = lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n)
+    all_counts = F.from_json(F.lit(json.dumps(counts)), "array<int>")
+    asked = parts.select(F.explode(F.transform(F.filter(all_counts, lambda n: n <= labels), suffix)).alias("key"), F.lit(False).alias("listed"))
+    known = build_cascade(asked.unionByName(hosts.select(F.col("host").alias("key"), F.lit(True).alias("listed"))), bits_per_key)
+    listed = F.filter(all_counts, lambda n: (n <= labels) & known.contains(suffix(n)))
+    fits = lambda s: (s["k"] <= F.length("path")) & F.array_contains(listed, s["n"])
+    made = F.transform(F.filter(F.from_json(F.lit(table), "array<struct<n:int,k:int>>"), fits), lambda s: F.concat(suffix(s["n"]), F.substring(F.col("path"), F.lit(1), s["k"])))
+    return F.when(F.size(listed) > 0, made).otherwise(F.array().cast("array<string>"))
+
+
 def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url", most_bits: int = 1 << 28, bits_per_key: float = 6) -> DataFrame:
     """One row per row of pages: id_col, host, path, rule, verdict.
 
@@ -121,19 +138,24 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", i
     pages no rows. Other columns of pages are ignored.
 
     Two cascades answer without a join: whether a candidate key is a rule, over all candidate keys of all pages, and whether
-    a rule is a block, over all rules. The shapes of the rules are collected: as many pairs of numbers as there are distinct ones.
+    a rule is a block, over all rules. The shapes of the rules are collected: as many pairs of numbers as there are distinct ones. For more than
+    a few of them a third cascade, on hosts alone, goes before.
 
     What is sent to the tasks grows with the list. A list whose cascades need more than about most_bits (32 MB) is taken in parts, by
     a hash of the key, one pass over the narrow table of urls for each; a pass has the cascades of its part only.
     """
     rules = rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where(F.col("host").isNotNull())
-    rules = rules.select(F.concat("host", "path").alias("key"), (F.col("verdict") == "block").alias("block"), (F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("labels"), F.length("path").alias("chars"))
+    rules = rules.select("host", F.concat("host", "path").alias("key"), (F.col("verdict") == "block").alias("block"), (F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("labels"), F.length("path").alias("chars"))
     shapes = sorted((r[0], r[1]) for r in rules.select("labels", "chars").distinct().collect())
-    parts = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    parts = pages.select(quoted(id_col), url_host(quoted(url_col)).alias("host"), url_path(quoted(url_col)).alias("path"))
     if not shapes:
-        return parts.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    keyed = parts.withColumn("_keys", url_keys(F.col("host"), F.col("path"), shapes))
+        return parts.select(quoted(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     n = math.ceil(rules.count() * (bits_per_key + 40) / most_bits)  # 40: more than what the ratio adds to level 1
+    if len(shapes) > _FEW:
+        # written once: the cascades' levels and the verdicts all go by these keys
+        keyed = staged(parts.withColumn("_keys", _listed_keys(parts, rules, shapes, bits_per_key)), "url-candidates")
+    else:
+        keyed = parts.withColumn("_keys", url_keys(F.col("host"), F.col("path"), shapes))
     part = lambda key: F.pmod(F.xxhash64(key, F.lit(0)), F.lit(n))
     ranked = keyed.withColumn("_best", F.lit(None).cast("struct<n:int,host_n:int,key:string,block:boolean>"))
     for p in range(n):
@@ -148,4 +170,4 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", i
         if n > 1:
             ranked = staged(ranked, "url-verdicts")
     verdict = F.when(F.col("_best").isNull(), F.lit(otherwise)).when(F.col("_best.block"), F.lit("block")).otherwise(F.lit("allow"))
-    return ranked.select(id_col, "host", "path", F.col("_best.key").alias("rule"), verdict.alias("verdict"))
+    return ranked.select(quoted(id_col), "host", "path", F.col("_best.key").alias("rule"), verdict.alias("verdict"))

@@ -197,3 +197,22 @@ def test_chat_ties_and_no_rows(spark):
     assert [t.content for t in out.select(chat_format.read_turns(F.col("formatted"))).first()[0]] == ["b", "a", "a", "b"]
     none = spark.createDataFrame([], kind)
     assert chat_format.format_chat(none.withColumn("parts", chat_format.text_part(F.col("text")))).count() == 0
+
+
+def test_rules_of_thousands_of_shapes(spark):
+    """As many shapes as rules, against brute force; the plan's size doesn't go by them."""
+    rng = random.Random(7)
+    host = lambda n: ".".join(rng.choice(["a", "b", "org"]) for _ in range(n))
+    rules = [(host(1 + i % 10), "/" + "x" * (i // 10), rng.choice(["allow", "block"])) for i in range(5000)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls = [f"http://{host(rng.randint(1, 12))}/{'x' * rng.randint(0, 600)}{rng.choice(['', 'y', '?q'])}" for _ in range(150)] + [None, "http://none.example/", "x"]
+    got = verdicts(spark, urls, rules)
+    for i, u in enumerate(urls):
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if u and "://" in u and (got[i][0] == h or got[i][0].endswith("." + h)) and got[i][1].startswith(p)]
+        best = max(fits, default=None)
+        assert got[i][2:] == ((best[2], best[3]) if best else (None, "allow")), u
+    pages, sizes = spark.createDataFrame([(1, "http://a/x")], "page_id bigint, url string"), []
+    for n in (100, 4000):
+        out = url_filter.url_verdicts(pages, spark.createDataFrame(rules[:n], RULES))
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString().splitlines()))
+    assert sizes[0] == sizes[1]
