@@ -87,13 +87,15 @@ def extract_pages(pages: DataFrame, ranges: DataFrame, docs: DataFrame) -> Resul
     """Pages first_page to last_page (from 0, both included) of each document in ranges (doc_id, first_page, last_page).
 
     docs (doc_id, page_count) tells which ranges are valid. accepted has the columns of pages and first_page, last_page; rejected has
-    the range, counted from 1, as messages show it. ranges may name a document more than once. Pages outside the lowest and the
-    highest page that any valid range asks for aren't read.
+    the range, counted from 1, as messages show it. ranges may name a document more than once. Documents outside the first and the last that a
+    valid range names, and pages outside the lowest and the highest that any asks for, aren't read.
     """
     asked = ranges.join(docs.select("doc_id", "page_count"), "doc_id", "left").withColumn("_bad", _bad_range(F.col("first_page"), F.col("last_page"), F.col("page_count")))
     good = asked.where("not _bad").select("doc_id", "first_page", "last_page")
     low, high = good.agg(F.min("first_page")).scalar(), good.agg(F.max("last_page")).scalar()
-    taken = pages.where((F.col("page_index") >= low) & (F.col("page_index") <= high)).join(good, "doc_id").where(F.col("page_index").between(F.col("first_page"), F.col("last_page")))
+    first, last = good.agg(F.min("doc_id")).scalar(), good.agg(F.max("doc_id")).scalar()
+    near = (F.col("page_index") >= low) & (F.col("page_index") <= high) & (F.col("doc_id") >= first) & (F.col("doc_id") <= last)
+    taken = pages.where(near).join(good, "doc_id").where(F.col("page_index").between(F.col("first_page"), F.col("last_page")))
     accepted = taken.withColumn("pos", (F.col("page_index") - F.col("first_page")).cast("int")).select(*pages.columns, "first_page", "last_page")
     rejected = asked.where("_bad").select("doc_id", (F.col("first_page") + 1).alias("first_number"), (F.col("last_page") + 1).alias("last_number"), "page_count", F.lit("bad_range").alias("reject_reason"))
     return Result(accepted, rejected)

@@ -444,10 +444,8 @@ def replay_long_set_edits(spark, d):
 # --- images
 
 
-@query("""SELECT set_id, image_id, CASE image_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' ELSE 'webp' END AS format, CASE WHEN width > 0 AND height > 0 THEN width END AS width,
-  CASE WHEN width > 0 AND height > 0 THEN height END AS height, CASE WHEN width > 0 AND height > 0 THEN NULL ELSE 'undecodable' END AS reject_reason FROM {fx_images}""")
-def image_manifest(spark, d):
-    """Sizes read back from headers that the sizes of fx_images are written into, in the four formats."""
+def _image_contents(spark: SparkSession, d: str) -> DataFrame:
+    """set_id, image_id, content: headers that the sizes of fx_images are written into, in the four formats."""
 
     def number(c: str, size: int, little: bool = False, less: int = 0) -> Column:
         digits = F.lpad(F.hex(F.greatest(F.col(c), F.lit(0)) - less), 2 * size, "0")
@@ -460,7 +458,27 @@ def image_manifest(spark, d):
     webp = F.concat(fixed("52494646000000005745425056503858" + "0A000000" + "00000000"), number("width", 3, True, 1), number("height", 3, True, 1))
     kind = F.col("image_id") % 4
     header = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, jpeg).otherwise(webp)
-    return images.image_manifest(frame(spark, d, "fx_images").select("set_id", "image_id", header.alias("content")))
+    return frame(spark, d, "fx_images").select("set_id", "image_id", header.alias("content"))
+
+
+_IMAGE_SIZES = """SELECT set_id, image_id, CASE image_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' ELSE 'webp' END AS format, CASE WHEN width > 0 AND height > 0 THEN width END AS width,
+  CASE WHEN width > 0 AND height > 0 THEN height END AS height, CASE WHEN width > 0 AND height > 0 THEN NULL ELSE 'undecodable' END AS reject_reason FROM {fx_images}"""
+
+
+@query(_IMAGE_SIZES)
+def image_manifest(spark, d):
+    return images.image_manifest(_image_contents(spark, d))
+
+
+@query(_IMAGE_SIZES)
+def image_headers(spark, d):
+    """The same images as files of their own, of which only the headers are read."""
+    path, rows = scratch(spark), _image_contents(spark, d)
+    named = rows.select(F.concat(F.lit(f"{path}/"), F.col("image_id").cast("string"), F.lit(".img")).alias("path"), "content")
+    assert ranges.write_files(named) == rows.count()
+    ids = F.regexp_extract("path", r"(-?\d+)\.img$", 1).cast("bigint")
+    found = ranges.image_headers(sources.read_files(spark, path, "*.img").select("path")).select(ids.alias("image_id"), "format", "width", "height", "reject_reason")
+    return rows.select("set_id", "image_id").join(found, "image_id").select("set_id", "image_id", "format", "width", "height", "reject_reason")
 
 
 _WIDE = 450
@@ -750,14 +768,27 @@ def stream_progress(spark, d):
     return _latest(spark, stream_progress_ops.stream_progress(done, frame(spark, d, "fx_talk_docs")), "doc_id")
 
 
-@query("""SELECT concat('doc/', doc_id) AS path, CAST(i AS INT) AS page_index, CAST(NULL AS VARCHAR) AS reject_reason, CAST(strlen(lines[i + 1]) AS BIGINT) AS n_bytes
-FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {documents}))""")
+_LINES = """SELECT concat('doc/', doc_id) AS path, CAST(i AS INT) AS page_index, CAST(NULL AS VARCHAR) AS reject_reason, CAST(strlen(lines[i + 1]) AS BIGINT) AS n_bytes
+FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {documents}))"""
+
+
+def _lines(path: str, content: bytes):
+    for line in content.decode().split("\n"):
+        yield {"n_bytes": len(line.encode())}
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return frame(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+
+
+@query(_LINES)
 def expand_with(spark, d):
     """Documents as files of line-separated pages, taken apart by a caller's function."""
-    files = frame(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return sources.expand_with(_texts(spark, d), _lines, "n_bytes bigint")
 
-    def lines(path: str, content: bytes):
-        for line in content.decode().split("\n"):
-            yield {"n_bytes": len(line.encode())}
 
-    return sources.expand_with(files, lines, "n_bytes bigint")
+@query(_LINES)
+def expand_in_sql(spark, d):
+    """The same function as a table function, in SQL."""
+    sources.register_expand(spark, "pages_of", _lines, "n_bytes bigint")
+    return spark.sql("SELECT f.path, p.* FROM {files} f, LATERAL pages_of(f.path, f.content) p", files=_texts(spark, d))

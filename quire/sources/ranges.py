@@ -6,6 +6,7 @@ offsets are Spark's own. Tasks open the paths themselves, through pyarrow's file
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 from urllib.parse import unquote, urlparse
@@ -30,6 +31,27 @@ def open_path(path: str) -> BinaryIO:
     return system.open_input_file(inner)
 
 
+def write_files(files: DataFrame, root: str | None = None) -> int:
+    """Writes each row of files (path, content) as a file, from the tasks, and gives their number. A file is written under another name and
+    then moved, so a task that runs twice leaves it whole. root: what paths are relative to, if they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                name = f"{root}/{path}" if root else path
+                local = name.startswith(("file:", "/"))
+                system, inner = (fs.LocalFileSystem(), urlparse(name).path) if local else fs.FileSystem.from_uri(name)
+                system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(part := f"{inner}.{uuid.uuid4().hex}.part") as out:
+                    out.write(content or b"")
+                system.move(part, inner)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _read(file: BinaryIO, at: int, size: int) -> bytes:
     file.seek(at)
     return file.read(size)
