@@ -16,12 +16,14 @@ from .pages import renumber
 def merge_pages(doc_set: DataFrame, pages: DataFrame) -> Result:
     """All pages of each set's documents in the order of the set: set_id, pos, doc_id, page_index and what else pages has.
 
-    A document's pages come in their current order: by pos where pages has it, else by page_index. Offsets are sums over the documents of a
-    set, of the pages that there are (page_count may be out of date); a set of any size is cut into blocks (`prefix_sums`). Pages are joined on
-    doc_id alone and never sorted. A document that is loaded twice comes twice. rejected: sets of fewer than two loads.
+    Pages that have pos come in that order, and are counted, as they may have been edited; pages without it are those of the source, in the
+    order of page_index, page_count of them. Offsets are sums over the documents of a set; a set of any size is cut into blocks (`prefix_sums`). Pages
+    are joined on doc_id alone and never sorted. A document that is loaded twice comes twice. rejected: sets of fewer than two loads.
     """
-    counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pages"))
-    members = doc_set.select("set_id", "set_pos", "doc_id").join(counts, "doc_id", "left")
+    members = doc_set.select("set_id", "set_pos", "doc_id", F.col("page_count").alias("_pages"))
+    if "pos" in pages.columns:
+        counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pages"))
+        members = members.drop("_pages").join(counts, "doc_id", "left")
     placed = prefix_sums(members, "set_id", "set_pos", {"_offset": F.coalesce("_pages", F.lit(0))})
     rest = [c for c in pages.columns if c not in ("doc_id", "pos", "page_index")]
     merged = placed.where("_size >= 2").select("set_id", "doc_id", "_offset").join(pages, "doc_id")
