@@ -9,6 +9,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -90,28 +91,21 @@ def test_codes_keep_dotted_names_and_reject_too_many_entries(spark):
         vector_codes.compress_vectors(df, "v.id", "v.x", "l.b", entries=257)
 
 
-def test_members_that_stay_are_not_shuffled(spark):
-    """The shuffles behind the first one move fewer members than there are."""
+def test_only_members_that_change_entry_move():
+    """After a round members that keep their entry stay under their key, others go under that of the new one; none is lost."""
     rng = random.Random(1)
-    rows = [(i, [rng.gauss(c % 4, 0.05) for c in range(i % 4, i % 4 + 8)], 1) for i in range(400)]
-    seen = []
-    real = vector_codes._reassigned
-
-    def counted(blocks, books, owners):
-        yield from real(blocks, books, owners)
-
-    df = vectors_of(spark, rows)
-    books = vector_codes.fit_codebooks(df, rounds=2)
-    owners = vector_codes._Owners(16, 2)
-    import numpy as np
-
-    parts = np.array([[math.floor(4096 * x) for x in v[:1]] for _, v, _ in rows], dtype=np.int64)
-    at, _ = vector_codes.nearest(parts, books[0])
-    blocks = [(k, (True, *b)) for k, b in owners.blocks(0, at, np.arange(len(at)) % 2, parts, np.ones(len(at), np.int64))]
-    for key, (moved, own, counts) in counted(iter(blocks), books, owners):
-        assert not moved and own.shape[0] == counts.shape[0]
-        seen.append(key)
-    assert sorted(seen) == sorted(k for k, _ in blocks)
+    parts = np.array([[math.floor(4096 * rng.gauss(c % 4, 0.3)) for _ in range(2)] for c in range(400)], dtype=np.int64)
+    old, new = ([[4096 * c + d, 4096 * c + d] for c in range(4)] for d in (0, 1500))
+    owners = vector_codes._Owners(4, 3)
+    before, after = vector_codes.nearest(parts, old)[0], vector_codes.nearest(parts, new)[0]
+    blocks = [(k, (True, *b)) for k, b in owners.blocks(5, before, np.arange(400) % 3, parts, np.ones(400, np.int64))]
+    stayed, moved = Counter(), Counter()
+    for key, (go, own, counts) in vector_codes._reassigned(iter(blocks), [None] * 5 + [new], owners):
+        position, entry, _ = owners.of(key)
+        assert position == 5 and len(own) == len(counts)
+        (moved if go else stayed).update((*p, entry) for p in own.tolist())
+    assert stayed == Counter((*p, int(e)) for p, e, was in zip(parts.tolist(), after, before, strict=True) if e == was)
+    assert moved == Counter((*p, int(e)) for p, e, was in zip(parts.tolist(), after, before, strict=True) if e != was) and moved
 
 
 # --- SimHash
