@@ -313,7 +313,7 @@ def test_audit_of_equal_and_empty_replicas(spark):
 
 # --- registered queries
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
