@@ -170,6 +170,21 @@ def test_set_segments_equal_the_fold(spark, segment):
         assert listed(segments.replay_long_set_edits(logs, initial, segment, blocks=5)) == listed(replay.replay_set_edits(logs, initial))
 
 
+def no_call_a_group(*_):
+    raise AssertionError("one Python call for each group")
+
+
+def test_small_set_segments_share_calls(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", no_call_a_group)
+    ops = ["append", "append", "move", "remove", "move_up", "clear", "move_down", "append"]
+    edits = [(float("nan") if s == 7 else float(s), i, i, ops[(i * i + s) % 8], (i * s) % 5, i % 3) for s in range(40) for i in range(50)]
+    logs = spark.createDataFrame(edits, "set_id double, ts int, seq bigint, op string, a int, b int").withColumn("ts", F.timestamp_seconds("ts"))
+    listed = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert listed(segments.replay_long_set_edits(logs, segment=2)) == listed(replay.replay_set_edits(logs))
+
+
 # --- files
 
 
