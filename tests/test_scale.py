@@ -185,6 +185,17 @@ def test_small_set_segments_share_calls(spark, monkeypatch):
     assert listed(segments.replay_long_set_edits(logs, segment=2)) == listed(replay.replay_set_edits(logs))
 
 
+def test_small_segments_share_calls(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", no_call_a_group)
+    ops = ["toggle", "move", "toggle", "select_all", "delete", "move", "touch", "reset"]
+    edits = [(d, i, i, ops[(i * i + d) % 8], (i * d) % 5 if i % 6 else None, i % 3) for d in range(40) for i in range(50)]
+    docs = spark.createDataFrame([(d, d % 9) for d in range(40)], "doc_id bigint, page_count int")
+    listed = lambda df: sorted(tuple(r) for r in df.collect())
+    assert listed(segments.replay_long_edits(docs, logs_of(spark, edits), segment=2)) == listed(replay.replay_edits(docs, logs_of(spark, edits)))
+
+
 # --- files
 
 
