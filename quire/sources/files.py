@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fnmatch import fnmatchcase
+from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,39 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """path, modificationTime, length of the files under path, listed by tasks: for more files than a driver should hold, as read_files' file index does.
+
+    One task lists what is directly in path, then each folder there is listed with all below it by the task it is dealt to; so many files belong into
+    many folders. Like Spark, it passes over names that begin with a dot or an underscore; unlike with read_files, files without a byte
+    have a row, and signs in paths are written as in URIs (%20).
+    """
+    local = path.startswith(("file:", "/"))
+
+    def listed(batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for at, when, length in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if length >= 0:
+                    found = [(at, when, length)]
+                else:
+                    system, inner = (fs.LocalFileSystem(), unquote(urlparse(at).path) if at.startswith("file:") else at) if local else fs.FileSystem.from_uri(at)
+                    before = "file:" if local else at[: len(at) - len(inner)]
+                    infos = [i for i in system.get_file_info(fs.FileSelector(inner, recursive=deep)) if not any(n.startswith(".") or (n.startswith("_") and "=" not in n) for n in i.path[len(inner) :].split("/"))]
+                    name = lambda i: before + (quote(i.path) if local else i.path)  # noqa: B023, E731
+                    found = [(name(i), i.mtime, i.size) for i in infos if i.is_file and (glob is None or fnmatchcase(i.base_name, glob))]
+                    found += [] if deep else [(name(i), None, -1) for i in infos if i.type == fs.FileType.Directory]
+                for start in range(0, len(found), 4096):
+                    columns = zip(*found[start : start + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.timestamp("us", "UTC"), pa.int64()), strict=True)], ["path", "modificationTime", "length"])
+
+    schema, tasks = "path string, modificationTime timestamp, length bigint", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = spark.range(1, numPartitions=1).select(F.lit(path).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(-1).cast("bigint").alias("length"))
+    folders = root.mapInArrow(lambda batches: listed(batches, False), schema)
+    return folders.repartition(tasks, "path").mapInArrow(lambda batches: listed(batches, True), schema)
+
+
 def stream_files(spark: SparkSession, path: str, glob: str | None = None, max_files: int | None = None) -> DataFrame:
     """read_files as a stream: files are taken in once, as they arrive, in batches of max_files at most."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", "true")

@@ -1,6 +1,6 @@
 """Parts of files: image headers and byte ranges, without reading whole files.
 
-Files come as rows with path and length, from read_files or stream_files: contents that aren't selected are never read, and a stream's
+Files come as rows with path and length, from read_files, list_files or stream_files: contents that aren't selected are never read, and a stream's
 offsets are Spark's own. Tasks open the paths themselves, through pyarrow's file systems, or by a caller's `opener`.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import BinaryIO
 from urllib.parse import unquote, urlparse
 
@@ -38,15 +39,19 @@ def write_files(files: DataFrame, root: str | None = None) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        @lru_cache(1 << 12)
+        def folder(name: str) -> tuple[fs.FileSystem, str]:
+            system, inner = (fs.LocalFileSystem(), urlparse(name).path) if name.startswith(("file:", "/")) else fs.FileSystem.from_uri(name)
+            system.create_dir(inner, recursive=True)
+            return system, inner
+
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 name = f"{root}/{path}" if root else path
-                local = name.startswith(("file:", "/"))
-                system, inner = (fs.LocalFileSystem(), urlparse(name).path) if local else fs.FileSystem.from_uri(name)
-                system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(part := f"{inner}.{uuid.uuid4().hex}.part") as out:
+                (system, place), last = folder(name.rsplit("/", 1)[0] or "/"), name.rsplit("/", 1)[1]
+                with system.open_output_stream(part := f"{place}/{last}.{uuid.uuid4().hex}.part") as out:
                     out.write(content or b"")
-                system.move(part, inner)
+                system.move(part, f"{place}/{last}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return files.select("path", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import itertools
+import os
 import random
 import struct
 from decimal import Decimal
+from urllib.parse import quote, unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +235,30 @@ def test_image_sizes_of_odd_headers(spark, tmp_path):
     assert "FileNotFoundError" in ranges.image_headers(gone).first().reject_reason
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    root = tmp_path / "in put"
+    for name in ("a.img", "b/c d.img", "b/e/f%20#.img", "b/g.txt", "h/_i/j.img", "h/.k.img", "h/x=1/l.img", "_m.img"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"GIF89a" + struct.pack("<HH", len(name), 9))
+    listed = files.list_files(spark, str(root), "*.img")
+    assert "InMemoryFileIndex" not in listed._jdf.queryExecution().toString()
+    found = {(os.path.basename(r.path), r.length, r.modificationTime.year > 2000) for r in files.read_files(spark, str(root), "*.img").collect()}
+    assert {(os.path.basename(unquote(r.path)), r.length, r.modificationTime.year > 2000) for r in listed.collect()} == found
+    assert sorted(r.width for r in ranges.image_headers(listed).collect()) == [5, 9, 11, 13]
+    assert files.list_files(spark, f"file:{quote(str(root))}").count() == 5
+
+
+def test_image_headers_needs_no_file_index(spark, sf, monkeypatch):
+    from quire.plans import queries
+
+    def no_index(*_):
+        raise AssertionError("all files listed by the driver")
+
+    monkeypatch.setattr(queries.sources, "read_files", no_index)
+    got = queries.QUERIES["image_headers"](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, queries.QUERIES["image_manifest"](spark, sf).select(got.columns).collect()))
+
+
 def test_image_headers_of_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 7, 9))
