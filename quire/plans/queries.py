@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import encoding, geometry, naming
 from ..operators import docsets, images, intake, pages, progress, replay, segments
 from ..operators import geometry as plans
-from ..operators.ordering import checkpoint_dir
+from ..operators.ordering import checkpoint_dir, range_sums
 from ..sources import files as sources
 from ..sources import packed, ranges
 from ..streaming import intake as stream_intake_ops
@@ -696,10 +696,10 @@ def _arrivals(spark: SparkSession, rows: DataFrame, batch: str, run: Callable[[D
     spark.conf.set(with_rocksdb, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     keep = lambda made, number: made.withColumn("batch_no", F.lit(number)).write.mode("append").parquet(f"{path}/out")
     try:
-        rows.repartition(batch).write.partitionBy(batch).parquet(f"{path}/rows")
+        rows.repartition(batch, F.pmod(F.xxhash64(*rows.columns), F.lit(16))).write.partitionBy(batch).parquet(f"{path}/rows")
         whole = spark.read.parquet(f"{path}/rows")
         for number in sorted(r[0] for r in whole.select(batch).distinct().collect()):  # a handful of batches
-            whole.where(F.col(batch) == number).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            whole.where(F.col(batch) == number).write.mode("append").parquet(f"{path}/in")
             out = run(spark.readStream.schema(whole.schema).parquet(f"{path}/in"))
             out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/log").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     finally:
@@ -710,10 +710,18 @@ def _arrivals(spark: SparkSession, rows: DataFrame, batch: str, run: Callable[[D
 _DELAY_DAYS = 3650  # over all of the events
 
 
+def _edits_that_arrive(spark: SparkSession, d: str) -> DataFrame:
+    """fx_arrivals; its ntile is found over ranges, as a window over all rows would bind them to one task."""
+    placed = range_sums(frame(spark, d, "fx_edits").withColumn("all", F.lit(0)), "all", ["ts", "seq"], {"k": F.lit(1)})
+    tiles = placed.withColumns({"q": F.expr("k_all div 4"), "r": F.expr("k_all % 4")})
+    slot = "CASE WHEN k < r * (q + 1) THEN k div (q + 1) ELSE r + (k - r * (q + 1)) div greatest(q, 1) END"
+    return tiles.withColumn("slot", F.expr(slot)).selectExpr("doc_id", "n", "ts", "seq", "op", "a", "b", "CAST(CASE WHEN seq % 100 = 0 THEN 3 WHEN seq % 7 = 0 THEN least(slot + 1, 3) ELSE slot END AS INT) AS batch")
+
+
 @query(_REPLAY + _FINAL_PAGES)
 def stream_snapshots(spark, d):
     """Edits that arrive about in order, some a batch later and some far behind, within the delay: none is too late."""
-    found = _arrivals(spark, frame(spark, d, "fx_arrivals"), "batch", lambda s: stream_snapshot_ops.stream_snapshots(s, f"{_DELAY_DAYS} days"), ["doc_id", "ord", "sel", "batch_no"])
+    found = _arrivals(spark, _edits_that_arrive(spark, d), "batch", lambda s: stream_snapshot_ops.stream_snapshots(s, f"{_DELAY_DAYS} days"), ["doc_id", "ord", "sel", "batch_no"])
     return replay.final_pages(found.groupBy("doc_id").agg(F.max_by("ord", "batch_no").alias("ord"), F.max_by("sel", "batch_no").alias("sel")))
 
 
@@ -722,7 +730,7 @@ SELECT doc_id, seq, op, a, b FROM {fx_arrivals} e JOIN seen ON seen.batch = e.ba
 def stream_snapshots_late(spark, d):
     """With a delay of one day: the edits that come after the watermark has passed them."""
     late = lambda s: stream_replay_ops.late_edits(stream_snapshot_ops.stream_snapshots(s, "1 day"))
-    return _arrivals(spark, frame(spark, d, "fx_arrivals"), "batch", late, ["doc_id", "seq", "op", "a", "b"])
+    return _arrivals(spark, _edits_that_arrive(spark, d), "batch", late, ["doc_id", "seq", "op", "a", "b"])
 
 
 @query("""SELECT batch_id, file_no, name, CASE WHEN batch_id % 10 = 3 THEN 'batch_incomplete' WHEN bool_or(load_failed) OVER (PARTITION BY batch_id) THEN 'batch_load_failed' END AS reject_reason
