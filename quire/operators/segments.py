@@ -124,11 +124,11 @@ def replay_long_edits(docs: DataFrame, edits: DataFrame, segment: int = 4096, bl
     selection still fit a row each. Edits of unknown documents are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = docs.select("doc_id", F.coalesce(F.col("page_count").cast("int"), F.lit(0)).alias("page_count"))
     rows = edits.select("doc_id", "ts", "seq", "op", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
     is_op = lambda *ops: F.coalesce(F.col("op").isin(*ops), F.lit(False)).cast("int")
     placed = range_sums(rows, "doc_id", _ORDER, {"k": F.lit(1), "resets": is_op("reset"), "sub": is_op("delete", "select_all")}, blocks)
     log = placed.where("resets = resets_all").select("doc_id", "op", "a", "b", "k", "sub").checkpoint()
+    known = docs.select("doc_id", F.coalesce(F.col("page_count").cast("int"), F.lit(0)).alias("page_count")).checkpoint()  # read three times
 
     none = F.lit(None)
     toggles = log.where("op = 'toggle' AND a >= 0").groupBy("doc_id", "sub", "a").agg((F.count(F.lit(1)) % 2).cast("int").alias("odd"), F.max("k").alias("k"))

@@ -198,6 +198,15 @@ def test_small_segments_share_calls(spark, monkeypatch):
     assert listed(segments.replay_long_edits(docs, logs_of(spark, edits), segment=2)) == listed(replay.replay_edits(docs, logs_of(spark, edits)))
 
 
+def test_long_logs_read_their_documents_once(spark):
+    edits = [(d, i, i, ["toggle", "delete", "move"][i % 3], (i * d) % 5, i % 4) for d in range(40) for i in range(12)]
+    read = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(d, d % 9) for d in range(40)], 2).map(lambda row: (read.add(1), row)[1]), "doc_id bigint, page_count int")
+    got = {r.doc_id: (r.ord, r.sel, r.dirty) for r in segments.replay_long_edits(docs, logs_of(spark, edits), segment=4).collect()}
+    assert read.value == 40
+    assert got == folded({d: d % 9 for d in range(40)}, edits)
+
+
 # --- files
 
 
